@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passerelle.llm import langid, simhash
+from passerelle.llm import langid, packing, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1,
+        "op3_toxicity": toxicity.op3,
+        "op9_packing": packing.op9,
         "op10_simhash": simhash.op10,
     }
 
