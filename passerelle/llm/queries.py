@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passerelle.llm import langid, packing, simhash, toxicity
+from passerelle.llm import langid, packing, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1,
         "op3_toxicity": toxicity.op3,
+        "op4_substrings": substrings.op4,
         "op9_packing": packing.op9,
         "op10_simhash": simhash.op10,
     }
