@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passerelle.llm import decontaminate, langid, packing, simhash, substrings, toxicity
+from passerelle.llm import decontaminate, langid, packing, simhash, substrings, syncmers, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": langid.op1,
         "op3_toxicity": toxicity.op3,
         "op4_substrings": substrings.op4,
+        "op5_syncmers": syncmers.op5,
         "op7_decontaminate": decontaminate.op7,
         "op9_packing": packing.op9,
         "op10_simhash": simhash.op10,
