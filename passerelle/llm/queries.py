@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passerelle.llm import decontaminate, langid, packing, simhash, substrings, syncmers, toxicity
+from passerelle.llm import decontaminate, langid, packing, secrets, simhash, substrings, syncmers, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": toxicity.op3,
         "op4_substrings": substrings.op4,
         "op5_syncmers": syncmers.op5,
+        "op6_secrets": secrets.op6,
         "op7_decontaminate": decontaminate.op7,
         "op9_packing": packing.op9,
         "op10_simhash": simhash.op10,
