@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passerelle.llm import decontaminate, langid, packing, secrets, simhash, substrings, syncmers, toxicity
+from passerelle.llm import decontaminate, langid, packing, secrets, simhash, substrings, syncmers, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1,
+        "op2_warc": warc.op2,
         "op3_toxicity": toxicity.op3,
         "op4_substrings": substrings.op4,
         "op5_syncmers": syncmers.op5,
