@@ -54,6 +54,11 @@ def fold(key: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(folds))
 
 
+def row_key(*columns: str) -> Column:
+    """A digest of the columns' text: rows that repeat have the same. Nulls differ from the empty text only beside others."""
+    return F.unhex(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])))
+
+
 def sampled(rows: DataFrame, label: str, key: str, per_label: int, seed: int = 17, max_labels: int = 1000) -> DataFrame:
     """About per_label rows of each label, chosen by a hash of the key, in one extra pass over label and key.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passerelle.llm.common import read, written
+from passerelle.llm.common import read, row_key, written
 
 WINDOW, SHINGLE = 10, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,7 +84,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """
     names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
     keep = [c for c in docs.columns if c not in names]
-    keyed = docs.select(*keep, F.col(text).alias("_text"), F.unhex(F.md5(F.concat_ws("|", F.col(doc_id).cast("string"), text))).alias("_key"))
+    keyed = docs.select(*keep, F.col(text).alias("_text"), row_key(doc_id, text).alias("_key"))
     of_items = written(windows_of(items, item_id, item_text, window), "windows")
     wins = of_items.select("win").distinct().withColumn("win_id", F.xxhash64("win"))
     of_items = of_items.select("item_id", F.xxhash64("win").alias("win_id")).distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passerelle.llm import decontaminate, langid, packing, secrets, simhash, substrings, syncmers, toxicity, warc
+from passerelle.llm import decontaminate, langid, packing, quotes, secrets, simhash, substrings, syncmers, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_syncmers": syncmers.op5,
         "op6_secrets": secrets.op6,
         "op7_decontaminate": decontaminate.op7,
+        "op8_quotes": quotes.op8,
         "op9_packing": packing.op9,
         "op10_simhash": simhash.op10,
     }

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passerelle.llm.common import read, written
+from passerelle.llm.common import read, row_key, written
 
 #: kind, pattern, and the group that has to be at least `least` long
 BASE = (
@@ -134,7 +134,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: floa
     names = ("n_assign", "n_access", "n_hex", "base", "found")
     keep = [c for c in docs.columns if c not in names]
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(*keep, body.alias("_text"), F.unhex(F.md5(F.concat_ws("|", F.col(doc_id).cast("string"), text))).alias("_key"))
+    keyed = docs.select(*keep, body.alias("_text"), row_key(doc_id, text).alias("_key"))
     runs = keyed.select("_key", "_text", F.explode(matches(F.col("_text"), CANDIDATE, 0)).alias("m"))
     tokens = runs.select("_key", "m.start", "m.end", F.substring("_text", F.col("m.start") + 1, F.col("m.n")).alias("token"))
     tested = written(battery(tokens.where(~F.col("token").rlike(NO_ENCODING)).distinct()).drop("token"), "tokens")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from passerelle.llm.common import checkpointed, hot_join, read, small_batches, written
+from passerelle.llm.common import checkpointed, hot_join, read, row_key, small_batches, written
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Distinct fingerprints of a bucket that are compared pair by pair; larger buckets go through flipped keys.
@@ -120,22 +120,28 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, large: int = LARGE) -> DataFrame:
-    """doc_id, fp (long), fingerprint (hex) and component_id of each row.
+    """doc_id, row_key (of id and text), fp (long), fingerprint (hex), component (its least fp) and component_id of each row.
 
     Null and empty texts have fingerprint zero, which links like any other. Equal fingerprints are one node, so
     copies are never paired with each other. component_id is the smallest non-null doc_id that is reachable; repeated
     doc_ids stay separate rows. Other columns of docs are not read.
     """
     small_batches(docs.sparkSession)
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")), "fingerprints")
+    rows = written(docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), simhash(F.col(text)).alias("fp")), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     roots = components(links(nodes.select("fp"), radius, large))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = checkpointed(named)
     ids = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = named.join(ids, "root").select("fp", "component_id", "n")
+    of = named.join(ids, "root").select("fp", F.col("root").alias("component"), "component_id", "n")
     out = hot_join(rows, of, ["fp"], "n", F.xxhash64("doc_id"))
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", "row_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each component: that with the smallest doc_id (nulls first), then row_key. Rows equal in both are one."""
+    least = near_duplicates(docs, doc_id, text, radius).groupBy("component").agg(F.min(F.struct("doc_id", "row_key"))["row_key"].alias("_key"))
+    return docs.withColumn("_key", row_key(doc_id, text)).join(least.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
