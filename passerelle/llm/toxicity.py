@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,15 +29,17 @@ MEMO = 400_000
 
 @dataclass
 class Model:
-    weights: dict[str, float]
+    weights: dict[int, float]  # by the feature's hash
     bias: float
     stay: np.ndarray  # transition scores, [from, to]
     logistic: np.ndarray  # of 1 and the document's features
     rate: float  # score where nothing was learned
 
 
-def features(word: str) -> list[str]:
-    return ["w" + word, *(f"p{word[:k]}" for k in (3, 4, 5, 6) if len(word) > k), *(f"s{word[-k:]}" for k in (3, 4, 5) if len(word) > k)]
+def features(word: str) -> list[int]:
+    """Hashes of the word and of its prefixes and suffixes."""
+    parts = ["w" + word, *(f"p{word[:k]}" for k in (3, 4, 5, 6) if len(word) > k), *(f"s{word[-k:]}" for k in (3, 4, 5) if len(word) > k)]
+    return [zlib.crc32(p.encode()) for p in parts]
 
 
 def marginals(emission: np.ndarray, present: np.ndarray, stay: np.ndarray) -> np.ndarray:
@@ -104,50 +105,58 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def train(texts: list[str], toxic: list[int], steps: int = 60, ridge: float = 1e-3, tokens: int = 200_000) -> Model:
+def train(texts: list[str], toxic: list[int], steps: int = 60, ridge: float = 1e-4, tokens: int = 200_000) -> Model:
     """The field and the document model, from labelled whole texts; texts without both labels give a constant score."""
     y = np.array(toxic, float)
     rate = float((y.sum() + 0.5) / (len(y) + 5))
     if not 0 < y.sum() < len(y):
         return Model({}, -9.0, np.zeros((2, 2)), np.zeros(5), rate)
-    words = [TOKEN.findall(t.lower()) for t in texts]
-    memo: dict[str, list[str]] = {}
-    of = lambda w: memo.get(w) or memo.setdefault(w, features(w))
+
+    # texts as numbers of words, words as numbers of features
+    numbers: dict[str, int] = {}
+    docs = [np.array([numbers.setdefault(w, len(numbers)) for w in TOKEN.findall(t.lower())], np.int32) for t in texts]
+    own = np.zeros((len(numbers), 8), np.uint32)
+    for w, i in numbers.items():
+        f = features(w)
+        own[i, : len(f)] = f
+        own[i, len(f) :] = f[0]
+    numbers.clear()
+    known, own = np.unique(own, return_inverse=True)
+    own = own.reshape(-1, 8).astype(np.int32)
 
     # features told by document; near copies, which share the smallest hash of their shingles, count once
-    seen, df, n = set(), (Counter(), Counter()), [1, 1]
-    for ws, label in zip(words, toxic, strict=True):
-        sign = min((zlib.crc32(" ".join(ws[i : i + 3]).encode()) for i in range(max(1, len(ws) - 2))), default=0)
-        if sign not in seen:
-            seen.add(sign)
+    seen, df, n = set(), np.zeros((2, len(known))), [1, 1]
+    for d, label in zip(docs, toxic, strict=True):
+        if sign(d) not in seen:
+            seen.add(sign(d))
             n[label] += 1
-            df[label].update({f for w in set(ws) for f in of(w)})
-    # rates with a pseudo-document each: a feature of one or two documents tells nothing
-    odds = {f: np.log((k + 0.1) / (n[1] + 1)) - np.log((df[0][f] + 0.1) / (n[0] + 1)) for f, k in df[1].items() if k >= max(4, 0.005 * n[1])}
-    telling = {f for f, o in odds.items() if o > 3.5}
-    chosen = {f: i for i, f in enumerate(sorted(odds))}
+            df[label, np.unique(own[d])] += 1
+    # rates with a tenth of a document more, so that a feature of one or two tells nothing
+    odds = np.log((df[1] + 0.1) / (n[1] + 1)) - np.log((df[0] + 0.1) / (n[0] + 1))
+    common = df[1] >= max(4, 0.012 * n[1])
+    telling = (common & (odds > 3.5))[own].any(1)
+    index = np.full(len(known), -1)
+    index[common] = np.arange(common.sum())
 
     # segments for the field: evenly drawn from those with a toxic token and from the others, `tokens` of each at most
-    marked: list[tuple[list[str], list[int]]] = []
-    plain: list[tuple[list[str], list[int]]] = []
-    for ws, label in zip(words, toxic, strict=True):
-        for a in range(0, len(ws), SEGMENT):
-            part = ws[a : a + SEGMENT]
-            tags = [int(bool(label) and any(f in telling for f in of(w))) for w in part]
-            (marked if any(tags) else plain).append((part, tags))
+    marked, plain = [], []
+    for d, label in zip(docs, toxic, strict=True):
+        for at in range(0, len(d), SEGMENT):
+            part = d[at : at + SEGMENT]
+            tags = telling[part] & bool(label)
+            (marked if tags.any() else plain).append((part, tags))
     thin = lambda x: x[:: max(1, -(-len(x) * SEGMENT // tokens))]
     used = thin(marked) + thin(plain)
-    lengths = np.array([len(p) for p, _ in used])
-    row, col = segments(lengths)
-    goal = np.zeros((len(used), SEGMENT))
-    goal[row, col] = np.array([t for _, tags in used for t in tags])
-    present = np.zeros(goal.shape, bool)
-    present[row, col] = True
-    hits = [(i, chosen[f]) for i, w in enumerate(w for p, _ in used for w in p) for f in of(w) if f in chosen]
-    token, feature = np.array(hits or [(0, 0)]).T
+    row, col = segments(np.array([len(p) for p, _ in used]))
+    goal, present = np.zeros((len(used), SEGMENT)), np.zeros((len(used), SEGMENT), bool)
+    goal[row, col], present[row, col] = np.concatenate([t for _, t in used]), True
+    feature = index[own[np.concatenate([p for p, _ in used])]]
+    feature[:, 1:][feature[:, 1:] == feature[:, :1]] = -1  # padding
+    token, slot = np.nonzero(feature >= 0)
+    feature = feature[token, slot]
 
     # maximum likelihood by Adam: expected minus observed counts
-    k = len(chosen) + 1
+    k = int(common.sum()) + 1
     theta = np.zeros(k + 4)
     theta[k - 1] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -155,30 +164,45 @@ def train(texts: list[str], toxic: list[int], steps: int = 60, ridge: float = 1e
     for step in range(1, steps + 1):
         emission = np.zeros(goal.shape)
         emission[row, col] = np.bincount(token, theta[feature], len(row)) + theta[k - 1]
-        stay = theta[k:].reshape(2, 2)
-        p = marginals(emission, present, stay)
+        p = marginals(emission, present, theta[k:].reshape(2, 2))
         gap = (p - goal)[row, col]
         grad = np.zeros_like(theta)
         grad[: k - 1] = np.bincount(feature, gap[token], k - 1)
         grad[k - 1] = gap.sum()
         # transitions by the pair marginals of neighbours
-        q = np.stack([1 - p, p])
-        g = np.stack([1 - goal, goal])
+        q, g = np.stack([1 - p, p]), np.stack([1 - goal, goal])
         for i in (0, 1):
             for j in (0, 1):
                 grad[k + 2 * i + j] = ((q[i, :, :-1] * q[j, :, 1:] - g[i, :, :-1] * g[j, :, 1:]) * pairs).sum()
-        grad = grad / len(used) + ridge * np.concatenate([theta[: k - 1], np.zeros(1), theta[k:]]) / 10
+        grad = grad / len(used) + ridge * np.concatenate([theta[: k - 1], np.zeros(1), theta[k:]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    weights = {f: float(theta[i]) for f, i in chosen.items() if abs(theta[i]) > 0.05}
-    model = Model(weights, float(theta[k - 1]), theta[k:].reshape(2, 2), np.zeros(5), rate)
-    sizes = np.array([len(w) for w in words])
-    p = token_marginals(np.array([model.bias + sum(weights.get(f, 0.0) for f in of(w)) for ws in words for w in ws]), sizes, model.stay)
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    model.logistic = logistic(np.array([document_features(p[a:b]) for a, b in zip(edges, edges[1:], strict=False)]), y)
+    weight = np.zeros(len(known))
+    weight[common] = theta[: k - 1]
+    weight[np.abs(weight) < 0.05] = 0
+    model = Model(dict(zip(known[weight != 0].tolist(), weight[weight != 0].tolist(), strict=True)), float(theta[k - 1]), theta[k:].reshape(2, 2), np.zeros(5), rate)
+    padded = own.copy()
+    padded[:, 1:][padded[:, 1:] == padded[:, :1]] = len(known)
+    word_score = model.bias + np.append(weight, 0.0)[padded].sum(1)
+    x = []
+    for a in range(0, len(docs), 256):
+        some = docs[a : a + 256]
+        sizes = np.array([len(d) for d in some])
+        p = token_marginals(word_score[np.concatenate(some)], sizes, model.stay)
+        x += [document_features(own) for own in np.split(p, np.cumsum(sizes)[:-1])]
+    model.logistic = logistic(np.array(x), y)
     return model
 
 
+def sign(d: np.ndarray) -> int:
+    """The smallest hash of a text's runs of three words."""
+    if len(d) < 3:
+        return hash(d.tobytes())
+    x = d.astype(np.uint64)
+    x = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:]
+    return int(((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)).min())
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_label: int = 3000, chars: int = 8_000) -> Model:
     """Train on at most about 1.2 * per_label + 60 documents of each label, the first `chars` characters of each.
 
