@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark drops the shuffle files of finished stages now instead of some time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint(), with a folder in place."""
     spark = df.sparkSession
@@ -80,7 +87,9 @@ def hot_join(left: DataFrame, right: DataFrame, key: list[str], n: str, spread:
 
     Keys that hold over 1/shares of left are at most `shares`, so they are broadcast, and their rows in left
     are dealt by `spread` instead of the key; the rest is an ordinary shuffled join without large groups.
+    right is written first, since it is read three times.
     """
+    right = written(right, "join-keys")
     total = right.agg(F.sum(n)).head()[0] or 0
     values = [c for c in right.columns if c not in key]
     hot = right.where(F.col(n) * shares > total).select(*key, F.struct(*values).alias("_hot"))

@@ -18,7 +18,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passerelle.llm.common import hot_join, read, small_batches, written
+from passerelle.llm.common import hot_join, read, released, small_batches, written
 
 WINDOW, GRAM = 35, 8
 #: Cells of a sketch block, and words that are hashed at once (a longer text goes alone).
@@ -148,7 +148,7 @@ def sketch_width(docs: DataFrame, text: str, most: int) -> int:
 
 
 def candidates(docs: DataFrame, key: str, text: str, window: int, gram: int, width: int, bits: tuple[np.ndarray, ...]) -> DataFrame:
-    """Spans whose anchor is estimated repeated: key, anchor, span (digest of its words), first (window), wins (hashes of its windows)."""
+    """Spans whose anchor is estimated repeated: key, anchor, span (digest of its words, told apart by anchor and digest together), first (window), wins (hashes of its windows)."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(b.tobytes() for b in bits))
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,35 +167,52 @@ def candidates(docs: DataFrame, key: str, text: str, window: int, gram: int, wid
                 whole = whole.view("int64")
                 rows = []
                 for d, h, a, k in zip(doc[twice].tolist(), anchor[twice].view("int64").tolist(), first[twice].tolist(), n[twice].tolist(), strict=True):
-                    span = hashlib.blake2b(b" ".join(lot[d][a : a + k + window - 1]), digest_size=16).digest()
-                    rows.append((keys[at + d], h, span, a, whole[sizes[d] + a : sizes[d] + a + k]))
+                    span = hashlib.blake2b(b" ".join(lot[d][a : a + k + window - 1]), digest_size=8).digest()
+                    rows.append((keys[at + d], h, int.from_bytes(span, "little", signed=True), a, whole[sizes[d] + a : sizes[d] + a + k]))
                 if rows:
                     yield pd.DataFrame(rows, columns=["key", "anchor", "span", "first", "wins"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(of, "key binary, anchor long, span binary, first int, wins array<long>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(of, "key binary, anchor long, span long, first int, wins array<long>")
+
+
+def repeated(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, marks: array of (first, mask), which windows from `first` on (bit i: the i-th) start anywhere else too; n: docs' rows of the key."""
+    spark = found.sparkSession
+    at = written(found, "spans")
+    # copies add up on the map side, so a large group of them is a few rows
+    spans = written(at.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.any_value("wins").alias("wins")), "distinct-spans")
+    anchors = spans.groupBy("anchor").agg(F.count("*").alias("n_spans"), F.min("n").alias("least")).where("n_spans > 1 and least = 1")
+    unlike = hot_join(spans, anchors.select("anchor", "n_spans"), ["anchor"], "n_spans", F.xxhash64("span")).where("n_spans is not null").select("anchor", "span", "n", "wins")
+    unlike = written(unlike, "unlike-spans")
+    released(spark)
+    each = unlike.select("anchor", "span", "n", F.posexplode("wins").alias("i", "win"))
+    wins = each.groupBy("anchor", "win").agg(F.sum("n").alias("starts"), F.min("n").alias("least"), F.count("*").alias("n_rows")).where("starts > 1 and least = 1")
+    single = hot_join(each.where("n = 1").drop("n"), wins.select("anchor", "win", "n_rows"), ["anchor", "win"], "n_rows", F.xxhash64("span")).where("n_rows is not null")
+    part = single.groupBy("anchor", "span").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("some"))
+    masks = spans.join(part, ["anchor", "span"], "left").select("anchor", "span", "n", F.when(F.col("n") > 1, F.expr("shiftleft(1L, size(wins)) - 1")).otherwise(F.col("some")).alias("mask")).where("mask is not null")
+    marked = hot_join(at.drop("wins"), masks, ["anchor", "span"], "n", F.xxhash64("key", "first")).where("mask is not null")
+    marks = written(marked.groupBy("key").agg(F.collect_set(F.struct("first", "mask")).alias("marks")), "marks")
+    released(spark)
+    return marks.join(docs.groupBy("key").agg(F.count("*").alias("n")), "key")
 
 
-def repeated(found: DataFrame, span_windows: int) -> DataFrame:
-    """key, first, mask: which windows from `first` on (bit i: the i-th) start anywhere else too. One row per text and span."""
-    # copies of a text are one row; map-side sums see to large groups
-    at = written(found.groupBy("anchor", "span", "key", "first").agg(F.count("*").alias("copies"), F.any_value("wins").alias("wins")), "spans")
-    spans = written(at.groupBy("anchor", "span").agg(F.sum("copies").alias("n"), F.count("*").alias("places"), F.any_value("wins").alias("wins")), "distinct-spans")
-    anchors = spans.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("n_spans"), F.min("n").alias("least")).where("n_spans > 1 and least = 1")
-    unlike = hot_join(spans, anchors.select("anchor", "n_spans"), ["anchor"], "n_spans", F.xxhash64("span")).where("n_spans is not null").select("anchor", "span", "n", F.posexplode("wins").alias("i", "win"))
-    unlike = written(unlike, "windows")
-    wins = unlike.groupBy("anchor", "win").agg(F.sum("n").alias("starts"), F.count("*").alias("n_rows")).where("starts > 1")
-    single = hot_join(unlike.where("n = 1"), wins.select("anchor", "win", "n_rows"), ["anchor", "win"], "n_rows", F.xxhash64("span")).where("n_rows is not null")
-    part = single.groupBy("anchor", "span").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("some"))
-    masks = spans.join(part, ["anchor", "span"], "left").select("anchor", "span", "places", F.when(F.col("n") > 1, F.expr("shiftleft(1L, size(wins)) - 1")).otherwise(F.col("some")).alias("mask")).where("mask is not null")
-    return hot_join(at.select("anchor", "span", "key", "first", "copies"), masks, ["anchor", "span"], "places", F.xxhash64("key", "first")).where("mask is not null").select("key", "first", "mask", "copies")
+@F.pandas_udf(T.BinaryType())
+def deflated(texts: pd.Series) -> pd.Series:
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=1)
+    return texts.map(lambda t: packer.compress((t or "").encode()))
 
 
 @F.pandas_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())]))
 def without(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    import zstandard
+
+    unpacker = zstandard.ZstdDecompressor()
     for texts, marks, windows in parts:
         rows = []
         for text, marked, window in zip(texts, marks, windows, strict=True):
-            words = (text or "").encode().split()
+            words = unpacker.decompress(text).split()
             gone = np.zeros(len(words) + 1, np.int32)
             for m in marked if marked is not None else ():
                 starts = m["first"] + np.flatnonzero([m["mask"] >> i & 1 for i in range(m["mask"].bit_length())])
@@ -208,7 +225,7 @@ def without(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, most_cells: int = 1 << 28) -> DataFrame:
-    """docs with n_words, n_removed, kept (the words left, joined by one space) and kept_sha256.
+    """docs without the text, with n_words, n_removed, kept (the words left, joined by one space) and kept_sha256.
 
     A word goes if a window of `window` words that covers it also starts elsewhere, in the same row or another;
     repeated rows are each other's copies. Null texts have no words; texts shorter than a window keep all.
@@ -219,14 +236,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
     small_batches(spark)
     names = ("n_words", "n_removed", "kept", "kept_sha256")
     keep = [c for c in docs.columns if c not in names]
-    keyed = docs.select(*keep, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_key"))
+    key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_key")
     width = sketch_width(docs, text, most_cells)
     bits = sketch(docs, text, window, gram, width)
-    marks = repeated(candidates(keyed, "_key", text, window, gram, width, bits), window - gram + 1)
-    marks = marks.groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("_marks"), F.max("copies").alias("_n")).withColumnRenamed("key", "_key")
-    spread = F.xxhash64(F.monotonically_increasing_id())
-    out = hot_join(keyed, marks, ["_key"], "_n", spread)
-    return out.withColumn("_out", without(F.col(text), F.col("_marks"), F.lit(window))).select(*keep, "_out.*")
+    found = candidates(docs.select(F.col(text).alias("_text"), key), "_key", "_text", window, gram, width, bits)
+    marks = repeated(found, docs.select(key.alias("key"))).select(F.col("key").alias("_key"), "marks", "n")
+    # texts go through the last shuffle deflated
+    keyed = docs.select(*[c for c in keep if c != text], key, deflated(F.col(text)).alias("_text"))
+    out = hot_join(keyed, marks, ["_key"], "n", F.xxhash64(F.monotonically_increasing_id()))
+    return out.withColumn("_out", without(F.col("_text"), F.col("marks"), F.lit(window))).select(*[c for c in keep if c != text], "_out.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
