@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,54 +25,66 @@ def col(c: Str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c evaluated once: what is built from a URL's parts would else repeat them many times over."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def _escape(c: Column, unsafe: str) -> Column:
     """Percent-encodes non-ASCII and unsafe characters; other text is passed through untouched."""
-    one = lambda x: F.when(x.rlike(f"[{unsafe}]|[^\\x21-\\x7E]"), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x)
-    return F.when(c.rlike(f"[{unsafe}]|[^\\x21-\\x7E]"), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+    found = f"[{unsafe}]|[^\\x21-\\x7E]"
+    one = lambda x: F.when(x.rlike(found), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x)
+    return let(c, lambda c: F.when(c.rlike(found), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c))
 
 
 def remove_dots(path: Column) -> Column:
     """The path without `.` and `..` segments; one at the end leaves a slash."""
     dot, up = r"^(\.|%2[eE])$", r"^(\.|%2[eE]){2}$"
-    segments = F.split(path, "/")
-    last = F.element_at(segments, -1)
-    segments = F.when(last.rlike(dot) | last.rlike(up), F.concat(segments, F.array(F.lit("")))).otherwise(segments)
     start = F.array().cast("array<string>")
     # the first element is what stands before the leading slash
     step = lambda acc, s: F.when(s.rlike(up), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).when(s.rlike(dot), acc).otherwise(F.concat(acc, F.array(s)))
-    return F.when(path.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|\z)"), F.array_join(F.aggregate(segments, start, step), "/")).otherwise(path)
+    ended = lambda p: F.when(p.rlike(r"(?i)/(\.|%2e){1,2}\z"), F.concat(p, F.lit("/"))).otherwise(p)
+    return let(path, lambda p: F.when(p.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|\z)"), F.array_join(F.aggregate(F.split(ended(p), "/"), start, step), "/")).otherwise(p))
 
 
 def _authority(scheme: Column, raw: Column) -> Column:
     """Lower-cased host with a port that isn't the default; null if there is no valid host."""
-    host = F.lower(F.regexp_extract(raw, r"^(?:.*@)?([^:]*|\[[^\]]*\])(?::\d*)?\z", 1))
-    port = F.regexp_extract(raw, r":(\d*)\z", 1)
-    default = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    return F.when((host != "") & ~host.rlike(r"[\s<>|^\\%]"), F.concat(host, F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port))))
+    parts = lambda raw: F.struct(F.lower(F.regexp_extract(raw, r"^(?:.*@)?([^:]*|\[[^\]]*\])(?::\d*)?\z", 1)).alias("host"), F.regexp_extract(raw, r":(\d*)\z", 1).alias("port"))
 
+    def use(p: Column) -> Column:
+        default = (p["port"] == "") | ((scheme == "http") & (p["port"] == "80")) | ((scheme == "https") & (p["port"] == "443"))
+        named = F.concat(p["host"], F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), p["port"])))
+        return F.when((p["host"] != "") & ~p["host"].rlike(r"[\s<>|^\\%]"), named)
 
-def _tail(c: Column) -> tuple[Column, Column, Column]:
-    """(path, query with ?, fragment with #) of what follows an authority."""
-    path = F.regexp_extract(c, r"(?s)^([^?#]*)", 1)
-    query = F.regexp_extract(c, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    return path, F.when(F.length(query) > 1, query).otherwise(F.lit("")), F.regexp_extract(c, r"(?s)(#.+)", 1)
+    return let(let(raw, parts), use)
 
 
 def _built(scheme: Column, authority: Column, tail: Column) -> Column:
-    path, query, fragment = _tail(tail)
-    path = remove_dots(F.when(path == "", F.lit("/")).otherwise(F.replace(path, F.lit("\\"), F.lit("/"))))
-    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    return F.concat(scheme, F.lit("://"), authority, _escape(path, '"<>`{}'), _escape(query, "\"<>'"), _escape(fragment, '"<>`'))
+    def path_of(t: Column) -> Column:
+        path = F.replace(F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.lit("\\"), F.lit("/"))
+        return let(path, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+
+    def use(t: Column) -> Column:
+        query = F.regexp_extract(t, r"(?s)^[^?#]*(\?[^#]+)", 1)
+        return F.concat(scheme, F.lit("://"), authority, _escape(remove_dots(path_of(t)), '"<>`{}'), _escape(query, "\"<>'"), _escape(F.regexp_extract(t, r"(?s)(#.+)", 1), '"<>`'))
+
+    return let(tail, use)
 
 
 def absolute_url(c: Str) -> Column:
     """The URL as a browser writes it; null if it isn't absolute and valid. Only http and https are taken apart."""
-    c = F.trim(F.regexp_replace(col(c), r"[\t\n\r]", ""))
-    scheme = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    rest = F.regexp_replace(F.regexp_replace(c, SCHEME, ""), r"^[/\\]*", "")
-    authority = _authority(scheme, F.regexp_extract(rest, r"^([^/?#\\]*)", 1))
-    web = _built(scheme, authority, F.regexp_replace(rest, r"^[^/?#\\]*", ""))
-    return F.when(scheme.isin("http", "https"), web).when(scheme != "", c)
+
+    def use(c: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(c, SCHEME, ""), r"^[/\\]*", "")
+        parts = F.struct(F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).alias("scheme"), F.regexp_extract(rest, r"^([^/?#\\]*)", 1).alias("at"), F.regexp_replace(rest, r"^[^/?#\\]*", "").alias("tail"))
+        web = lambda p: _built(p["scheme"], _authority(p["scheme"], p["at"]), p["tail"])
+        return let(parts, lambda p: F.when(p["scheme"].isin("http", "https"), web(p)).when(p["scheme"] != "", c))
+
+    return let(_trimmed(col(c)), use)
+
+
+def _trimmed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"[\t\n\r]", ""))
 
 
 def url_scheme(c: Str) -> Column:
@@ -87,20 +102,27 @@ def url_origin(c: Str) -> Column:
 
 def resolve_url(ref: Str, base: Str) -> Column:
     """ref against an absolute base, dot segments removed; null if either is malformed."""
-    ref, base = F.trim(F.regexp_replace(col(ref), r"[\t\n\r]", "")), absolute_url(base)
-    origin = F.regexp_extract(base, r"^(https?://[^/?#]*)", 1)
-    scheme, authority = F.regexp_extract(origin, r"^(https?):", 1), F.regexp_extract(origin, r"^https?://(.*)", 1)
-    path = F.regexp_extract(base, r"^https?://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
-    tail = (
-        F.when(ref == "", F.concat(path, query))
-        .when(ref.startswith("#"), F.concat(path, query, ref))
-        .when(ref.startswith("?"), F.concat(path, ref))
-        .when(ref.rlike(r"^[/\\]"), ref)
-        .otherwise(F.concat(F.regexp_extract(path, r"^(.*/)", 1), ref))
-    )
-    relative = F.when(origin != "", _built(scheme, authority, tail))
-    return F.when(ref.rlike(SCHEME), absolute_url(ref)).when(ref.rlike(r"^[/\\]{2}"), absolute_url(F.concat(scheme, F.lit(":"), ref))).otherwise(relative)
+
+    def of(base: Column) -> Column:
+        path = F.regexp_extract(base, r"^https?://[^/?#]*([^?#]*)", 1)
+        return F.struct(
+            F.regexp_extract(base, r"^(https?)://", 1).alias("scheme"), F.regexp_extract(base, r"^https?://([^/?#]*)", 1).alias("at"), path.alias("path"), F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1).alias("query")
+        )
+
+    def use(p: Column) -> Column:
+        ref, base = p["ref"], p["base"]
+        tail = (
+            F.when(ref == "", F.concat(base["path"], base["query"]))
+            .when(ref.startswith("#"), F.concat(base["path"], base["query"], ref))
+            .when(ref.startswith("?"), F.concat(base["path"], ref))
+            .when(ref.rlike(r"^[/\\]"), ref)
+            .otherwise(F.concat(F.regexp_extract(base["path"], r"^(.*/)", 1), ref))
+        )
+        whole = F.when(ref.rlike(SCHEME), ref).when(ref.rlike(r"^[/\\]{2}"), F.concat(base["scheme"], F.lit(":"), ref))
+        relative = F.when(base["scheme"] != "", _built(base["scheme"], base["at"], tail))
+        return let(whole, lambda w: F.when(w.isNotNull(), absolute_url(w)).otherwise(relative))
+
+    return let(F.struct(_trimmed(col(ref)).alias("ref"), let(absolute_url(base), of).alias("base")), use)
 
 
 def url_pathname(c: Str) -> Column:
@@ -134,23 +156,18 @@ def replace_first(c: Str, needle: Str | Column, repl: Str | Column) -> Column:
 def capture_key(c: Str, style: str = "joined", bases: tuple[str, ...] = ()) -> Column:
     """A folder name for a URL: `joined`, `joined_hex` or `hex`, which also drops the first of `bases` it finds."""
     c = col(c)
+    hexed = lambda c: reduce(lambda a, x: F.replace(a, F.lit(x), F.lit(f"%{ord(x):x}")), ILLEGAL, c)
     if style == "hex":
         for base in bases:
             c = replace_first(c, base, "")
-        c = F.regexp_replace(c, "^/", "")
-        for x in ILLEGAL:
-            c = F.replace(c, F.lit(x), F.lit(f"%{ord(x):x}"))
-        return F.when(c == "", F.lit("index")).otherwise(c)
-    path = F.regexp_replace(url_pathname(c), "^/+|/+$", "")
-    if style == "joined":
-        out = F.translate(F.array_join(F.filter(F.split(path, "/"), lambda s: s != ""), "_"), '<>:"\\|?*', "")
+        out = hexed(F.regexp_replace(c, "^/", ""))
+    elif style == "joined":
+        out = let(F.regexp_replace(url_pathname(c), "^/+|/+$", ""), lambda p: F.translate(F.array_join(F.filter(F.split(p, "/"), lambda s: s != ""), "_"), '<>:"\\|?*', ""))
     elif style == "joined_hex":
-        out = F.replace(path, F.lit("/"), F.lit("_"))
-        for x in ILLEGAL:
-            out = F.replace(out, F.lit(x), F.lit(f"%{ord(x):x}"))
+        out = hexed(F.replace(F.regexp_replace(url_pathname(c), "^/+|/+$", ""), F.lit("/"), F.lit("_")))
     else:
         raise ValueError(f"unknown style {style}")
-    return F.when(out == "", F.lit("index")).otherwise(out)
+    return let(out, lambda x: F.when(x == "", F.lit("index")).otherwise(x))
 
 
 def query_param(c: Str, key: str) -> Column:
@@ -162,19 +179,21 @@ def iterated_decode(c: Str, n: int = 3) -> Column:
     """Percent-decoded up to n times, until it stays the same or is malformed; + stays +."""
     c = col(c)
     for _ in range(n):
-        c = F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+        c = let(c, lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x))
     return c
 
 
 def extract_candidate_url(c: Str) -> Column:
     """The URL that a request is about: of an image proxy's or another known parameter, else the first one in the text."""
-    raw = col(c)
-    url = absolute_url(raw)
-    image = F.when(F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1) == "/_next/image", query_param(url, "url"))
-    found = F.nullif(F.regexp_extract(raw, r"""(?i)(https?://[^)"'\s]+)""", 1), F.lit(""))
-    inner = F.coalesce(image, *[query_param(url, p) for p in URL_PARAMETERS], found)
-    decoded = iterated_decode(inner)
-    return F.when(url.isNull(), F.coalesce(found, raw)).otherwise(F.coalesce(resolve_url(decoded, raw), decoded, raw))
+
+    def use(p: Column) -> Column:
+        raw, url = p["raw"], p["url"]
+        image = F.when(F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1) == "/_next/image", query_param(url, "url"))
+        found = F.nullif(F.regexp_extract(raw, r"""(?i)(https?://[^)"'\s]+)""", 1), F.lit(""))
+        inner = iterated_decode(F.coalesce(image, *[query_param(url, k) for k in URL_PARAMETERS], found))
+        return F.when(url.isNull(), F.coalesce(found, raw)).otherwise(let(inner, lambda d: F.coalesce(resolve_url(d, raw), d, raw)))
+
+    return let(F.struct(col(c).alias("raw"), absolute_url(c).alias("url")), use)
 
 
 def _bare(c: Column) -> Column:

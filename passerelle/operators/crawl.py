@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from passerelle.functions.text import parse_pages
-from passerelle.functions.urls import resolve_url, strip_qf
+from passerelle.functions.urls import resolve_url, strip_qf, url_pathname
 
 
 def anchor_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -47,15 +47,15 @@ def _state(spark: SparkSession, path: str, name: str) -> DataFrame:
         return spark.createDataFrame([], "url string")
 
 
-def crawl_closure(links: DataFrame, seed: str, state: str | None = None, strict: bool = False, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(urls, visited): what is reachable from the seed, whose origin bounds the crawl.
+def crawl_closure(links: DataFrame, seed: str, origin: str | None = None, state: str | None = None, strict: bool = False, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(urls, visited): what is reachable from the seed within `origin`, which is the seed itself if not given.
 
     Each round visits a whole frontier; order doesn't change the closure. Pages that weren't captured are visited and
     have no links. urls holds link targets, so the seed only if something links to it. With `state`, a folder, each
     round's visited, urls and frontier are written there, and a later call goes on from what it finds.
     """
     spark = links.sparkSession
-    reach = edges(links, seed.rstrip("/"), strict).persist()
+    reach = edges(links, (origin or seed).rstrip("/"), strict).persist()
     urls = visited = spark.createDataFrame([], "url string")
     frontier = spark.createDataFrame([(seed,)], "url string")
     if state:
@@ -97,6 +97,4 @@ def crawl_errors(visited: DataFrame, pages: DataFrame) -> DataFrame:
 
 def crawl_inventory(urls: DataFrame, relativize: bool = False) -> DataFrame:
     """The distinct URLs, sorted; relativize leaves their paths, for use on another host."""
-    from passerelle.functions.urls import url_pathname
-
     return urls.select((url_pathname("url") if relativize else F.col("url")).alias("url")).distinct().orderBy("url")

@@ -9,7 +9,7 @@ from passerelle.functions.text import component_role, detail_line
 from passerelle.operators.compare import is_failing, worst_tag
 
 #: fixed values: the suites of a run
-SUITES = ("Visual Regression (without header/footer)", "Header", "Footer", "Redirect URL Mismatches", "Blocked Media URLs")
+SUITES = ("Visual Regression (without header/footer)", "Visual Regression — Headers", "Visual Regression — Footers", "Redirect URL Mismatches", "Blocked Media URLs")
 BODY, HEADER, FOOTER, REDIRECTS, MEDIA = SUITES
 IMAGES = ("prod_img", "stage_img", "diff_img")
 
