@@ -61,7 +61,7 @@ def crawl_closure(links: DataFrame, seed: str, origin: str | None = None, state:
     if state:
         urls, visited, saved = (_state(spark, state, n) for n in ("urls", "visited", "frontier"))
         frontier = frontier.unionByName(saved).distinct().join(visited, "url", "left_anti")
-    cut = _checkpoint(spark)
+    cut = checkpoints(spark)
     for round_ in range(most_rounds):
         frontier = cut(frontier)
         if not frontier.head(1):
@@ -79,7 +79,7 @@ def crawl_closure(links: DataFrame, seed: str, origin: str | None = None, state:
     return urls, visited
 
 
-def _checkpoint(spark: SparkSession):
+def checkpoints(spark: SparkSession):
     """checkpoint() in the shared folder; where none is set (tests), in a temporary one."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
         import tempfile

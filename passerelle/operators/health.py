@@ -70,9 +70,10 @@ def resolve_http502(log: DataFrame) -> DataFrame:
 
 
 def attempt_stats(log: DataFrame, ts: str = "ts") -> DataFrame:
-    """url, attempts, seconds from the first to the last, and the last one's status."""
+    """url, attempts, microseconds from the first to the last, and the last one's status."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     return log.groupBy("url").agg(
-        F.count("*").alias("attempts"), (F.max(F.unix_micros(ts)) - F.min(F.unix_micros(ts))).alias("micros"), F.max_by("status", F.struct(ts, "attempt_id")).alias("last_status")
+        F.count("*").alias("attempts"), (F.max(micros) - F.min(micros)).alias("micros"), F.max_by("status", F.struct(ts, "attempt_id")).alias("last_status")
     )
 
 

@@ -65,7 +65,7 @@ def resolved_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT page_id, array_to_string(list_filter(string_split(p, '/'), x -> x <> ''), '_') AS joined, replace(trim(p, '/'), '/', '_') AS joined_hex,
+    r"""SELECT page_id, array_to_string(list_filter(string_split(p, '/'), lambda x: x <> ''), '_') AS joined, replace(trim(p, '/'), '/', '_') AS joined_hex,
     replace(replace(replace(replace(url, ':', '%3a'), '/', '%2f'), '?', '%3f'), '*', '%2a') AS hex
     FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)"""
 )
@@ -452,7 +452,7 @@ def pixel_mismatch(spark: SparkSession, sf: str) -> DataFrame:
 def diff_pixels(spark: SparkSession, sf: str) -> DataFrame:
     px = fixture(spark, sf, "fx_pixels").select("pair", "side", "x", "y", F.col("v").alias("r"), F.lit(1).alias("g"), F.lit(1).alias("b"), F.lit(200).alias("a"))
     out = compare.diff_pixels(px.where("side = 'prod'"), px.where("side = 'stage'"))
-    return out.groupBy("pair").agg(F.count("*").alias("positions"), F.count_if("r = 255 and g = 0 and a = 255").alias("painted"))
+    return out.groupBy("pair").agg(F.count("*").alias("positions"), F.count_if(F.expr("r = 255 and g = 0 and a = 255")).alias("painted"))
 
 
 NAMES = "names AS (SELECT side, url, list_sort(list_distinct(list(lower(regexp_replace(media_url, '^.*/[^/-]*-', ''))))) AS names FROM fx_blocked GROUP BY 1, 2)"
@@ -464,7 +464,7 @@ def blocked_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MEDIA = f"""{NAMES}, j AS (SELECT u.url, coalesce(p.names, []) AS p, coalesce(m.names, []) AS m FROM (SELECT DISTINCT url FROM fx_blocked) u LEFT JOIN (SELECT * FROM names WHERE side = 'prod') p ON p.url = u.url LEFT JOIN (SELECT * FROM names WHERE side = 'migrated') m ON m.url = u.url),
-d AS (SELECT url, list_filter(p, x -> NOT list_contains(m, x)) AS missing, list_filter(m, x -> NOT list_contains(p, x)) AS extra, len(list_distinct(list_concat(p, m))) AS n FROM j)"""
+d AS (SELECT url, list_filter(p, lambda x: NOT list_contains(m, x)) AS missing, list_filter(m, lambda x: NOT list_contains(p, x)) AS extra, len(list_distinct(list_concat(p, m))) AS n FROM j)"""
 
 
 def media_sets(spark: SparkSession, sf: str) -> DataFrame:
