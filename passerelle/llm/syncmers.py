@@ -67,10 +67,11 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str], tie: str, per_bu
         twice = F.when((F.col("_range") == b) & F.col(key).eqNullSafe(F.lit(least[b])), F.lit(before[b])).otherwise(twice)
     dealt = F.array_compact(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("again")), F.when(F.col("_twice").isNotNull(), F.struct(F.col("_twice").alias("r"), F.lit(1).alias("again")))))
     df = df.withColumn("_twice", twice.cast("int")).withColumn("_in", F.explode(dealt)).drop("_range", "_twice")
-    w = Window.partitionBy("_in.r").orderBy(F.col("_in.again"), F.col(key).asc_nulls_first(), F.col(tie))
-    for column, name in columns.items():
-        df = df.withColumn(name, F.lead(column).over(w))
-    return df.where("_in.again = 0").drop("_in")
+    # plain columns, so that all leads share one shuffle
+    df = df.select("*", F.col("_in.r").alias("_r"), F.col("_in.again").alias("_again")).drop("_in")
+    w = Window.partitionBy("_r").orderBy("_again", F.col(key).asc_nulls_first(), tie)
+    df = df.select("*", *[F.lead(column).over(w).alias(name) for column, name in columns.items()])
+    return df.where("_again = 0").drop("_r", "_again")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
