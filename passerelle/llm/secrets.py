@@ -92,7 +92,7 @@ def battery(tokens: DataFrame) -> DataFrame:
         (F.col("square") - n).alias("pairs"),
         ((F.col("square") * F.col("size") / n - n - (F.col("size") - 1)) / F.sqrt(2.0 * (F.col("size") - 1))).alias("chi"),
         ((F.col("turns") - expected) / spread).alias("turns_z"),
-        ((F.when(var > 0, lag / var).otherwise(F.lit(1.0)) + 1 / n) * F.sqrt(n)).alias("serial_z"),
+        ((F.coalesce(F.try_divide(lag, var), F.lit(1.0)) + 1 / n) * F.sqrt(n)).alias("serial_z"),
     )
 
 
@@ -104,11 +104,11 @@ def tail(z: Column) -> Column:
 def discoveries(tested: DataFrame, rate: float, random_z: float) -> DataFrame:
     """The rows of `tested` that are secrets at a false-discovery rate of `rate`."""
     # what repeats and turns are usual, over all candidates of an encoding: 3 rows
-    usual = tested.groupBy("enc").agg((F.sum("pairs") / F.sum(F.col("n") * (F.col("n") - 1.0))).alias("kappa"), (F.sum("turns") / F.sum(F.col("n") - 1.0)).alias("turn"), F.avg("n").alias("mean_n"))
+    usual = tested.groupBy("enc").agg(F.try_divide(F.sum("pairs"), F.sum(F.col("n") * (F.col("n") - 1.0))).alias("kappa"), F.try_divide(F.sum("turns"), F.sum(F.col("n") - 1.0)).alias("turn"), F.avg("n").alias("mean_n"))
     df = tested.join(F.broadcast(usual), "enc")
     n = F.col("n").cast("double")
-    # never less text-like than running text in one alphabet: repeats of 6.5 %, a turn in ten
-    kappa, turn = F.greatest("kappa", F.lit(0.065)), F.least("turn", F.lit(0.1))
+    # bounds for text, where secrets are most of the candidates or hardly any: repeats of 6.5 % at least, a turn in 50 to 10
+    kappa, turn = F.greatest("kappa", F.lit(0.065)), F.greatest(F.least("turn", F.lit(0.1)), F.lit(0.02))
     few = (n * (n - 1) * (kappa - 1.0 / F.col("size")) - (F.col("pairs") - n * (n - 1) / F.col("size"))) / F.sqrt(2 * n * (n - 1) * kappa)
     many = (F.col("turns") - (n - 1) * turn) / F.sqrt((n - 1) * turn * (1 - turn))
     x = -F.log(tail(few)) - F.log(tail(many))

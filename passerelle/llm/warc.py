@@ -44,8 +44,8 @@ def line(text: str) -> str:
 def record(kind: str, page: str | None, url: str | None, payload: bytes, digest: str, refers: str | None, date: str) -> bytes:
     """A WARC/1.1 record; a revisit has the payload's digest and length, but no block."""
     block, head = b"", ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}|{url}|{digest}')}>", f"WARC-Date: {date}"]
-    head += [f"WARC-Target-URI: {line(url)}"] * (url is not None) + [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
-    head += [f"X-Page-Id: {line(page)}"] * (page is not None)
+    head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head += [f"{name}: {line(value)}" for name, value in (("WARC-Target-URI", url), ("X-Page-Id", page)) if value is not None]
     if kind == "revisit":
         head += [f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page: {line(refers or '')}"]
     else:
