@@ -8,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from passerelle.functions.text import parse_pages
 from passerelle.functions.urls import resolve_url, strip_qf, url_pathname
+from passerelle.sources.shared import written
 
 
 def anchor_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -61,14 +62,13 @@ def crawl_closure(links: DataFrame, seed: str, origin: str | None = None, state:
     if state:
         urls, visited, saved = (_state(spark, state, n) for n in ("urls", "visited", "frontier"))
         frontier = frontier.unionByName(saved).distinct().join(visited, "url", "left_anti")
-    cut = checkpoints(spark)
     for round_ in range(most_rounds):
-        frontier = cut(frontier)
+        frontier = written(frontier)
         if not frontier.head(1):
             break
-        visited = cut(visited.unionByName(frontier))
-        found = cut(reach.join(frontier, reach["page_url"] == frontier["url"], "left_semi").select(F.col("target").alias("url")).distinct())
-        urls = cut(urls.unionByName(found).distinct())
+        visited = written(visited.unionByName(frontier))
+        found = written(reach.join(frontier, reach["page_url"] == frontier["url"], "left_semi").select(F.col("target").alias("url")).distinct())
+        urls = written(urls.unionByName(found).distinct())
         frontier = found.join(visited, "url", "left_anti")
         if state:
             for name, df in (("urls", urls), ("visited", visited), ("frontier", frontier)):
@@ -79,15 +79,6 @@ def crawl_closure(links: DataFrame, seed: str, origin: str | None = None, state:
     return urls, visited
 
 
-def checkpoints(spark: SparkSession):
-    """checkpoint() in the shared folder; where none is set (tests), in a temporary one."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='passerelle-')}")
-    return lambda df: df.checkpoint()
-
-
 def crawl_errors(visited: DataFrame, pages: DataFrame) -> DataFrame:
     """url, error of visited pages that weren't captured or failed."""
     failed = pages.where("error is not null").select("url", "error")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passerelle.functions.text import clean_text, component_name
-from passerelle.operators.crawl import checkpoints
+from passerelle.sources.shared import written
 
 PAGE = ["page", "side"]
 #: fixed values
@@ -19,18 +19,17 @@ SHOEHORN = "full-width-shoehorn"
 
 
 def with_ancestors(nodes: DataFrame, root: int = 0, most_depth: int = 10_000) -> DataFrame:
-    """nodes with `ancestors` from parent_id, which is `root` or null at the top."""
+    """nodes with `ancestors` from parent_id, which is `root` or null at the top. Written once: every later step reads them."""
     up = nodes.select(*PAGE, F.col("node_id").alias("_up"), F.col("parent_id").alias("_next"))
     level = found = nodes.select(*PAGE, "node_id", F.col("parent_id").alias("a")).where(F.col("a").isNotNull() & (F.col("a") != root))
-    cut = checkpoints(nodes.sparkSession)
     for _ in range(most_depth):
         level = level.join(up, (level["page"] == up["page"]) & (level["side"] == up["side"]) & (level["a"] == up["_up"])).select(level["page"], level["side"], "node_id", F.col("_next").alias("a")).where(F.col("a").isNotNull() & (F.col("a") != root))
-        level = cut(level)
+        level = written(level)
         if not level.head(1):
             break
         found = found.unionByName(level)
     arrays = found.groupBy(*PAGE, "node_id").agg(F.sort_array(F.collect_set("a")).alias("ancestors"))
-    return nodes.join(arrays, [*PAGE, "node_id"], "left").withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<bigint>")))
+    return written(nodes.join(arrays, [*PAGE, "node_id"], "left").withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<bigint>"))), "nodes")
 
 
 def has_class(name: str) -> Column:

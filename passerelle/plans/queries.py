@@ -181,6 +181,17 @@ def inventory_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
     return tuple(fixture(spark, sf, n) for n in INVENTORY)
 
 
+@query(f"WITH {HREFS} SELECT path, u AS url FROM (SELECT r.path, replace(r.route, ':' || r.param, e.slug) AS u FROM routes r LEFT JOIN fx_type_map m ON m.param = r.param JOIN fx_entries e ON e.type IS NOT DISTINCT FROM m.type WHERE contains(r.route, ':'))", *INVENTORY)
+def expanded_routes(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, redirects, entries, types = inventory_inputs(spark, sf)
+    return inventory.expand_routes(inventory.classify_routes(inventory.drop_redirected(inventory.composed_nodes(nodes), redirects)), entries, types)
+
+
+@query("SELECT 'https://s.example.com/search?searchTerm=' || slug AS href FROM fx_entries WHERE type = 'HardGoodDetail'", "fx_entries")
+def product_search_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.product_search_urls(fixture(spark, sf, "fx_entries"), f"{SITE}/")
+
+
 @query(f"WITH {HREFS} SELECT u AS url FROM hrefs", *INVENTORY)
 def build_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.build_inventory(*inventory_inputs(spark, sf), f"{SITE}/")
@@ -241,6 +252,16 @@ def crawl_edges(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.edges(fixture(spark, sf, "fx_links"), SITE)
 
 
+@query(f"WITH {EDGES} SELECT page_url, pos, target FROM t", "fx_links", recursive=True)
+def crawl_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl.crawl_links(fixture(spark, sf, "fx_links"), SITE).select("page_url", "pos", "target")
+
+
+@query(f"WITH {EDGES} SELECT t.page_url, pos, target FROM t LEFT JOIN bad USING (page_url) WHERE bad IS NULL OR pos < bad", "fx_links", recursive=True)
+def truncated_links(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl.truncate_at_malformed(crawl.crawl_links(fixture(spark, sf, "fx_links"), SITE)).select("page_url", "pos", "target")
+
+
 @query(f"WITH {EDGES} SELECT url FROM visited", "fx_links", recursive=True)
 def crawl_visited(spark: SparkSession, sf: str) -> DataFrame:
     return closure(spark, sf)[1]
@@ -347,6 +368,53 @@ def classified_components(spark: SparkSession, sf: str) -> DataFrame:
     return dom.classify_components(cands, dom.meaningful(nodes, cands))
 
 
+SCOPED = """n AS (SELECT page, side, node_id, parent_id, ord, CASE WHEN node_id = 1 THEN 'main' ELSE 'div' END AS tag, CASE node_id % 4 WHEN 2 THEN 'content' WHEN 3 THEN 'content-shoehorned' ELSE CASE WHEN display = 'none' THEN 'full-width-shoehorn' END END AS dom_id, is_component, text = 'x' AS is_row FROM fx_nodes_dom)"""
+DOM_ANCESTORS = """a AS (SELECT page, side, node_id, parent_id AS anc FROM n WHERE parent_id > 0 UNION SELECT a.page, a.side, a.node_id, n.parent_id FROM a JOIN n ON n.page = a.page AND n.side = a.side AND n.node_id = a.anc WHERE n.parent_id > 0)"""
+
+
+def scoped_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    base = fixture(spark, sf, "fx_nodes_dom")
+    i = F.col("node_id")
+    classes = F.array_compact(F.array(F.when(F.col("is_component"), "component"), F.when(F.col("text") == "x", "row")))
+    dom_id = F.when(i % 4 == 2, "content").when(i % 4 == 3, "content-shoehorned").when(F.col("display") == "none", "full-width-shoehorn")
+    nodes = base.select("page", "side", i.cast("long").alias("node_id"), F.col("parent_id").cast("long").alias("parent_id"), "ord", F.when(i == 1, "main").otherwise("div").alias("tag"), dom_id.alias("dom_id"), classes.alias("classes"))
+    return dom.with_ancestors(nodes)
+
+
+@query(
+    f"""WITH {SCOPED}, {DOM_ANCESTORS}, gone AS (SELECT page, side, node_id FROM n WHERE dom_id = 'full-width-shoehorn')
+    SELECT page, side, node_id FROM n WHERE (page, side, node_id) NOT IN (SELECT (page, side, node_id) FROM gone) AND (page, side, node_id) NOT IN (SELECT (a.page, a.side, a.node_id) FROM a JOIN gone g ON g.page = a.page AND g.side = a.side AND g.node_id = a.anc)""",
+    "fx_nodes_dom",
+    recursive=True,
+)
+def dropped_subtrees(spark: SparkSession, sf: str) -> DataFrame:
+    return dom.drop_subtree(scoped_nodes(spark, sf)).select("page", "side", "node_id")
+
+
+SCOPE = f"""{SCOPED}, {DOM_ANCESTORS}, inside AS (SELECT n.* FROM n JOIN a USING (page, side, node_id) WHERE a.anc = 1),
+rows_ AS (SELECT DISTINCT n.page, n.side, n.node_id FROM n JOIN a USING (page, side, node_id) JOIN n c ON c.page = a.page AND c.side = a.side AND c.node_id = a.anc WHERE n.is_row AND c.dom_id = 'content'),
+kinds AS (SELECT i.*, CASE WHEN (page, side, node_id) IN (SELECT (page, side, node_id) FROM rows_) THEN 'row' WHEN dom_id = 'content' THEN 'content' WHEN dom_id = 'content-shoehorned' THEN 'shoehorned' END AS kind FROM inside i),
+best AS (SELECT page, side, arg_min(node_id, (CASE WHEN side = 'stage' THEN CASE kind WHEN 'row' THEN 0 WHEN 'content' THEN 1 ELSE 2 END ELSE CASE kind WHEN 'shoehorned' THEN 0 WHEN 'row' THEN 1 ELSE 2 END END, ord)) AS scope FROM kinds WHERE kind IS NOT NULL GROUP BY 1, 2),
+scopes AS (SELECT n.page, n.side, coalesce(scope, 1) AS scope FROM n LEFT JOIN best ON best.page = n.page AND best.side = n.side WHERE n.node_id = 1),
+cands AS (SELECT n.page, n.side, n.node_id FROM n JOIN scopes s ON s.page = n.page AND s.side = n.side WHERE is_component AND CASE WHEN n.side = 'stage' THEN parent_id = scope ELSE (n.page, n.side, n.node_id, scope) IN (SELECT (page, side, node_id, anc) FROM a) END)"""
+
+
+@query(f"WITH {SCOPE} SELECT * FROM scopes", "fx_nodes_dom", recursive=True)
+def component_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    return dom.pick_scope(scoped_nodes(spark, sf))
+
+
+@query(f"WITH {SCOPE} SELECT * FROM cands", "fx_nodes_dom", recursive=True)
+def scope_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = scoped_nodes(spark, sf)
+    return dom.candidates(nodes, dom.pick_scope(nodes)).select("page", "side", "node_id")
+
+
+@query(f"WITH {SCOPE} SELECT DISTINCT page, side FROM n WHERE (page, side) NOT IN (SELECT (page, side) FROM cands)", "fx_nodes_dom", recursive=True)
+def pages_without_components(spark: SparkSession, sf: str) -> DataFrame:
+    return dom.pages_without_components(scoped_nodes(spark, sf))
+
+
 @query(
     f"""WITH {NODES} SELECT page, side, count(*) AS total, count(*) FILTER (state = 'hidden') AS hidden, count(*) FILTER (state = 'fixed') AS fixed, count(*) FILTER (state = 'invisible') AS invisible,
     count(*) FILTER (state = 'empty') AS empty, count(*) FILTER (state = 'kept') AS kept FROM c GROUP BY 1, 2""",

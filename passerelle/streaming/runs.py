@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from passerelle.plans.fixtures import FIXTURES
+from passerelle.sources.shared import shared_dir
 from passerelle.streaming.streams import stream_first_seen, stream_link_health, stream_progress
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='passerelle-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def pages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as a stream: of its own file beside other tables, or of its folder."""
     schema = spark.read.parquet(f"{sf_dir}/pages.parquet").schema
@@ -32,7 +26,7 @@ def captures_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream gives until its source is read to the end."""
     spark = stream.sparkSession
-    path = shared(spark)
+    path = shared_dir(spark, "stream")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{path}/out")
