@@ -97,7 +97,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     spans = found.groupBy("_key").agg(F.collect_set(F.struct("start", "length")).alias("hit_spans"))
     names_of = found.select("_key", "win_id").distinct().join(of_items, "win_id").groupBy("_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     hits = spans.join(names_of, "_key", "left")
-    out = keyed.withColumn("n_words", F.size(words(F.col("_text"))).cast("long")).drop("_text").join(hits, "_key", "left")
+    out = keyed.withColumn("n_words", F.size(words(F.col("_text"))).cast("long")).drop("_text").join(hits.hint("merge"), "_key", "left")  # hits grow with the documents: at no size broadcast
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
         *keep,
