@@ -47,7 +47,19 @@ def likeness(a: str, b: str, size: int = SIZE) -> Column:
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(2 * share / (1 + share))
 
 
-def with_next(df: DataFrame, key: str, columns: dict[str, str], tie: str, per_bucket: int = 4000, most: int = 4096) -> DataFrame:
+def listed(values: list, kind: str) -> Column:
+    """An array constant as one literal, however long."""
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast(f"array<{kind}>")
+
+
+def at_or_below(bounds: list[float], key: Column) -> Column:
+    """How many of the sorted bounds are at most the key: a binary search."""
+    held = listed(bounds, "double")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= len(bounds)) & (F.get(held, n + step - 1) <= key), n + step).otherwise(n))
+
+
+def with_next(df: DataFrame, key: str, columns: dict[str, str], tie: str, per_bucket: int = 4000, most: int = 1 << 16) -> DataFrame:
     """df with the named columns of the next row by ascending key, after the last the first; ties by `tie`, nulls first.
 
     Rows are dealt to ranges of the numeric key, each with a second copy of the next range's first rows, so one shuffle
@@ -56,17 +68,17 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str], tie: str, per_bu
     n = df.count()
     ranges = max(1, min(most, n // per_bucket))
     bounds = sorted(set(df.select(key).approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-    of = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    of = at_or_below(bounds, F.col(key)) if bounds else F.lit(0)
     df = df.withColumn("_range", F.when(F.col(key).isNull(), F.lit(0)).otherwise(of))
     # the least key of each range that has rows: `most` values
     least = {r[0]: r[1] for r in df.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull(), F.col(key).alias("k")))["k"].alias("k")).collect()}
     held = sorted(least)
     before = {b: held[i - 1] for i, b in enumerate(held)}
-    twice = F.lit(None)
-    for b in held:
-        twice = F.when((F.col("_range") == b) & F.col(key).eqNullSafe(F.lit(least[b])), F.lit(before[b])).otherwise(twice)
+    every = range(len(bounds) + 1)
+    head = F.get(listed([least.get(b) for b in every], df.schema[key].dataType.simpleString()), F.col("_range"))
+    twice = F.when(F.col(key).eqNullSafe(head), F.get(listed([before.get(b) for b in every], "int"), F.col("_range")))
     dealt = F.array_compact(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("again")), F.when(F.col("_twice").isNotNull(), F.struct(F.col("_twice").alias("r"), F.lit(1).alias("again")))))
-    df = df.withColumn("_twice", twice.cast("int")).withColumn("_in", F.explode(dealt)).drop("_range", "_twice")
+    df = df.withColumn("_twice", twice).withColumn("_in", F.explode(dealt)).drop("_range", "_twice")
     # plain columns, so that all leads share one shuffle
     df = df.select("*", F.col("_in.r").alias("_r"), F.col("_in.again").alias("_again")).drop("_in")
     w = Window.partitionBy("_r").orderBy("_again", F.col(key).asc_nulls_first(), tie)

@@ -127,7 +127,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:0
     return written(records.mapInPandas(of, MANIFEST), "archives")
 
 
-def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
+def normalise(archives: DataFrame, folder: str, level: int = 6, most_tasks: int = 20_000) -> DataFrame:
     """Each archive of the manifest anew, with a member per record, and beside it `.idx`: a JSON line (path, offset, length) per record.
 
     Inputs of several members are read as well. One that ends within a record, or holds something else, raises.
@@ -150,11 +150,11 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
                         offset, n = end, n + 1
                 yield pd.DataFrame([(path, n)], columns=["path", "records"])
 
-    spread = archives.repartition(max(1, archives.count()), "path")
+    spread = archives.repartition(max(1, min(most_tasks, archives.count())), "path")
     return written(spread.mapInPandas(of, MANIFEST), "normalised")
 
 
-def read_records(archives: DataFrame) -> DataFrame:
+def read_records(archives: DataFrame, most_tasks: int = 20_000) -> DataFrame:
     """A row per record of normalised archives, each sought by its index entry: page, kind, refers, payload_bytes, payload_digest, stored (the payload; null in revisits)."""
     spark = archives.sparkSession
 
@@ -183,7 +183,7 @@ def read_records(archives: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page", "kind", "refers", "payload_bytes", "payload_digest", "stored"])
 
     small_batches(spark)
-    index = archives.select("path").repartition(max(1, archives.count()), "path").mapInPandas(entries, INDEX)
+    index = archives.select("path").repartition(max(1, min(most_tasks, archives.count())), "path").mapInPandas(entries, INDEX)
     return index.mapInPandas(of, "page string, kind string, refers string, payload_bytes long, payload_digest string, stored binary")
 
 
