@@ -286,7 +286,10 @@ def anchor_links(spark: SparkSession, sf: str) -> DataFrame:
 # --- link health
 
 
-@query()
+@query(
+    r"""SELECT DISTINCT url AS page, regexp_extract(url, '^[a-z]+://[^/?#]*') || replace(url_encode(h), '%2F', '/') AS link
+    FROM (SELECT url, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) AS h FROM pages) WHERE h LIKE '/%'"""
+)
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return health.page_links(crawl.anchor_links(pages_of(spark, sf)))
 
