@@ -49,11 +49,8 @@ def released(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint(), with a folder in place."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
-    return df.checkpoint()
+    """A round of an iteration, written: unlike checkpoint() it keeps none of the plan's constraints, which unions of later rounds trip over."""
+    return written(df, "round")
 
 
 def fold(key: str, folds: int) -> Column:
