@@ -287,7 +287,7 @@ def anchor_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT DISTINCT url AS page, regexp_extract(url, '^[a-z]+://[^/?#]*') || replace(url_encode(h), '%2F', '/') AS link
+    r"""SELECT DISTINCT url AS page, regexp_extract(url, '^[a-z]+://[^/?#]*') || replace(replace(url_encode(h), '%2F', '/'), '%2C', ',') AS link
     FROM (SELECT url, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) AS h FROM pages) WHERE h LIKE '/%'"""
 )
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
