@@ -2,9 +2,9 @@
 
 Documents are tokenised and cut into pieces of at most `size` tokens. How many pieces have each length is all
 that the program needs: at most `size` numbers, whatever the corpus. Its variables are patterns, the ways to fill
-one sequence. Multiplicative weights price the lengths, a knapsack dynamic program finds the best pattern at these
-prices, and the pattern mix is rounded down; what rounding leaves is packed best-fit, again by counts. Pieces then take their
-places by length and by their rank within it.
+one sequence. Multiplicative weights price the lengths, a knapsack dynamic program finds the best patterns at these
+prices, and rounds go on until the cover's value and the dual bound agree within `gap`. Amounts are rounded to whole sequences; what
+that leaves is packed best-fit, again by counts. Pieces then take their places by length and by their rank within it.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passerelle.llm.common import read, small_batches, written
+from passerelle.llm.common import read, written
 
 SIZE, END = 2048, 0
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
@@ -58,7 +59,6 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, vocabulary: tuple[str, str, str] = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "<|endoftext|>")) -> DataFrame:
     """A row per piece, without its place; a null text counts as empty and still ends with `end`."""
-    small_batches(docs.sparkSession, 256)
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = encoder(*vocabulary)
@@ -73,49 +73,94 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(of, PIECES.format(id=kind))
 
 
-def best_pattern(lengths: np.ndarray, prices: np.ndarray, size: int) -> Counter:
-    """The lengths (repeats allowed) that fill a sequence at the highest total price."""
-    best, taken = np.zeros(size + 1), np.full(size + 1, -1)
+def worths(lengths: np.ndarray, prices: np.ndarray, size: int) -> np.ndarray:
+    """The knapsack program: the highest total price of lengths (repeats allowed) that fit in each room from 0 to size."""
+    best, known = np.zeros(size + 1), np.searchsorted(lengths, np.arange(size + 1), "right")
     for room in range(int(lengths[0]), size + 1):
-        k = np.searchsorted(lengths, room, "right")
-        worth = best[room - lengths[:k]] + prices[:k]
-        j = int(worth.argmax())
-        if worth[j] > best[room - 1] + 1e-15:
-            best[room], taken[room] = worth[j], j
-        else:
-            best[room] = best[room - 1]
-    out, room = Counter(), size
-    while room > 0:
-        if taken[room] < 0:
-            room -= 1
-        else:
-            out[int(lengths[taken[room]])] += 1
-            room -= int(lengths[taken[room]])
-    return out
+        k = known[room]
+        best[room] = max(best[room - 1], (best[room - lengths[:k]] + prices[:k]).max())
+    return best
+
+
+def priced(lengths: np.ndarray, prices: np.ndarray, left: np.ndarray, first: int, best: np.ndarray, size: int) -> tuple[Counter, float]:
+    """(pattern as positions in lengths, its total price): the one that the knapsack finds with `first`, of what is left."""
+    own, room, worth, live = Counter({first: 1}), size - int(lengths[first]), prices[first], prices.copy()
+    live[left < 1e-9] = -np.inf
+    if left[first] < 2:
+        live[first] = -np.inf
+    while room >= lengths[0]:
+        k = int(np.searchsorted(lengths, room, "right"))
+        total = best[room - lengths[:k]] + live[:k]
+        j = int(total.argmax())
+        if total[j] == -np.inf:
+            break
+        own[j] += 1
+        room, worth = room - int(lengths[j]), worth + prices[j]
+        if own[j] + 1 > left[j]:
+            live[j] = -np.inf
+    return own, float(worth)
 
 
-def mixed(count: dict[int, int], size: int, rounds: int, step: float, heat: float) -> list[tuple[Counter, float]]:
-    """Patterns with fractional amounts: a solution of the covering program by multiplicative weights.
+def covering(lengths: np.ndarray, prices: np.ndarray, need: np.ndarray, size: int, slack: float) -> tuple[Counter, float, np.ndarray]:
+    """A cover of the whole demand at these prices: (amounts of patterns, price of the best pattern, how near to it each length's patterns come).
 
-    A length's price starts at its share of a sequence, the dual of a perfect packing, and falls by
-    exp(-heat) as its demand is met; each round adds the best pattern, by `step` of its scarcest length.
+    Patterns are taken while they are worth the best of the open lengths, or `slack` less; then the knapsack is solved anew for
+    what is open. What fits badly is left to the end, in patterns worth less, which tells the next round to price it higher.
+    """
+    left, out, got, top, reached = need.copy(), Counter(), np.zeros(len(lengths)), None, np.inf
+    while len(open_ := np.flatnonzero(left > 1e-9)):
+        own, price, cap = lengths[open_], prices[open_], left[open_]
+        best = worths(own, price, size)
+        top = best[size] if top is None else top
+        least, reached = (1 - slack) * min(best[size], reached), 0.0
+        for first in np.flatnonzero(price + best[size - own] >= least)[::-1]:
+            while cap[first] > 1e-9:
+                pattern, worth = priced(own, price, cap, first, best, size)
+                if worth < least:
+                    reached = max(reached, worth)
+                    break
+                amount = min(cap[j] / m for j, m in pattern.items())
+                amount = np.floor(amount) if amount > 1 else amount
+                for j, m in pattern.items():
+                    cap[j] -= amount * m
+                    got[open_[j]] += amount * m * worth
+                out[tuple(sorted((int(own[j]) for j in pattern.elements()), reverse=True))] += float(amount)
+        if cap.sum() < left[open_].sum():
+            reached = max(reached, least)
+        left[open_] = cap
+    return out, float(top), got / need / top
+
+
+@dataclass
+class Program:
+    """A solution of the configuration program: amounts of patterns that cover the demand, their sum, and a lower bound of any cover's."""
+
+    amounts: dict[tuple[int, ...], float]
+    value: float
+    bound: float
+    rounds: int
+
+
+def solve(count: dict[int, int], size: int, gap: float = 5e-4, heat: float = 0.5, most: int = 200, grain: int = 64) -> Program:
+    """The covering program over all patterns, by multiplicative weights, until value <= (1 + gap) * bound or `most` rounds are done.
+
+    Prices start at a length's share of a sequence, the dual of a perfect packing. Each round covers the demand at its prices, in
+    amounts of 1/grain at least, and multiplies a length's price by exp(heat * shortfall), the shortfall being how much less than the best
+    pattern's its own patterns were worth. Prices over the best pattern's are a feasible dual, whose value no packing beats.
     """
     lengths = np.array(sorted(count))
-    need = np.array([count[n] for n in lengths], float)
-    met, at, out = np.zeros(len(lengths)), {int(n): i for i, n in enumerate(lengths)}, []
-    for _ in range(rounds):
-        open_ = np.flatnonzero(met < need)
-        if not len(open_):
+    need = np.array([count[n] for n in lengths], float) * grain
+    prices, bound, value, kept = lengths / size, 0.0, np.inf, Counter()
+    for turn in range(1, most + 1):
+        amounts, top, got = covering(lengths, prices, need, size, min(0.004, 8 * gap))
+        bound = max(bound, float(need @ prices) / top / grain)
+        if (total := sum(amounts.values()) / grain) < value:
+            value, kept = total, amounts
+        if value <= (1 + gap) * bound:
             break
-        share = met[open_] / need[open_]
-        pattern = best_pattern(lengths[open_], lengths[open_] / size * np.exp(-heat * share), size)
-        amount = max(1e-9, min(step * need[at[n]] / k for n, k in pattern.items()))
-        amount = min(amount, *[max(0.0, need[at[n]] - met[at[n]]) / k for n, k in pattern.items()])
-        for n, k in pattern.items():
-            met[at[n]] += amount * k
-        met[(need - met) < 1e-6] = need[(need - met) < 1e-6]
-        out.append((pattern, amount))
-    return out
+        prices = prices * np.exp(heat * (1 - got))
+        prices /= prices.max()
+    return Program({p: a / grain for p, a in kept.items()}, value, bound, turn)
 
 
 def best_fit(count: dict[int, int], size: int) -> Counter:
@@ -148,19 +193,31 @@ def best_fit(count: dict[int, int], size: int) -> Counter:
     return out
 
 
-def plan(count: dict[int, int], size: int = SIZE, rounds: int = 160, step: float = 0.5, heat: float = 1.0) -> Counter:
-    """Patterns and how many sequences have each; every piece of the histogram has a place."""
-    left, out = Counter({n: k for n, k in count.items() if n < size}), Counter()
+def rounded(count: dict[int, int], amounts: dict[tuple[int, ...], float]) -> tuple[Counter, Counter]:
+    """(whole patterns, what they leave): amounts rounded up as far as there are pieces, largest amounts first, then the largest fractions."""
+    left, out = Counter(count), Counter()
+    for pattern, amount in sorted(amounts.items(), key=lambda x: (-(x[1] // 1), -(x[1] % 1), -sum(x[0]), x[0])):
+        k = min(-int(-(amount - 1e-9) // 1), *[left[n] // m for n, m in Counter(pattern).items()])
+        if k > 0:
+            out[pattern] += k
+            left.subtract({n: m * k for n, m in Counter(pattern).items()})
+    return out, +left
+
+
+def plan(count: dict[int, int], size: int = SIZE, gap: float = 5e-4, most: int = 200) -> Counter:
+    """Patterns and how many sequences have each; every piece of the histogram has a place.
+
+    Full pieces are sequences of their own. For the others the program is solved and rounded; the pieces that rounding leaves, a few in a
+    hundred at most where lengths have few pieces each, are packed best-fit.
+    """
+    out, small = Counter(), {n: k for n, k in count.items() if 0 < n < size and k}
     if count.get(size):
         out[(size,)] = count[size]
-    for pattern, amount in sorted(mixed(left, size, rounds, step, heat), key=lambda x: -x[1]) if left else []:
-        k = min(int(amount + 1e-9), *[left[n] // m for n, m in pattern.items()])
-        if k > 0:
-            out[tuple(sorted(pattern.elements(), reverse=True))] += k
-            left.subtract({n: m * k for n, m in pattern.items()})
-    left = +left
-    if left:
-        out.update(best_fit(left, size))
+    if small:
+        whole, left = rounded(small, solve(small, size, gap, most=most).amounts)
+        out.update(whole)
+        if left:
+            out.update(best_fit(left, size))
     return out
 
 

@@ -60,7 +60,7 @@ def test_plan_places_everything_tightly():
     count = defaultdict(int)
     for _ in range(4000):
         count[min(256, int(rng.paretovariate(0.7)) + 5)] += 1
-    patterns = packing.plan(dict(count), 256, rounds=60)
+    patterns = packing.plan(dict(count), 256, gap=2e-3)
     got = defaultdict(int)
     for p, k in patterns.items():
         assert sum(p) <= 256 and k > 0
@@ -72,6 +72,74 @@ def test_plan_places_everything_tightly():
     assert packing.plan({}, 256) == {}
 
 
+def all_patterns(lengths, size):
+    if not lengths:
+        return [()]
+    n, *rest = lengths
+    return [(n,) * k + p for k in range(size // n + 1) for p in all_patterns(rest, size - n * k)]
+
+
+def fewest(pieces, size):
+    """The fewest sequences for a few pieces, by trying every subset with the largest one."""
+    from functools import lru_cache
+
+    @lru_cache(maxsize=None)
+    def of(left):
+        if not left:
+            return 0
+        first, rest = left[0], left[1:]
+        best = len(left)
+        for pick in range(1 << len(rest)):
+            own = [x for i, x in enumerate(rest) if pick >> i & 1]
+            if first + sum(own) <= size:
+                best = min(best, 1 + of(tuple(x for i, x in enumerate(rest) if not pick >> i & 1)))
+        return best
+
+    return of(tuple(sorted(pieces, reverse=True)))
+
+
+def test_program_is_within_its_gap_of_the_optimum():
+    import numpy as np
+
+    rng = random.Random(11)
+    for _ in range(12):
+        size = rng.choice([12, 20, 31])
+        count = {n: rng.randint(1, 3) for n in rng.sample(range(2, size), 4)}
+        program = packing.solve(count, size, gap=0.02)
+        met = defaultdict(float)
+        for p, a in program.amounts.items():
+            assert sum(p) <= size
+            for n in p:
+                met[n] += a
+        assert all(met[n] >= k - 1e-6 for n, k in count.items())
+        assert abs(sum(program.amounts.values()) - program.value) < 1e-6 and program.value <= 1.02 * program.bound
+        # no packing beats the bound, and whole sequences can't be fewer than it
+        best = fewest([n for n, k in count.items() for _ in range(k)], size)
+        assert program.bound <= best + 1e-9
+        assert sum(packing.plan(count, size).values()) <= best + 1
+    # exact optima: no two share a sequence; two shapes; thirds with fractional amounts
+    for count, size, optimum in (({6: 5, 7: 2}, 10, 7), ({6: 3, 4: 3}, 10, 3), ({3: 10}, 10, 10 / 3), ({5: 3, 4: 4, 3: 4}, 12, 43 / 12)):
+        program = packing.solve(count, size, gap=0.01, grain=48)
+        assert program.bound <= optimum * 1.0001 and program.value >= optimum * 0.9999 and program.value <= 1.011 * optimum
+    # the knapsack's prices are those of all patterns
+    lengths, prices = np.array([3, 5, 7]), np.array([0.31, 0.5, 0.72])
+    best = packing.worths(lengths, prices, 20)
+    value = dict(zip(lengths.tolist(), prices.tolist(), strict=True))
+    for room in range(21):
+        assert abs(best[room] - max(sum(value[n] for n in p) for p in all_patterns([3, 5, 7], room))) < 1e-9
+
+
+def test_the_program_places_nearly_all_pieces():
+    rng = random.Random(12)
+    count = defaultdict(int)
+    for _ in range(6000):
+        count[min(511, int(rng.lognormvariate(4.6, 1)) + 2)] += 1
+    whole, left = packing.rounded(dict(count), packing.solve(dict(count), 512, gap=2e-3).amounts)
+    assert sum(left.values()) <= 0.05 * 6000
+    n = sum(packing.plan(dict(count), 512, gap=2e-3).values())
+    assert n <= 1.005 * sum(a * k for a, k in count.items()) / 512 + 1
+
+
 def test_cut():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(4, 4) == [(0, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)]
 
