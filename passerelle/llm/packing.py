@@ -141,7 +141,7 @@ class Program:
     rounds: int
 
 
-def solve(count: dict[int, int], size: int, gap: float = 5e-4, heat: float = 0.5, most: int = 200, grain: int = 64) -> Program:
+def solve(count: dict[int, int], size: int, gap: float = 1e-3, heat: float = 0.5, most: int = 200, grain: int = 64) -> Program:
     """The covering program over all patterns, by multiplicative weights, until value <= (1 + gap) * bound or `most` rounds are done.
 
     Prices start at a length's share of a sequence, the dual of a perfect packing. Each round covers the demand at its prices, in
@@ -204,7 +204,7 @@ def rounded(count: dict[int, int], amounts: dict[tuple[int, ...], float]) -> tup
     return out, +left
 
 
-def plan(count: dict[int, int], size: int = SIZE, gap: float = 5e-4, most: int = 200) -> Counter:
+def plan(count: dict[int, int], size: int = SIZE, gap: float = 1e-3, most: int = 24) -> Counter:
     """Patterns and how many sequences have each; every piece of the histogram has a place.
 
     Full pieces are sequences of their own. For the others the program is solved and rounded; the pieces that rounding leaves, a few in a

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -176,3 +177,68 @@ def test_contamination(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(frame, none).where("contaminated").count() == 0
     assert decontaminate.contamination(frame.where("false"), none).count() == 0
+
+
+def test_contamination_of_keys_with_nulls_and_separators(spark):
+    rows = spark.createDataFrame([(None, "5|one two"), ("5", "one two"), ("5|one two", None), ("5", None), (None, None)], "doc_id string, text string")
+    items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    got = sorted(((r["doc_id"] or "", r["text"] or "", r["n_words"], r["n_hit"]) for r in decontaminate.contamination(rows, items).collect()))
+    assert got == [("", "", 0, 0), ("", "5|one two", 3, 2), ("5", "", 0, 0), ("5", "one two", 2, 2), ("5|one two", "", 0, 0)]
+
+
+def timed(run, small, large):
+    """Seconds on the small and the large input, after a first run of the small one."""
+    run(small)
+    out = []
+    for df in (small, large):
+        began = time.time()
+        run(df)
+        out.append(time.time() - began)
+    return out
+
+
+def test_time_is_linear_in_a_text(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(500)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = spark.createDataFrame([(i, text(40)) for i in range(50)], "item_id long, text string")
+    of = lambda n: spark.createDataFrame([(1, text(n))], DOCS)
+    a, b = timed(lambda df: decontaminate.contamination(df, items).collect(), of(80_000), of(320_000))
+    assert b <= 5 * a
+
+
+def test_secrets_of_many_matches_in_linear_time(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["token=abcdef12", "password: hunter2x", "AKIA" + "".join(rng.choices("AB12", k=16)), "word"]) for _ in range(n))
+    of = lambda n: spark.createDataFrame([(1, text(n))], DOCS)
+
+    def run(df):
+        r = secrets.find(df).withColumn("clean", secrets.redacted(F.col("text"), F.col("found"), "#")).head()
+        assert [tuple(s) for s in r["base"]] == brute_base(r["text"])
+        assert len(r["clean"]) == len(r["text"]) - sum(s["end"] - s["start"] - 1 for s in r["found"])
+
+    a, b = timed(run, of(8_000), of(32_000))
+    assert b <= 5 * a
+
+
+def test_random_keys_of_each_alphabet(spark):
+    rng = random.Random(9)
+    syllables = ["ka", "ro", "mi", "ten", "sol", "ver", "an", "de", "in", "pro", "20", "7", "Al", "Be"]
+    rows = [(i, "see " + "".join(rng.choices(syllables, k=rng.randint(7, 30))) + " and " + "".join(rng.choices(syllables[:10], k=rng.randint(8, 20)))) for i in range(3000)]
+    kinds = {"lower_digits": (secrets.DIGITS + secrets.LOWERS, (64, 100, 256)), "upper_digits": (secrets.DIGITS + secrets.UPPERS, (64, 100, 256)), "base62": (secrets.DIGITS + secrets.UPPERS + secrets.LOWERS, (32, 44, 64, 256)), "base64": (secrets.ENCODINGS[-1][2], (32, 44, 64, 256)), "lower": (secrets.LOWERS, (128, 256))}
+    keys = {}
+    for letters, sizes in kinds.values():
+        for n in sizes:
+            for _ in range(4):
+                keys[10_000 + len(keys)] = "".join(rng.choices(letters, k=n))
+    rows += [(i, f"key {k} end") for i, k in keys.items()]
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"] if s["kind"] == "random"] for r in secrets.find(spark.createDataFrame(rows, DOCS)).collect()}
+    missed = [k for i, k in keys.items() if found[i] != [(4, 4 + len(k))]]
+    assert len(missed) <= 0.15 * len(keys) and all(len(k) < 65 for k in missed), missed
+    assert sum(bool(v) for i, v in found.items() if i < 10_000) <= 3
+
+
+def test_secrets_of_keys_with_nulls_and_separators(spark):
+    rows = spark.createDataFrame([(None, "5|token=abcdefg"), ("5", "token=abcdefg"), ("5|token=abcdefg", None), ("5", "token=abcdefg")], "doc_id string, text string")
+    got = sorted((r["doc_id"] or "", r["text"] or "", len(r["found"])) for r in secrets.find(rows).collect())
+    assert got == [("", "5|token=abcdefg", 1), ("5", "token=abcdefg", 1), ("5", "token=abcdefg", 1), ("5|token=abcdefg", "", 0)]
