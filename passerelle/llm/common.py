@@ -3,34 +3,20 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to Python: texts can be long, and a batch is held whole.
-BATCH_ROWS = 512
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Python workers get at most so many rows at once, so that long texts fit their memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where that is unset (local tests), a temporary folder becomes the checkpoint folder.
-    """
+    """A new folder below spark.checkpoint.dir, which driver and executors share; it must be set, as local folders aren't shared."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='passerelle-')}"
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -59,8 +45,9 @@ def fold(key: str, folds: int) -> Column:
 
 
 def row_key(*columns: str) -> Column:
-    """A digest of the columns' text: rows that repeat have the same. Nulls differ from the empty text only beside others."""
-    return F.unhex(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])))
+    """A digest of the columns' text that repeated rows share, and no others: each value goes in behind its length, a null as a mark."""
+    text = [F.col(c).cast("string") for c in columns]
+    return F.unhex(F.md5(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])))
 
 
 def sampled(rows: DataFrame, label: str, key: str, per_label: int, seed: int = 17, max_labels: int = 1000) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passerelle.llm.common import fold, read, sampled, small_batches
+from passerelle.llm.common import fold, read, sampled
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SCHEMA = "lang_pred string, score double, margin double, rejected boolean"
@@ -74,7 +74,6 @@ def predict(docs: DataFrame, models: dict[str, bytes], text: str = "text", block
     with margin 0. Columns of these names in docs are replaced; docs may be empty.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(tuple(sorted(models.items())))
 
     @F.pandas_udf(SCHEMA)

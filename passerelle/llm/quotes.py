@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passerelle.llm.common import checkpointed, hot_join, read, small_batches, written
+from passerelle.llm.common import checkpointed, hot_join, read, written
 
 MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 PARSED = "own_text string, max_level int, own array<binary>, quoted array<struct<level:int,hash:binary,chars:int>>"
@@ -61,7 +61,6 @@ def parse(text: str | None) -> tuple[str | None, int, list[bytes], list[tuple[in
 
 
 def parsed(messages: DataFrame, text: str) -> DataFrame:
-    small_batches(messages.sparkSession)
 
     @F.pandas_udf(PARSED)
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

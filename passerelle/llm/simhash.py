@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from passerelle.llm.common import checkpointed, hot_join, read, row_key, small_batches, written
+from passerelle.llm.common import checkpointed, hot_join, read, row_key, written
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Distinct fingerprints of a bucket that are compared pair by pair; larger buckets go through flipped keys.
@@ -126,7 +126,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies are never paired with each other. component_id is the smallest non-null doc_id that is reachable; repeated
     doc_ids stay separate rows. Other columns of docs are not read.
     """
-    small_batches(docs.sparkSession)
     rows = written(docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), simhash(F.col(text)).alias("fp")), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     roots = components(links(nodes.select("fp"), radius, large))

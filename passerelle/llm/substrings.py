@@ -18,7 +18,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passerelle.llm.common import hot_join, read, released, small_batches, written
+from passerelle.llm.common import hot_join, read, released, written
 
 WINDOW, GRAM = 35, 8
 #: Cells of a sketch block, and words that are hashed at once (a longer text goes alone).
@@ -233,7 +233,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
     most window - gram + 1 <= 62 windows share an anchor.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     names = ("n_words", "n_removed", "kept", "kept_sha256")
     keep = [c for c in docs.columns if c not in names]
     key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_key")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passerelle.llm.common import fold, read, sampled, small_batches
+from passerelle.llm.common import fold, read, sampled
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: The chain runs over segments of so many tokens; the last of a text may be shorter.
@@ -223,7 +223,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", span_at: float =
     spans and the score of a text without toxic tokens.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("toxic_score double, toxic_spans array<struct<start:int,end:int,p:double>>")

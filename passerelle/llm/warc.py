@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passerelle.llm.common import hot_join, read, shared_dir, small_batches, written
+from passerelle.llm.common import hot_join, read, shared_dir, written
 
 GZIP, STEP = 31, 1 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -182,7 +182,6 @@ def read_records(archives: DataFrame, most_tasks: int = 20_000) -> DataFrame:
                             rows.append((page, kind, None, len(payload), hashlib.sha256(payload).hexdigest(), payload))
             yield pd.DataFrame(rows, columns=["page", "kind", "refers", "payload_bytes", "payload_digest", "stored"])
 
-    small_batches(spark)
     index = archives.select("path").repartition(max(1, min(most_tasks, archives.count())), "path").mapInPandas(entries, INDEX)
     return index.mapInPandas(of, "page string, kind string, refers string, payload_bytes long, payload_digest string, stored binary")
 
@@ -204,7 +203,6 @@ def archive_records(pages: DataFrame, page_id: str = "page_id", url: str = "url"
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    small_batches(spark)
     archives = write_archives(archive_records(pages), shared_dir(spark, "warc"))
     records = read_records(normalise(archives, shared_dir(spark, "warc-members")))
     kind = pages.schema["page_id"].dataType
