@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary made of a bounded sample of its labelled texts.
+Each language has a raw-content zstandard dictionary made of the whole texts of a bounded sample of its labelled rows.
 A text is compressed block by block with every dictionary; the language with the smallest total wins,
 and a narrow margin between the best two marks the row as rejected.
 """
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from passerelle.llm.common import fold, read, sampled
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: zstandard level of every block, short or long.
+LEVEL = 6
 SCHEMA = "lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -27,15 +29,15 @@ def letters(text: str) -> bytes:
     return " ".join(LETTERS.findall(text.lower())).encode()
 
 
-def fit(labelled: DataFrame, key: str, text: str, lang: str, docs_per_lang: int = 120, chars_per_doc: int = 800, dict_bytes: int = 98304) -> dict[str, bytes]:
-    """A dictionary for each language: excerpts of at most docs_per_lang labelled texts, dict_bytes at most."""
+def fit(labelled: DataFrame, key: str, text: str, lang: str, docs_per_lang: int = 40) -> dict[str, bytes]:
+    """A dictionary for each language: the whole texts of about 1.1 * docs_per_lang + 40 labelled rows, repeats once, in the order of a hash."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    picked = sampled(rows, lang, key, docs_per_lang).select(F.col(lang), F.substring(text, 1, 4 * chars_per_doc).alias("text"), F.xxhash64(F.lit(5), text).alias("h")).collect()
-    found: dict[str, list[tuple[int, bytes]]] = {}
+    picked = sampled(rows, lang, key, docs_per_lang).select(F.col(lang), F.col(text), F.xxhash64(F.lit(5), text)).collect()
+    found: dict[str, dict[bytes, int]] = {}
     for value, body, h in picked:
-        if cut := letters(body)[:chars_per_doc].rpartition(b" ")[0]:
-            found.setdefault(value, []).append((h, cut))
-    return {value: b" ".join(cut for _, cut in sorted(set(cuts)))[-dict_bytes:] for value, cuts in found.items()}
+        if words := letters(body):
+            found.setdefault(value, {})[words] = h
+    return {value: b" ".join(sorted(own, key=lambda w: (own[w], w))) for value, own in found.items()}
 
 
 @lru_cache(maxsize=8)
@@ -50,14 +52,12 @@ def compressors(items: tuple[tuple[str, bytes], ...], level: int) -> list[tuple[
     return out
 
 
-def classify(text: str | None, models: tuple[tuple[str, bytes], ...], block: int, level: int, short: int, short_level: int, narrow: float) -> tuple[str, float, float, bool]:
+def classify(text: str | None, models: tuple[tuple[str, bytes], ...], block: int, level: int, narrow: float) -> tuple[str, float, float, bool]:
     """(language, score, margin, rejected) of a whole text."""
     body = letters(text) if text else b""
     if not body or not models:
         return "und", 0.0, 0.0, True
-    # a block of a short text leaves little to compress, so it gets the thorough level
-    by = compressors(models, short_level if len(body) < short else level)
-    sizes = sorted((sum(len(c.compress(body[i : i + block])) for i in range(0, len(body), block)), value) for value, c in by)
+    sizes = sorted((sum(len(c.compress(body[i : i + block])) for i in range(0, len(body), block)), value) for value, c in compressors(models, level))
     best = sizes[0][0]
     if len(sizes) == 1:
         return sizes[0][1], 1.0, 1.0, False
@@ -67,7 +67,7 @@ def classify(text: str | None, models: tuple[tuple[str, bytes], ...], block: int
     return sizes[0][1], min(1.0, score), margin, margin < narrow
 
 
-def predict(docs: DataFrame, models: dict[str, bytes], text: str = "text", block: int = 1024, level: int = 6, short: int = 256, short_level: int = 19, narrow: float = 0.02) -> DataFrame:
+def predict(docs: DataFrame, models: dict[str, bytes], text: str = "text", block: int = 1024, level: int = LEVEL, narrow: float = 0.02) -> DataFrame:
     """docs with lang_pred, score (0 to 1), margin and rejected.
 
     A null text and one without letters give `und`, score 0 and rejected. Equal sizes go to the smaller name,
@@ -79,7 +79,7 @@ def predict(docs: DataFrame, models: dict[str, bytes], text: str = "text", block
     @F.pandas_udf(SCHEMA)
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([classify(t, sent.value, block, level, short, short_level, narrow) for t in part], columns=["lang_pred", "score", "margin", "rejected"])
+            yield pd.DataFrame([classify(t, sent.value, block, level, narrow) for t in part], columns=["lang_pred", "score", "margin", "rejected"])
 
     names = ("lang_pred", "score", "margin", "rejected")
     return docs.drop(*names).withColumn("_lang", of(F.col(text))).select(*[c for c in docs.columns if c not in names], "_lang.*")

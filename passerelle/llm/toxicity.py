@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Documents are labelled as wholes, so tokens get their labels in one step of weak supervision: in toxic documents,
-tokens with a feature that is telling of toxic documents are toxic, all others are not. The field has two states, features of
-a token's word, prefixes and suffixes, and transitions. Forward-backward gives each token's marginal; a logistic
+The field has two states, features of a token's word, prefixes and suffixes, and transitions; its chain runs over a whole text.
+Documents are labelled as wholes. Training starts from weak token labels (in toxic documents, tokens with a feature
+that is telling of toxic documents) and goes on with the documents' labels themselves: the likelihood that a clean text
+has no toxic token and a toxic one has any. Forward-backward gives each token's marginal and each pair's; a logistic
 model turns a document's marginals into its score, and runs of high marginals are its toxic spans.
 """
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from passerelle.llm.common import fold, read, sampled
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: The chain runs over segments of so many tokens; the last of a text may be shorter.
-SEGMENT = 64
+#: Tokens of a row: chains are computed a row at a time, and messages go on from each row to the next.
+ROW = 64
+#: Characters that a worker or a step of training looks at together; a longer text goes alone.
+LOT = 1 << 20
 #: Words whose features a worker remembers.
 MEMO = 400_000
 
@@ -42,52 +45,84 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) for p in parts]
 
 
-def marginals(emission: np.ndarray, present: np.ndarray, stay: np.ndarray) -> np.ndarray:
-    """P(toxic) of each token: forward-backward over rows of segments at once, in odds of the scaled messages.
+@dataclass
+class Chains:
+    """What forward-backward says of texts: P(toxic) of each token, the expected transitions [text, from, to], and log P(no toxic token)."""
+
+    p: np.ndarray
+    moves: np.ndarray
+    clean: np.ndarray
+
+
+def chains(scores: np.ndarray, lengths: np.ndarray, stay: np.ndarray, moves: bool = False) -> Chains:
+    """Forward-backward over whole texts, whose tokens' scores for the toxic state are concatenated.
 
-    emission: the toxic state's score; present: false where a row's segment has ended.
+    Rows of ROW tokens are run together. A first pass gives each row's transfer matrix; by these the messages pass from row to
+    row of a text, in order, and enter the second pass from both sides. Messages are scaled to a sum of one.
     """
-    rows, width = emission.shape
-    e = np.exp(np.clip(emission, -30, 30))
+    n_texts = len(lengths)
+    if not len(scores):
+        return Chains(scores, np.zeros((n_texts, 2, 2)), np.zeros(n_texts))
+    rows_of = -(-lengths // ROW)
+    text = np.repeat(np.arange(n_texts), rows_of)
+    top = np.cumsum(rows_of) - rows_of
+    turn = np.arange(len(text)) - top[text]
+    within = np.arange(len(scores)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    row, col = np.repeat(top, lengths) + within // ROW, within % ROW
+    e, present = np.ones((ROW, len(text))), np.zeros((ROW, len(text)), bool)
+    e[col, row], present[col, row] = np.exp(np.clip(scores, -30, 30)), True
     t = np.exp(stay)
-    ahead, back = np.empty((2, rows, width)), np.ones((2, rows, width))
-    a = np.full((2, rows), 0.5)
-    for k in range(width):
-        a = np.stack([a[0], a[1] * e[:, k]]) if k == 0 else np.stack([a[0] * t[0, 0] + a[1] * t[1, 0], (a[0] * t[0, 1] + a[1] * t[1, 1]) * e[:, k]])
-        a /= a.sum(0)
-        ahead[:, :, k] = a
-    b = np.ones((2, rows))
-    for k in range(width - 2, -1, -1):
-        on = present[:, k + 1]
-        c = b * np.stack([np.ones(rows), e[:, k + 1]])
-        c = np.stack([t[0, 0] * c[0] + t[0, 1] * c[1], t[1, 0] * c[0] + t[1, 1] * c[1]])
-        b = np.where(on, c / c.sum(0), 1.0)
-        back[:, :, k] = b
-    both = ahead * back
-    return both[1] / both.sum(0)
-
-
-def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the tokens of concatenated texts go in rows of SEGMENT: (row, column)."""
-    rows_of = -(-lengths // SEGMENT)
-    first = np.concatenate([[0], np.cumsum(rows_of)[:-1]]) if len(lengths) else np.zeros(0, "int64")
-    within = np.arange(lengths.sum()) - np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else [], lengths).astype("int64")
-    return np.repeat(first, lengths).astype("int64") + within // SEGMENT, within % SEGMENT
+    ahead = lambda a: np.stack([a[0] * t[0, 0] + a[1] * t[1, 0], a[0] * t[0, 1] + a[1] * t[1, 1]])
+    behind = lambda c: np.stack([t[0, 0] * c[0] + t[0, 1] * c[1], t[1, 0] * c[0] + t[1, 1] * c[1]])
+    enter, leave = np.full((2, len(text)), 0.5), np.ones((2, len(text)))
+    if rows_of.max() > 1:
+        m = np.zeros((2, 2, len(text)))  # [state, state on entering, row]
+        m[0, 0], m[1, 1] = 1.0, e[0]
+        for k in range(1, ROW):
+            step = ahead(m)
+            step[1] *= e[k]
+            m = np.where(present[k], step / step.sum((0, 1)), m)
+        order = np.argsort(turn, kind="stable")
+        by_turn = np.split(order, np.cumsum(np.bincount(turn))[:-1])
+        for now in by_turn[1:]:
+            end = (m[:, :, now - 1] * enter[:, now - 1]).sum(1)
+            enter[:, now] = ahead(end / end.sum(0))
+        for now in by_turn[:0:-1]:
+            got = behind((m[:, :, now] * leave[:, None, now]).sum(0))
+            leave[:, now - 1] = got / got.sum(0)
+    a = np.empty((ROW, 2, len(text)))
+    b = np.empty((ROW, 2, len(text)))
+    now = enter
+    for k in range(ROW):
+        step = np.stack([now[0], now[1] * e[k]]) if k == 0 else ahead(now) * np.stack([np.ones(len(text)), e[k]])
+        now = np.where(present[k], step / step.sum(0), now)
+        a[k] = now
+    now = b[-1] = leave
+    for k in range(ROW - 2, -1, -1):
+        step = behind(now * np.stack([np.ones(len(text)), e[k + 1]]))
+        b[k] = now = np.where(present[k + 1], step / step.sum(0), now)
+    both = a * b
+    p = both[:, 1] / both.sum(1)
+    if not moves:
+        return Chains(p[col, row], np.zeros((n_texts, 2, 2)), np.zeros(n_texts))
+    # pairs of neighbours within rows, then over the edges between them
+    into = np.stack([b[:, 0], b[:, 1] * e], 1)
+    later = np.flatnonzero(turn > 0)
+    total, off = np.zeros((n_texts, 2, 2)), np.zeros(n_texts)
+    for before, after, held, own in ((a[:-1], into[1:], present[1:], np.broadcast_to(text, (ROW - 1, len(text)))), (a[-1][:, later - 1][None], into[0][:, later][None], np.ones((1, len(later)), bool), text[later][None])):
+        pair = before[:, :, None] * t[None, :, :, None] * after[:, None]
+        pair /= pair.sum((1, 2))[:, None, None]
+        for i in (0, 1):
+            for j in (0, 1):
+                total[:, i, j] += np.bincount(own[held], pair[:, i, j][held], n_texts)
+        stays = np.log(np.maximum(pair[:, 0, 0], 1e-300)) - np.log(np.maximum(pair[:, 0].sum(1), 1e-300))
+        off += np.bincount(own[held], stays[held], n_texts)
+    off += np.bincount(text[turn == 0], np.log(np.maximum(1 - p[0, turn == 0], 1e-300)), n_texts)
+    return Chains(p[col, row], total, off)
 
 
 def token_marginals(scores: np.ndarray, lengths: np.ndarray, stay: np.ndarray) -> np.ndarray:
-    if not len(scores):
-        return scores
-    row, col = segments(lengths)
-    out = np.empty(len(scores))
-    # whole segments at a time, so that a very long text takes no more memory than many short ones
-    edges = np.searchsorted(row, np.arange(0, row[-1] + 1, 8192))
-    for a, b in zip(edges, [*edges[1:], len(row)], strict=True):
-        r, c = row[a:b] - row[a], col[a:b]
-        emission, present = np.zeros((r[-1] + 1, SEGMENT)), np.zeros((r[-1] + 1, SEGMENT), bool)
-        emission[r, c], present[r, c] = scores[a:b], True
-        out[a:b] = marginals(emission, present, stay)[r, c]
-    return out
+    return chains(scores, np.asarray(lengths), stay).p
 
 
 def document_features(p: np.ndarray) -> np.ndarray:
@@ -105,8 +140,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def train(texts: list[str], toxic: list[int], steps: int = 60, ridge: float = 1e-4, tokens: int = 200_000) -> Model:
-    """The field and the document model, from labelled whole texts; texts without both labels give a constant score."""
+def train(texts: list[str], toxic: list[int], steps: int = 40, more: int = 20, ridge: float = 1e-4, field_docs: int = 300) -> Model:
+    """The field and the document model, from labelled whole texts; texts without both labels give a constant score.
+
+    All texts tell which features are telling and fit the document model; the field learns from `field_docs` of each label, evenly
+    drawn from those that are no near copies.
+    """
     y = np.array(toxic, float)
     rate = float((y.sum() + 0.5) / (len(y) + 5))
     if not 0 < y.sum() < len(y):
@@ -116,80 +155,87 @@ def train(texts: list[str], toxic: list[int], steps: int = 60, ridge: float = 1e
     numbers: dict[str, int] = {}
     docs = [np.array([numbers.setdefault(w, len(numbers)) for w in TOKEN.findall(t.lower())], np.int32) for t in texts]
     own = np.zeros((len(numbers), 8), np.uint32)
+    padding = np.zeros((len(numbers), 8), bool)
     for w, i in numbers.items():
         f = features(w)
-        own[i, : len(f)] = f
-        own[i, len(f) :] = f[0]
+        own[i, : len(f)], own[i, len(f) :], padding[i, len(f) :] = f, f[0], True
     numbers.clear()
     known, own = np.unique(own, return_inverse=True)
     own = own.reshape(-1, 8).astype(np.int32)
 
     # features told by document; near copies, which share the smallest hash of their shingles, count once
-    seen, df, n = set(), np.zeros((2, len(known))), [1, 1]
-    for d, label in zip(docs, toxic, strict=True):
-        if sign(d) not in seen:
+    seen, df, n, single = set(), np.zeros((2, len(known))), [1, 1], ([], [])
+    for i, (d, label) in enumerate(zip(docs, toxic, strict=True)):
+        if len(d) and sign(d) not in seen:
             seen.add(sign(d))
+            single[label].append(i)
             n[label] += 1
             df[label, np.unique(own[d])] += 1
     # rates with a tenth of a document more, so that a feature of one or two tells nothing
     odds = np.log((df[1] + 0.1) / (n[1] + 1)) - np.log((df[0] + 0.1) / (n[0] + 1))
     common = df[1] >= max(4, 0.012 * n[1])
     telling = (common & (odds > 3.5))[own].any(1)
-    index = np.full(len(known), -1)
-    index[common] = np.arange(common.sum())
-
-    # segments for the field: evenly drawn from those with a toxic token and from the others, `tokens` of each at most
-    marked, plain = [], []
-    for d, label in zip(docs, toxic, strict=True):
-        for at in range(0, len(d), SEGMENT):
-            part = d[at : at + SEGMENT]
-            tags = telling[part] & bool(label)
-            (marked if tags.any() else plain).append((part, tags))
-    thin = lambda x: x[:: max(1, -(-len(x) * SEGMENT // tokens))]
-    used = thin(marked) + thin(plain)
-    row, col = segments(np.array([len(p) for p, _ in used]))
-    goal, present = np.zeros((len(used), SEGMENT)), np.zeros((len(used), SEGMENT), bool)
-    goal[row, col], present[row, col] = np.concatenate([t for _, t in used]), True
-    feature = index[own[np.concatenate([p for p, _ in used])]]
-    feature[:, 1:][feature[:, 1:] == feature[:, :1]] = -1  # padding
-    token, slot = np.nonzero(feature >= 0)
-    feature = feature[token, slot]
-
-    # maximum likelihood by Adam: expected minus observed counts
-    k = int(common.sum()) + 1
-    theta = np.zeros(k + 4)
-    theta[k - 1] = -4.0
+    k = int(common.sum())
+    # the last weight is the bias, which every word has
+    index = np.where(padding, k + 1, np.where(common, np.cumsum(common) - 1, k + 1)[own])
+
+    def lots(some: list[int]) -> Iterator[list[int]]:
+        """The texts LOT / 8 tokens at a time, or a longer one alone."""
+        held, size = [], 0
+        for i in some:
+            if held and size + len(docs[i]) > LOT // 8:
+                yield held
+                held, size = [], 0
+            held.append(i)
+            size += len(docs[i])
+        if held:
+            yield held
+
+    chosen = sorted({own[j] for own in single for j in np.linspace(0, len(own) - 1, min(len(own), field_docs)).astype(int)})
+    learned = [(np.concatenate([docs[i] for i in part]), np.array([len(docs[i]) for i in part]), y[part]) for part in lots(chosen)]
+    used = len(chosen)
+
+    theta = np.zeros(k + 1 + 4)
+    theta[k] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    pairs = present[:, 1:] & present[:, :-1]
-    for step in range(1, steps + 1):
-        emission = np.zeros(goal.shape)
-        emission[row, col] = np.bincount(token, theta[feature], len(row)) + theta[k - 1]
-        p = marginals(emission, present, theta[k:].reshape(2, 2))
-        gap = (p - goal)[row, col]
+    for step in range(1, steps + more + 1):
+        score = np.append(theta[: k + 1], 0.0)[index].sum(1) + theta[k]
         grad = np.zeros_like(theta)
-        grad[: k - 1] = np.bincount(feature, gap[token], k - 1)
-        grad[k - 1] = gap.sum()
-        # transitions by the pair marginals of neighbours
-        q, g = np.stack([1 - p, p]), np.stack([1 - goal, goal])
-        for i in (0, 1):
-            for j in (0, 1):
-                grad[k + 2 * i + j] = ((q[i, :, :-1] * q[j, :, 1:] - g[i, :, :-1] * g[j, :, 1:]) * pairs).sum()
-        grad = grad / len(used) + ridge * np.concatenate([theta[: k - 1], np.zeros(1), theta[k:]])
+        for tokens, lengths, labels in learned:
+            got = chains(score[tokens], lengths, theta[k + 1 :].reshape(2, 2), moves=True)
+            if step <= steps:
+                # maximum likelihood of the weak labels: expected minus observed counts
+                goal = telling[tokens] & np.repeat(labels > 0, lengths)
+                gap = got.p - goal
+                inner = np.ones(len(goal) - 1, bool)
+                inner[np.cumsum(lengths)[:-1] - 1] = False
+                was, then = goal[:-1][inner].astype(int), goal[1:][inner].astype(int)
+                moves = got.moves.sum(0) - np.bincount(2 * was + then, minlength=4).reshape(2, 2)
+            else:
+                # of the documents' labels: a clean text has no toxic token, a toxic one has any
+                none = np.exp(np.clip(got.clean, -700, -1e-9))
+                weight = np.where(labels > 0, -np.minimum(none / (1 - none), 50.0), 1.0)
+                gap = got.p * np.repeat(weight, lengths)
+                moves = got.moves.copy()
+                moves[:, 0, 0] -= lengths - 1
+                moves = (moves * weight[:, None, None]).sum(0)
+            by_word = np.bincount(tokens, gap, len(own))
+            grad[: k + 1] += np.bincount(index.ravel(), np.repeat(by_word, 8), k + 2)[: k + 1]
+            grad[k] += gap.sum()
+            grad[k + 1 :] += moves.ravel()
+        grad = grad / used + ridge * np.concatenate([theta[:k], np.zeros(1), theta[k + 1 :]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        theta -= (0.3 if step <= steps else 0.05) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weight = np.zeros(len(known))
-    weight[common] = theta[: k - 1]
+    weight[common] = theta[:k]
     weight[np.abs(weight) < 0.05] = 0
-    model = Model(dict(zip(known[weight != 0].tolist(), weight[weight != 0].tolist(), strict=True)), float(theta[k - 1]), theta[k:].reshape(2, 2), np.zeros(5), rate)
-    padded = own.copy()
-    padded[:, 1:][padded[:, 1:] == padded[:, :1]] = len(known)
-    word_score = model.bias + np.append(weight, 0.0)[padded].sum(1)
+    model = Model(dict(zip(known[weight != 0].tolist(), weight[weight != 0].tolist(), strict=True)), float(theta[k]), theta[k + 1 :].reshape(2, 2), np.zeros(5), rate)
+    word_score = model.bias + np.where(padding, 0.0, weight[own]).sum(1)
     x = []
-    for a in range(0, len(docs), 256):
-        some = docs[a : a + 256]
-        sizes = np.array([len(d) for d in some])
-        p = token_marginals(word_score[np.concatenate(some)], sizes, model.stay)
-        x += [document_features(own) for own in np.split(p, np.cumsum(sizes)[:-1])]
+    for part in lots(list(range(len(docs)))):
+        sizes = np.array([len(docs[i]) for i in part])
+        p = token_marginals(word_score[np.concatenate([docs[i] for i in part])], sizes, model.stay)
+        x += map(document_features, np.split(p, np.cumsum(sizes)[:-1]))
     model.logistic = logistic(np.array(x), y)
     return model
 
@@ -203,15 +249,15 @@ def sign(d: np.ndarray) -> int:
     return int(((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)).min())
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_label: int = 3000, chars: int = 8_000) -> Model:
-    """Train on at most about 1.2 * per_label + 60 documents of each label, the first `chars` characters of each.
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_label: int = 3000) -> Model:
+    """Train on the whole texts of at most about 1.2 * per_label + 60 documents of each label.
 
     Which documents may be learned from is the caller's choice: pass only their labels. The sample is a bounded
     number of ids, so they are broadcast. Null labels and null ids are left out.
     """
     rows = labels.where(F.col(toxic).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(toxic).cast("int").alias("_y")).distinct()
     ids = sampled(rows, "_y", "_id", per_label)
-    got = docs.select(F.col(doc_id).alias("_id"), F.substring(text, 1, chars).alias("_text")).join(F.broadcast(ids), "_id").where("_text is not null").collect()
+    got = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id").where("_text is not null").collect()
     got.sort(key=lambda r: (r["_id"], r["_y"], r["_text"]))
     return train([r["_text"] for r in got], [r["_y"] for r in got])
 
@@ -236,20 +282,20 @@ def predict(docs: DataFrame, model: Model, text: str = "text", span_at: float =
         for part in parts:
             if len(memo) > MEMO:
                 memo.clear()
-            out = []
+            out, texts = [], [t or "" for t in part]
             # lower() may change a text's length, so offsets are those of the text as it is
-            for a in range(0, len(part), 64):
-                texts = [t or "" for t in part.iloc[a : a + 64]]
-                words = [TOKEN.findall(t) for t in texts]
+            ends = np.cumsum([len(t) for t in texts]) // LOT
+            for lot in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+                words = [TOKEN.findall(texts[i]) for i in lot]
                 flat = [memo[w] if w in memo else score(w) for ws in words for w in map(str.lower, ws)]
-                sizes = np.array([len(ws) for ws in words])
+                sizes = np.array([len(ws) for ws in words], "int64")
                 p = token_marginals(np.array(flat, float), sizes, model.stay)
                 edges = np.concatenate([[0], np.cumsum(sizes)])
-                for t, i, j in zip(texts, edges, edges[1:], strict=False):
-                    own = p[i:j]
+                for i, a, b in zip(lot, edges, edges[1:], strict=False):
+                    own = p[a:b]
                     x = document_features(own)
                     s = 1 / (1 + np.exp(-np.clip(x @ model.logistic, -30, 30))) if model.weights else model.rate
-                    out.append((float(s), spans(t, own, span_at) if x[1] >= span_at else []))
+                    out.append((float(s), spans(texts[i], own, span_at) if x[1] >= span_at else []))
             yield pd.DataFrame(out, columns=["toxic_score", "toxic_spans"])
 
     names = ("toxic_score", "toxic_spans")

@@ -59,13 +59,42 @@ def test_marginals_are_those_of_all_paths():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    e, stay = rng.normal(size=6), rng.normal(size=(2, 2))
-    total, on = 0.0, np.zeros(6)
-    for path in itertools.product((0, 1), repeat=6):
-        w = np.exp(sum(e[i] * s for i, s in enumerate(path)) + sum(stay[a, b] for a, b in zip(path, path[1:], strict=False)))
-        total += w
-        on += w * np.array(path)
-    assert np.allclose(toxicity.token_marginals(e, np.array([6]), stay), on / total)
+    for n in (1, 2, 7):
+        e, stay = rng.normal(size=n), rng.normal(size=(2, 2))
+        total, on, moves, none = 0.0, np.zeros(n), np.zeros((2, 2)), 0.0
+        for path in itertools.product((0, 1), repeat=n):
+            w = np.exp(sum(e[i] * s for i, s in enumerate(path)) + sum(stay[a, b] for a, b in zip(path, path[1:], strict=False)))
+            total += w
+            on += w * np.array(path)
+            none += w * (not any(path))
+            for a, b in zip(path, path[1:], strict=False):
+                moves[a, b] += w
+        # rows of three tokens: messages cross the edges
+        for row in (3, 64):
+            toxicity.ROW = row
+            got = toxicity.chains(np.concatenate([e, e[:1], e]), np.array([n, 0, 1, n]), stay, moves=True)
+            toxicity.ROW = 64
+            assert np.allclose(got.p[:n], on / total) and np.allclose(got.p[-n:], on / total)
+            assert np.allclose(got.moves[[0, 3]], moves / total) and not got.moves[1:3].any()
+            assert np.allclose(np.exp(got.clean[[0, 3]]), none / total) and got.clean[1] == 0
+
+
+def test_a_span_is_found_wherever_it_stands(spark):
+    """Whole texts are learned from and scored: toxic words come after 30,000 characters only, across the edge of two rows."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices(["ka", "lo", "mi", "ten", "su", "ra"], k=rng.randint(1, 5))) for _ in range(3000)]
+    plain = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    texts, labels = [], []
+    for i in range(60):
+        bad = int(i % 3 == 0)
+        texts.append(plain(6000 if bad else 6010) + (" zorkig zorkend zorkable" if bad else "") + " " + plain(20))
+        labels.append(bad)
+    model = toxicity.train(texts, labels)
+    rows = spark.createDataFrame([(1, texts[0]), (2, plain(6000))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.predict(rows, model).collect()}
+    at = texts[0].index("zorkig")
+    assert [(s["start"], s["end"]) for s in got[1]["toxic_spans"]] == [(at, at + len("zorkig zorkend zorkable"))]
+    assert got[1]["toxic_score"] > 0.7 and got[2]["toxic_score"] < 0.3
 
 
 def test_toxic_spans_and_edges(spark):
