@@ -177,8 +177,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: floa
     keep = [c for c in docs.columns if c not in names]
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(*keep, body.alias("_text"), row_key(doc_id, text).alias("_key"))
-    runs = with_matches(keyed.select("_key", "_text"), "_text", "_m", CANDIDATE).select("_key", F.explode("_m").alias("m"))
-    tokens = runs.select("_key", "m.start", "m.end", "m.token").distinct()
+    # explode_outer: from explode Spark infers a filter, which it pushes down to the text and evaluates by repeating all patterns there
+    runs = with_matches(keyed.select("_key", "_text"), "_text", "_m", CANDIDATE).select("_key", F.explode_outer("_m").alias("m"))
+    tokens = runs.where("m is not null").select("_key", "m.start", "m.end", "m.token").distinct()
     tested = written(battery(tokens).drop("token"), "tokens")
     random = discoveries(tested, rate, random_z).groupBy("_key").agg(F.collect_set(F.struct("start", F.lit(len(BASE)).alias("ord"), F.lit("random").alias("kind"), "end")).alias("_more"))
     base = with_base(keyed, "_text", "base").drop("_text")
