@@ -38,10 +38,14 @@ def fingerprint(text: str | None, shingle: int = WORDS, seed: int = SEED) -> int
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1].tolist()
         hashes = [digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit integer."""
     count = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
-        part = np.array(hashes[i : i + 4096], "<u8")
-        count += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        count += np.unpackbits(hashes[i : i + 4096].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<i8")[0])
 
 
@@ -138,7 +142,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of docs for each component: that with the smallest doc_id (nulls first), then row_key. Rows equal in both are one."""
+    """One row of docs for each component: that with the smallest doc_id (nulls first), then row_key. Of rows equal in both any one stays."""
     least = near_duplicates(docs, doc_id, text, radius).groupBy("component").agg(F.min(F.struct("doc_id", "row_key"))["row_key"].alias("_key"))
     return docs.withColumn("_key", row_key(doc_id, text)).join(least.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 

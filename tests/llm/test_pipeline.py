@@ -11,8 +11,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from passerelle.llm import packing, secrets, toxicity
 from passerelle.llm.common import fold, read, written
-from tests.llm.test_dedup import brute_components, brute_fingerprint
 from tests.llm.test_native import brute_base, brute_contamination
+from tests.llm.test_nearcopies import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,14 +32,9 @@ def test_stages(spark):
     kept = written(stage["toxicity"](spark, docs, SF), "t")
     assert kept.columns == columns and set(rows(kept)) == {i for i, s in scores.items() if s < 0.3}
 
-    before = rows(kept)
-    prints = {i: brute_fingerprint(r["text"]) for i, r in before.items()}
-    groups = brute_components(sorted(set(prints.values())), 3)
-    least = defaultdict(list)
-    for i, p in prints.items():
-        least[groups[p]].append(i)
+    before = sorted((i, r["text"]) for i, r in rows(kept).items())
     kept = written(stage["near_copies"](spark, kept, SF), "n")
-    assert kept.columns == columns and set(rows(kept)) == {min(own) for own in least.values()}
+    assert kept.columns == columns and set(rows(kept)) == {before[k][0] for k in brute_groups(before)}
 
     before = rows(kept)
     items = [tuple(r) for r in read(spark, SF, "benchmark").select("item_id", "text").collect()]
