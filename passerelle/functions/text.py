@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import ROUND_HALF_UP, Decimal
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,6 +17,20 @@ WARNING, ERROR = "rgb(250, 204, 21)", "rgb(217, 83, 79)"
 RANKS = {"critical-diff": 7, "major-diff": 6, "medium-diff": 5, "minor-diff": 4, "extra-in-migrated": 3, "ignored-diff": 2, "not compared": 1}
 UNSEEN = ("script", "style", "noscript", "template", "iframe", "svg", "canvas")
 HIDING = ("display:none", "display: none", "visibility:hidden", "visibility: hidden")
+#: fixed values: start tags that end open elements whose end tag may be left out, up to the elements that bound them
+BLOCKS = "address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split()
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tr": (("tr", "td", "th"), ("table",)),
+    **{t: (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)) for t in ("thead", "tbody", "tfoot")},
+}
+BOUNDS = frozenset(("html", "body", "table", "td", "th", "caption", "button", "object", "template"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -83,13 +96,20 @@ def tag_rank(c: Str) -> Column:
 
 
 def to_fixed2(c: Str) -> Column:
-    """Two decimals of the exact binary value, ties away from zero, as text; null and NaN give `NaN`."""
-
-    @F.pandas_udf("string")
-    def of(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: "NaN" if pd.isna(v) else str(Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_UP)))
-
-    return of(col(c).cast("double"))
+    """Two decimals of the exact binary value, ties away from zero, as text; null and NaN give `NaN`.
+
+    100 * x is taken with its rounding error (Veltkamp's and Dekker's exact product), which tells values below a tie from those on it.
+    Values of 2^45 and more have no third decimal.
+    """
+    value = col(c).cast("double")
+    x = F.abs(value)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * 100.0
+    error = (high * 100.0 - product) + (x - high) * 100.0
+    part = product - F.floor(product)
+    n = F.floor(product) + F.when((part > 0.5) | ((part == 0.5) & (error >= 0)), 1).otherwise(0)
+    digits = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.when(value.isNull() | F.isnan(value), F.lit("NaN")).when(x >= float(1 << 45), F.format_string("%.2f", value)).otherwise(digits)
 
 
 def rounded2(c: Str) -> Column:
@@ -113,7 +133,7 @@ def component_name(i: Str) -> Column:
 
 
 def detail_line(component: Str, mismatch: Str, tag: Str) -> Column:
-    m = F.when(col(mismatch).isNull(), F.lit("N/A")).otherwise(F.concat(F.format_string("%.2f", col(mismatch).cast("double")), F.lit("%")))
+    m = F.when(col(mismatch).isNull(), F.lit("N/A")).otherwise(F.concat(to_fixed2(mismatch), F.lit("%")))
     t = F.when(F.coalesce(col(tag), F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("["), col(tag), F.lit("]")))
     return F.concat(F.lit("• "), col(component), F.lit(": "), m, F.lit(" "), t)
 
@@ -128,10 +148,29 @@ class Page(HTMLParser):
         self.text: list[str] = []
         self.links: list[str] = []
 
+    def leave(self, count: int) -> None:
+        """Leaves the innermost `count` open elements."""
+        for _ in range(count):
+            self.hidden -= self.open.pop()[1]
+
+    def imply(self, ended: tuple[str, ...], bounds: tuple[str, ...] | frozenset[str]) -> None:
+        """Ends the outermost open element of `ended` within the bounds, and all inside it."""
+        deepest = 0
+        for n, (tag, _) in enumerate(reversed(self.open), 1):
+            if tag in ended:
+                deepest = n
+            elif tag in bounds:
+                break
+        self.leave(deepest)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = dict(attrs)
         if tag == "a" and "href" in a:
             self.links.append(a["href"] or "")
+        if tag in ENDS:
+            self.imply(*ENDS[tag])
+        if tag in BLOCKS:
+            self.imply(("p",), BOUNDS)
         style = a.get("style") or ""
         off = tag in UNSEEN or tag in ("head", "title") or a.get("aria-hidden") == "true" or "hidden" in a or a.get("type") == "hidden" or any(h in style for h in HIDING)
         if tag not in VOID:
@@ -139,12 +178,10 @@ class Page(HTMLParser):
             self.hidden += off
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.open):
-            while True:
-                t, off = self.open.pop()
-                self.hidden -= off
-                if t == tag:
-                    break
+        for n, (t, _) in enumerate(reversed(self.open), 1):
+            if t == tag:
+                self.leave(n)
+                break
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:

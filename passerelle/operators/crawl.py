@@ -8,7 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from passerelle.functions.text import parse_pages
 from passerelle.functions.urls import resolve_url, strip_qf, url_pathname
-from passerelle.sources.shared import written
+from passerelle.sources.shared import shared_dir, written
 
 
 def anchor_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -41,42 +41,48 @@ def edges(links: DataFrame, origin: str, strict: bool = False) -> DataFrame:
     return kept.where(same_site(F.col("target"), origin, strict)).select("page_url", "target").distinct()
 
 
-def _state(spark: SparkSession, path: str, name: str) -> DataFrame:
+def _rounds(spark: SparkSession, state: str) -> list[int]:
+    """The rounds that were finished: a round's marker is written after all else of it."""
     try:
-        return spark.read.schema("url string").parquet(f"{path}/{name}")
+        return sorted(r[0] for r in spark.read.schema("number int").option("recursiveFileLookup", True).parquet(f"{state}/done").select("number").distinct().collect())
     except AnalysisException:
-        return spark.createDataFrame([], "url string")
+        return []
+
+
+def _kept(spark: SparkSession, state: str, name: str, rounds: list[int]) -> DataFrame:
+    """What the rounds added to a table of the crawl."""
+    schema = spark.read.schema("url string")
+    return schema.parquet(*[f"{state}/{name}/{n}" for n in rounds]) if rounds else spark.createDataFrame([], "url string")
 
 
 def crawl_closure(links: DataFrame, seed: str, origin: str | None = None, state: str | None = None, strict: bool = False, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(urls, visited): what is reachable from the seed within `origin`, which is the seed itself if not given.
 
     Each round visits a whole frontier; order doesn't change the closure. Pages that weren't captured are visited and
-    have no links. urls holds link targets, so the seed only if something links to it. With `state`, a folder, each
-    round's visited, urls and frontier are written there, and a later call goes on from what it finds.
+    have no links. urls holds link targets, so the seed only if something links to it. A round writes what it adds below `state`,
+    a shared folder (a new one if not given), and last its marker; a later call with the same `state` goes on after the last finished
+    round, wherever the crawl was stopped. Its frontier is the seed and all urls that weren't visited.
     """
     spark = links.sparkSession
-    reach = edges(links, (origin or seed).rstrip("/"), strict).persist()
-    urls = visited = spark.createDataFrame([], "url string")
-    frontier = spark.createDataFrame([(seed,)], "url string")
-    if state:
-        urls, visited, saved = (_state(spark, state, n) for n in ("urls", "visited", "frontier"))
-        frontier = frontier.unionByName(saved).distinct().join(visited, "url", "left_anti")
-    for round_ in range(most_rounds):
-        frontier = written(frontier)
+    state = (state or shared_dir(spark, "crawl")).rstrip("/")
+    reach = written(edges(links, (origin or seed).rstrip("/"), strict), "edges")
+    rounds = _rounds(spark, state)
+    known = _kept(spark, state, "urls", rounds).unionByName(spark.createDataFrame([(seed,)], "url string")).distinct()
+    frontier = written(known.join(_kept(spark, state, "visited", rounds), "url", "left_anti"), "frontier")
+    for _ in range(most_rounds):
         if not frontier.head(1):
             break
-        visited = written(visited.unionByName(frontier))
-        found = written(reach.join(frontier, reach["page_url"] == frontier["url"], "left_semi").select(F.col("target").alias("url")).distinct())
-        urls = written(urls.unionByName(found).distinct())
-        frontier = found.join(visited, "url", "left_anti")
-        if state:
-            for name, df in (("urls", urls), ("visited", visited), ("frontier", frontier)):
-                df.write.mode("overwrite").parquet(f"{state}/{name}")
+        number = rounds[-1] + 1 if rounds else 0
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{state}/{name}/{number}")  # noqa: B023, E731
+        put(frontier, "visited")
+        found = reach.join(frontier, reach["page_url"] == frontier["url"], "left_semi").select(F.col("target").alias("url")).distinct()
+        put(found.join(_kept(spark, state, "urls", rounds), "url", "left_anti"), "urls")
+        put(spark.range(1, numPartitions=1).select(F.lit(number).alias("number")), "done")
+        rounds.append(number)
+        frontier = written(_kept(spark, state, "urls", [number]).join(_kept(spark, state, "visited", rounds), "url", "left_anti"), "frontier")
     else:
         raise RuntimeError(f"the crawl didn't end in {most_rounds} rounds")
-    reach.unpersist()
-    return urls, visited
+    return _kept(spark, state, "urls", rounds), _kept(spark, state, "visited", rounds)
 
 
 def crawl_errors(visited: DataFrame, pages: DataFrame) -> DataFrame:

@@ -69,6 +69,11 @@ def resolve_http502(log: DataFrame) -> DataFrame:
     return resolve_attempts(log, F.col("status") == 502, 4)
 
 
+def resolve_timeouts(log: DataFrame, error: str = "error") -> DataFrame:
+    """Only timeouts, told by their message, are tried again, once."""
+    return resolve_attempts(log, F.contains(F.lower(F.col(error)), F.lit("timeout")), 2)
+
+
 def attempt_stats(log: DataFrame, ts: str = "ts") -> DataFrame:
     """url, attempts, microseconds from the first to the last, and the last one's status."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))

@@ -28,7 +28,6 @@ SELECT param, type FROM (VALUES ('articles','articleDetail'),('conference','conf
 """,
     "fx_api_pages": """
 SELECT CAST(floor((p_partkey) / 50) AS BIGINT) * 50 AS page_offset, p_partkey AS item_pos, p_name AS name FROM part
-WHERE p_partkey < 175
 """,
     "fx_locs": """
 SELECT CASE page_id % 4 WHEN 0 THEN concat('https://s.example.com/home/',CAST(page_id % 20 AS STRING),'/')
@@ -54,11 +53,11 @@ SELECT concat('https://s.example.com/u/',CAST(user_id AS STRING),'/',CAST(event_
 FROM events
 """,
     "fx_links": """
-SELECT DISTINCT concat('https://s.example.com/p/',CAST(l_partkey % 90 AS STRING)) AS page_url, l_linenumber AS pos,
+SELECT DISTINCT concat('https://s.example.com/p/',CAST(l_partkey AS STRING)) AS page_url, l_linenumber AS pos,
   CASE WHEN l_linenumber = 7 AND l_quantity > 45 THEN 'http://' WHEN l_linenumber = 6 THEN 'https://s.example.com.evil.org/x'
-    WHEN l_linenumber = 5 THEN 'https://other.example.net/x'
-    ELSE concat('/p/',CAST((l_partkey * 7 + l_linenumber) % 120 AS STRING),'?q=1#f') END AS href
-FROM lineitem WHERE l_suppkey % 5 = 0
+    WHEN l_linenumber = 5 THEN 'https://other.example.net/x' WHEN l_linenumber = 4 THEN concat('/p/',CAST(CAST(floor(l_partkey / 7) AS BIGINT) AS STRING),'?q=1#f')
+    ELSE concat('/p/',CAST(l_partkey * 7 + l_linenumber AS STRING),'?q=1#f') END AS href
+FROM lineitem
 """,
     "fx_nodes_dom": """
 SELECT page, side, node_id, CASE WHEN l_returnflag = 'R' AND node_id > 1 THEN node_id - 1 ELSE 0 END AS parent_id, node_id AS ord,
@@ -93,7 +92,7 @@ SELECT event_id AS request_id, CASE event_id % 6 WHEN 0 THEN concat('https://s.e
     "fx_blocked": """
 SELECT CASE WHEN event_id % 2 = 0 THEN 'prod' ELSE 'migrated' END AS side, concat('/u/',CAST(user_id AS STRING)) AS url,
   concat('https://img.assets.example.com/p/ab',CAST(event_id AS STRING),'-Clip',CAST(event_id % 9 AS STRING),'.GIF') AS media_url
-FROM events WHERE event_type IN ('view','click')
+FROM events
 """,
     "fx_findings": """
 SELECT 'entry' AS kind, CAST(d.doc_id AS STRING) AS id, d.source AS name, d.n_chars % 5 = 0 AS pattern,

@@ -11,8 +11,9 @@ from passerelle.functions import text as T
 from passerelle.functions import urls as U
 from passerelle.operators import compare, crawl, dom, health, inventory, requests, validate
 from passerelle.plans import reports
-from passerelle.plans.fixtures import fixture, with_fixtures
+from passerelle.plans.fixtures import FIXTURES, fixture, with_fixtures
 from passerelle.sources import readers, sinks
+from passerelle.sources.shared import shared_dir, written
 from passerelle.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +123,15 @@ def component_labels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, printf('%.2f', v) AS fixed, '• c: ' || printf('%.2f', v) || '% ' AS line FROM (SELECT *, CAST(l_quantity AS DOUBLE) / 2 + 0.005 * l_linenumber AS v FROM lineitem)"""
+)
+def fixed_decimals(spark: SparkSession, sf: str) -> DataFrame:
+    """Values just below and just above ties, such as 1.005 and 1.015."""
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("v", F.col("l_quantity").cast("double") / 2 + F.lit(0.005) * F.col("l_linenumber"))
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", T.to_fixed2("v").alias("fixed"), T.detail_line(F.lit("c"), "v", F.lit(None).cast("string")).alias("line"))
+
+
 @query("SELECT id, 'entry#' || id || ': ' || name || ', ' || id AS title, name AS parsed_name, id AS parsed_id FROM fx_findings", "fx_findings")
 def case_titles(spark: SparkSession, sf: str) -> DataFrame:
     df = fixture(spark, sf, "fx_findings").select("id", T.case_title("entry", "id", "name", "id").alias("title"))
@@ -294,9 +304,17 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return health.page_links(crawl.anchor_links(pages_of(spark, sf)))
 
 
-@query()
+# hidden elements without end tags: what follows them is seen
+UNCLOSED = "replace(html, '<article>', '<article><ul><li hidden>gone<li>kept one</ul><table><tr><td hidden>gone<td>kept two<tr><td>kept three</table><p hidden>gone<p>kept four')"
+
+
+@query(
+    r"""SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(
+    replace(html, '<article>', '<article>kept onekept twokept threekept four'), '<head>.*?</head>', '', 'gs'), '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)"""
+)
 def visible_text(spark: SparkSession, sf: str) -> DataFrame:
-    return T.visible_text(pages_of(spark, sf)).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+    pages = pages_of(spark, sf).withColumn("html", F.expr(UNCLOSED))
+    return T.visible_text(pages).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 CHECKS = """checks AS (SELECT url, CASE WHEN reason = '' THEN true ELSE false END AS ok, status, reason FROM (SELECT url, status, CASE WHEN status = 0 THEN 'network error' WHEN status >= 400 THEN 'HTTP status ' || status
@@ -339,6 +357,12 @@ def resolved_attempts(spark: SparkSession, sf: str) -> DataFrame:
     return health.resolve_http502(fixture(spark, sf, "fx_attempts")).select("url", "attempt_id", "status", "attempt")
 
 
+@query(f"WITH {ATTEMPTS.format(2)} SELECT r.url, attempt_id, status, attempt FROM r JOIN e ON r.url = e.url AND attempt = last", "fx_attempts")
+def resolved_timeouts(spark: SparkSession, sf: str) -> DataFrame:
+    log = fixture(spark, sf, "fx_attempts").withColumn("error", F.when(F.col("status") == 502, F.lit("Timeout 90000ms exceeded")))
+    return health.resolve_timeouts(log).select("url", "attempt_id", "status", "attempt")
+
+
 @query(f"WITH {ATTEMPTS.format(3)} SELECT r.url, attempt, status = 502 AS failed FROM r JOIN e ON r.url = e.url AND attempt = last", "fx_attempts")
 def final_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     log = fixture(spark, sf, "fx_attempts").withColumn("failed", F.col("status") == 502)
@@ -564,7 +588,7 @@ def body_cases(spark: SparkSession, sf: str) -> DataFrame:
     "fx_components",
 )
 def role_cases(spark: SparkSession, sf: str) -> DataFrame:
-    df = compared(spark, sf)
+    df = written(compared(spark, sf), "compared")
     both = reports.role_cases(df, "header").unionByName(reports.role_cases(df, "footer"))
     return both.select("name", "classname", F.col("properties")[2]["value"].alias("mismatch"), F.col("failure").isNotNull().alias("failing"))
 
@@ -588,12 +612,136 @@ def media_cases(spark: SparkSession, sf: str) -> DataFrame:
     "fx_blocked",
 )
 def suite_totals(spark: SparkSession, sf: str) -> DataFrame:
-    df = compared(spark, sf)
+    df = written(compared(spark, sf), "compared")
     cases = reports.body_cases(df).unionByName(reports.role_cases(df, "header")).unionByName(reports.role_cases(df, "footer"))
-    cases = cases.unionByName(reports.redirect_cases(compare.redirect_mismatch(fixture(spark, sf, "fx_finals")))).unionByName(reports.media_cases(media_sets(spark, sf)))
+    cases = cases.unionByName(reports.redirect_cases(compare.redirect_mismatch(fixture(spark, sf, "fx_finals")))).unionByName(reports.media_cases(written(media_sets(spark, sf), "media")))
     return reports.suite_totals(cases)
 
 
+# --- files: tables written in the forms that the readers read, then read back
+
+
+def json_arrays(df: DataFrame, name: str, per_file: int = 500) -> str:
+    """A folder of files with a JSON array each."""
+    path = shared_dir(df.sparkSession, name)
+    rows = df.withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.lit(max(1, df.count() // per_file))))
+    rows.groupBy("_file").agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).repartition("_file").write.partitionBy("_file").text(path)
+    return path
+
+
+def named_files(df: DataFrame, name: str) -> str:
+    """A folder with a file for each row of (path, content)."""
+    root = shared_dir(df.sparkSession, name)
+
+    def put(parts):
+        import pandas as pd
+        from pyarrow import fs
+
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                files, full = fs.FileSystem.from_uri(f"{root}/{path}")
+                files.create_dir(full.rpartition("/")[0], recursive=True)
+                with files.open_output_stream(full, compression=None) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(part)]})
+
+    df.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+@query("SELECT id, name, type, slug FROM fx_entries", "fx_entries")
+def entries_read(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.read_entries(spark, json_arrays(fixture(spark, sf, "fx_entries"), "entries")).select("id", "name", "type", "slug")
+
+
+@query("SELECT 'c' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 3 = 1 END AS pattern FROM supplier")
+def compositions_read(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 3 == 1).alias("pattern"))
+    return readers.read_compositions(spark, json_arrays(df, "compositions")).select("id", "name", "pattern")
+
+
+@query("SELECT '/s/' || s_suppkey AS path, CASE WHEN s_suppkey % 4 > 0 THEN 'c' || s_suppkey END AS composition_id FROM supplier")
+def nodes_read(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    df = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("/s/"), key).alias("path"), F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("c"), key)).alias("compositionId"))
+    return readers.read_nodes(spark, json_arrays(df, "nodes")).select("path", "composition_id")
+
+
+@query("SELECT '/old/' || s_suppkey AS source_url FROM supplier")
+def redirects_read(spark: SparkSession, sf: str) -> DataFrame:
+    source = F.concat(F.lit("/old/"), F.col("s_suppkey").cast("string"))
+    df = spark.read.parquet(f"{sf}/supplier.parquet").select(F.struct(source.alias("sourceUrl")).alias("redirect"))
+    return readers.read_redirects(spark, json_arrays(df, "redirects"))
+
+
+@query("SELECT page_id, url, html FROM fx_captures", "fx_captures")
+def pages_read(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url", F.expr(FIXTURES["fx_captures"].split("url, ")[1].split(" AS html")[0]).alias("html"))
+
+
+def suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """A page on each side for each supplier: side, url, folder, requested."""
+    key = F.col("s_suppkey").cast("string")
+    sides = F.explode(F.array(F.lit("prod"), F.lit("migrated"))).alias("side")
+    df = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.concat(F.lit("/s/"), key).alias("url"), F.concat(F.lit("s_"), key).alias("folder"), sides)
+    return df.withColumn("requested", F.concat(F.lit("https://"), "side", F.lit(".example.com"), "url"))
+
+
+@query("SELECT side, 's_' || s_suppkey AS folder, 'component-00' AS component, s_suppkey % 900 + 1 AS height FROM supplier, (VALUES ('prod'), ('migrated')) AS t(side) WHERE side = 'prod' OR s_suppkey % 3 = 0")
+def captures_read(spark: SparkSession, sf: str) -> DataFrame:
+    hexed = lambda n: F.lpad(F.hex(n), 8, "0")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(F.lit(64)), hexed(F.col("s_suppkey") % 900 + 1)))
+    files = suppliers(spark, sf).where("side = 'prod' OR s_suppkey % 3 = 0").select(F.concat_ws("/", "side", "folder", F.concat(F.lit("component-00_"), "side", F.lit(".png"))).alias("path"), png.alias("content"))
+    return readers.read_component_captures(spark, named_files(files, "captures")).select("side", "folder", "component", "height")
+
+
+@query("SELECT side, '/s/' || s_suppkey AS url, CASE WHEN s_suppkey % 2 = 0 THEN 'https://' || side || '.example.com/to/' || s_suppkey ELSE 'https://' || side || '.example.com/s/' || s_suppkey END AS final_url FROM supplier, (VALUES ('prod'), ('migrated')) AS t(side)")
+def final_urls_read(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = suppliers(spark, sf)
+    files = tasks.where("s_suppkey % 2 = 0").select(F.concat_ws("/", "side", "folder", F.lit("redirect.txt")).alias("path"), F.concat(F.lit(" https://"), "side", F.lit(".example.com/to/"), F.col("s_suppkey").cast("string"), F.lit("\n")).alias("content"))
+    return readers.read_final_urls(spark, named_files(files, "finals"), tasks.drop("s_suppkey")).select("side", "url", "final_url")
+
+
+@query("""SELECT side, '/s/' || s_suppkey AS url, s_suppkey % 3 > 0 AS existed, CASE WHEN s_suppkey % 3 > 0 THEN unnest(['https://h/' || s_suppkey || '.gif', 'https://h/b.gif']) END AS media_url FROM supplier, (VALUES ('prod'), ('migrated')) AS t(side) WHERE s_suppkey % 3 > 0
+    UNION ALL SELECT side, '/s/' || s_suppkey, false, NULL FROM supplier, (VALUES ('prod'), ('migrated')) AS t(side) WHERE s_suppkey % 3 = 0""")
+def blocked_media_read(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = suppliers(spark, sf)
+    files = tasks.where("s_suppkey % 3 > 0").select(F.concat_ws("/", "side", "folder", F.lit("blocked-urls.txt")).alias("path"), F.concat(F.lit("https://h/"), F.col("s_suppkey").cast("string"), F.lit(".gif\r\n\n https://h/b.gif \n")).alias("content"))
+    return readers.read_blocked_media(spark, named_files(files, "blocked"), tasks.drop("s_suppkey")).select("side", "url", "existed", "media_url")
+
+
+@query("SELECT url FROM fx_inv_a", "fx_inv_a")
+def inventory_written(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_dir(spark, "inventory")
+    sinks.write_inventory(fixture(spark, sf, "fx_inv_a"), path)
+    return spark.read.schema("url string").json(path)
+
+
+@query(
+    """SELECT url, 'in a only' AS source FROM (SELECT url FROM fx_inv_a EXCEPT ALL SELECT url FROM fx_inv_b WHERE false) WHERE url NOT IN (SELECT url FROM fx_inv_b)""",
+    "fx_inv_a",
+    "fx_inv_b",
+)
+def diff_written(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_dir(spark, "diff")
+    only = fixture(spark, sf, "fx_inv_a").join(fixture(spark, sf, "fx_inv_b").distinct(), "url", "left_anti")
+    sinks.write_diff(only.withColumn("source", F.lit("in a only")), path)
+    return spark.read.schema("url string, source string").json(path)
+
+
+@query(
+    f"""WITH {COMPARED}, {BODY} SELECT 'Visual Regression (without header/footer)' AS suite, count(*) OVER () AS tests, count(*) OVER () AS failures, url AS name, classname FROM body""",
+    "fx_components",
+)
+def junit_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The suite's attributes of each file beside its cases."""
+    path = shared_dir(spark, "junit")
+    sinks.write_junit(reports.body_cases(compared(spark, sf)), path)
+    case = "testcase array<struct<`@name`:string,`@classname`:string>>"
+    suites = spark.read.format("xml").option("rowTag", "testsuite").option("attributePrefix", "@").schema(f"`@name` string, `@tests` bigint, `@failures` bigint, {case}").option("recursiveFileLookup", True).load(path)
+    return suites.select(F.col("@name").alias("suite"), F.col("@tests").alias("tests"), F.col("@failures").alias("failures"), F.explode("testcase").alias("c")).select("suite", "tests", "failures", F.col("c.@name").alias("name"), F.col("c.@classname").alias("classname"))
+
+
 # --- content validation
 
 VERDICTS = r"""v AS (SELECT *, CASE color WHEN 'rgb(250, 204, 21)' THEN 'warning' WHEN 'rgb(217, 83, 79)' THEN 'error' ELSE CASE WHEN color IS NOT NULL THEN 'unexpected' END END AS severity, CAST(regexp_extract_all(html, '\d+')[-1] AS INT) AS n FROM fx_findings),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passerelle.functions.text import component_role, detail_line
+from passerelle.functions.text import component_role, detail_line, to_fixed2
 from passerelle.operators.compare import is_failing, worst_tag
 
 #: fixed values: the suites of a run
@@ -14,10 +14,6 @@ BODY, HEADER, FOOTER, REDIRECTS, MEDIA = SUITES
 IMAGES = ("prod_img", "stage_img", "diff_img")
 
 
-def _two(c: Column) -> Column:
-    return F.when(c.isNull(), F.lit("NaN")).otherwise(F.format_string("%.2f", c))
-
-
 def _properties(**values: Column | str) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(v) if isinstance(v, str) else v).alias("value")) for k, v in values.items()])
 
@@ -58,7 +54,7 @@ def role_cases(components: DataFrame, role: str) -> DataFrame:
         raise ValueError(f"unknown role {role}")
     own = components.where(component_role("component")[role])
     page_tag = F.col("page_tag") if "page_tag" in own.columns else F.lit(None).cast("string")
-    pct = _two(F.col("mismatch").cast("double"))
+    pct = to_fixed2("mismatch")
     of = F.concat(F.col("component"), F.lit(" for "), F.col("url"))
     return own.select(
         F.lit(HEADER if role == "header" else FOOTER).alias("suite"),
@@ -85,7 +81,7 @@ def redirect_cases(mismatched: DataFrame) -> DataFrame:
 
 def media_cases(media: DataFrame) -> DataFrame:
     """A case for each page of media_set_diff(), failing if its sets differ."""
-    pct = _two(F.col("mismatch"))
+    pct = to_fixed2("mismatch")
     name = "__blocked_media_urls__"  # a fixed value
     return media.where("url is not null").select(
         F.lit(MEDIA).alias("suite"),

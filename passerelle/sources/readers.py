@@ -97,7 +97,7 @@ def read_component_captures(spark: SparkSession, root: str) -> DataFrame:
 
 def final_urls(tasks: DataFrame, redirects: DataFrame) -> DataFrame:
     """tasks (side, url, requested) with final_url: what redirect.txt says, trimmed, else what was requested."""
-    return tasks.join(redirects.select("side", "url", F.trim("value").alias("_final")), ["side", "url"], "left").withColumn("final_url", F.coalesce("_final", "requested")).drop("_final")
+    return tasks.join(redirects.select("side", "url", F.regexp_replace("value", r"(?U)^\s+|\s+\z", "").alias("_final")), ["side", "url"], "left").withColumn("final_url", F.coalesce("_final", "requested")).drop("_final")
 
 
 def read_final_urls(spark: SparkSession, root: str, tasks: DataFrame) -> DataFrame:

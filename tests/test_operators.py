@@ -73,6 +73,64 @@ def test_crawl_and_its_state(spark, tmp_path):
     assert get(strict[1]) == ["https://s.example/", "https://s.example/a", "https://s.example/b", "https://www.s.example/w"]
 
 
+def test_a_crawl_goes_on_from_any_stop(spark, tmp_path, monkeypatch):
+    """A stop before each write of each round; the next crawl with this state ends with all pages."""
+    from pyspark.sql import DataFrameWriter
+
+    links = spark.createDataFrame(LINKS, "page_url string, pos int, href string")
+    get = lambda df: sorted(r["url"] for r in df.collect())
+    want = tuple(map(get, crawl.crawl_closure(links, "https://s.example/", "https://s.example")))
+    write, seen = DataFrameWriter.parquet, []
+
+    def stopping(at):
+        def parquet(self, path, *more, **options):
+            if "/state" in path:
+                seen.append(path)
+                if len(seen) == at:
+                    raise KeyboardInterrupt
+            return write(self, path, *more, **options)
+
+        return parquet
+
+    for at in (1, 2, 3, 4, 5, 6, 8):
+        seen.clear()
+        state = str(tmp_path / f"state{at}")
+        monkeypatch.setattr(DataFrameWriter, "parquet", stopping(at))
+        with pytest.raises(KeyboardInterrupt):
+            crawl.crawl_closure(links, "https://s.example/", "https://s.example", state=state)
+        monkeypatch.setattr(DataFrameWriter, "parquet", write)
+        assert tuple(map(get, crawl.crawl_closure(links, "https://s.example/", "https://s.example", state=state))) == want
+
+
+def test_exact_decimals(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from passerelle.functions.text import to_fixed2
+
+    values = [1.005, 2.675, 0.125, 0.375, 1.115, 0.285, 99.995, 1e-9, 0.0, 8.345, 1.255, 33.335, 100.0, 12345.675, 1e12 + 0.125, -1.005, -0.125, 0.005, 0.015, 2.5]
+    values += [k / 1000 for k in range(5, 20_000, 10)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(to_fixed2("v")).collect()]
+    assert got == [str(Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_UP)) for v in values]
+    assert got[0] == "1.00" and got[1] == "2.67"
+    assert [r[0] for r in spark.createDataFrame([(None,), (float("nan"),)], "v double").select(to_fixed2("v")).collect()] == ["NaN", "NaN"]
+
+
+def test_end_tags_that_may_be_left_out(spark):
+    from passerelle.functions.text import visible_text
+
+    pages = [
+        ("<ul><li hidden>x<li>Page not found</ul><p hidden>y<p>shown", "Page not foundshown"),
+        ("<dl><dt hidden>a<dd>b<dt>c</dl><select><option hidden>d<option>e</select>", "bce"),
+        ("<table><tr hidden><td>a<td>b<tr><td>c</table>", "c"),
+        ("<ul><li hidden><ul><li>in</ul>still<li>out</ul>", "out"),
+        ("<p hidden>a<span>b</span><div>c</div>", "c"),
+        ("<p hidden><button><p>in</button>x</p>y", "y"),
+        ("<div hidden><p>a</div>b</p>c", "bc"),
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, s struct<html:string,want:string>").select("i", "s.*")
+    assert all(r["text"] == r["want"] for r in visible_text(df).collect())
+
+
 def test_attempts(spark):
     log = spark.createDataFrame([("a", i, 502) for i in range(6)] + [("b", 0, 502), ("b", 1, 200), ("b", 2, 404), ("c", 0, 502)], "url string, attempt_id int, status int").withColumn("ts", F.col("attempt_id"))
     rows = {r["url"]: (r["attempt"], r["status"]) for r in health.resolve_http502(log).collect()}
@@ -185,6 +243,8 @@ def test_suites_without_cases(spark, tmp_path):
     sinks.write_junit(cases, str(tmp_path / "x"))
     back = spark.read.format("xml").option("rowTag", "testcase").option("attributePrefix", "@").load(str(tmp_path / "x"))
     assert back.count() == 3
+    heads = spark.read.format("xml").option("rowTag", "testsuite").option("attributePrefix", "@").option("recursiveFileLookup", True).load(str(tmp_path / "x"))
+    assert sorted({(r["@name"], r["@tests"], r["@failures"]) for r in heads.collect()}) == sorted([(reports.BODY, 1, 1), (reports.HEADER, 1, 0), (reports.FOOTER, 1, 1)])
     sinks.write_inventory(comps.select("url"), str(tmp_path / "i"))
     assert spark.read.json(str(tmp_path / "i")).count() == 3
     sinks.write_diff(comps.select("url").where("false"), str(tmp_path / "d"))
