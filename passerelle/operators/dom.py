@@ -18,18 +18,22 @@ MEDIA = ("img", "video", "iframe", "canvas", "picture", "object", "embed", "inpu
 SHOEHORN = "full-width-shoehorn"
 
 
-def with_ancestors(nodes: DataFrame, root: int = 0, most_depth: int = 10_000) -> DataFrame:
-    """nodes with `ancestors` from parent_id, which is `root` or null at the top. Written once: every later step reads them."""
-    up = nodes.select(*PAGE, F.col("node_id").alias("_up"), F.col("parent_id").alias("_next"))
-    level = found = nodes.select(*PAGE, "node_id", F.col("parent_id").alias("a")).where(F.col("a").isNotNull() & (F.col("a") != root))
-    for _ in range(most_depth):
-        level = level.join(up, (level["page"] == up["page"]) & (level["side"] == up["side"]) & (level["a"] == up["_up"])).select(level["page"], level["side"], "node_id", F.col("_next").alias("a")).where(F.col("a").isNotNull() & (F.col("a") != root))
-        level = written(level)
-        if not level.head(1):
+def with_ancestors(nodes: DataFrame, root: int = 0, most_rounds: int = 40) -> DataFrame:
+    """nodes with `ancestors` from parent_id, which is `root` or null at the top. Written once: every later step reads them.
+
+    Paths double each round: a node's known path is continued by that of its end, so a depth of n takes log n joins.
+    """
+    none = F.array().cast("array<bigint>")
+    parent = F.col("parent_id")
+    paths = written(nodes.select(*PAGE, "node_id", F.when(parent.isNotNull() & (parent != root), F.array(parent.cast("bigint"))).otherwise(none).alias("path")), "paths")
+    for _ in range(most_rounds):
+        on = paths.where(F.size("path") > 0).select(*PAGE, F.col("node_id").alias("_end"), F.col("path").alias("_more"))
+        step = paths.withColumn("_end", F.try_element_at("path", F.lit(-1))).join(on, [*PAGE, "_end"], "left")
+        paths = written(step.select(*PAGE, "node_id", F.concat("path", F.coalesce("_more", none)).alias("path"), (F.col("_more").isNotNull()).alias("grew")), "paths")
+        if not paths.where("grew").head(1):
             break
-        found = found.unionByName(level)
-    arrays = found.groupBy(*PAGE, "node_id").agg(F.sort_array(F.collect_set("a")).alias("ancestors"))
-    return written(nodes.join(arrays, [*PAGE, "node_id"], "left").withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<bigint>"))), "nodes")
+        paths = paths.drop("grew")
+    return written(nodes.join(paths.select(*PAGE, "node_id", F.sort_array("path").alias("ancestors")), [*PAGE, "node_id"]), "nodes")
 
 
 def has_class(name: str) -> Column:
