@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secrets": secrets.op6,
         "op7_decontaminate": decontaminate.op7,
         "op8_quotes": quotes.op8,
+        "quoted_conversations": quotes.quoted_conversations,
         "op9_packing": packing.op9,
         "op10_simhash": simhash.op10,
     }

@@ -93,7 +93,7 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     """
     names = ("own_text", "n_quotes", "max_level", "reply_to", "thread", "depth")
     keep = [c for c in messages.columns if c not in names]
-    rows = parsed(messages.select(*keep), text).withColumns({"conv": F.col(conv), "_turn": F.col(turn)})
+    rows = written(parsed(messages.select(*keep), text).withColumns({"conv": F.col(conv), "_turn": F.col(turn)}), "parsed")  # parsed once, read by every step
     units = rows.where("conv is not null and _turn is not null")
     # the earliest turn that has each passage at a level; many may have it, so sums are made before the shuffle
     had = F.concat(F.transform("_p.own", lambda h: F.struct(F.lit(0).alias("at"), h.alias("hash"))), F.transform("_p.quoted", lambda q: F.struct(q["level"].alias("at"), q["hash"].alias("hash"))))
@@ -122,5 +122,19 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     )
 
 
+def with_quotes(messages: DataFrame) -> DataFrame:
+    """Conversations whose messages quote the one before, quotes and all, over their own text: what mail threads look like. The first of each has none."""
+    before = messages.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("_before"))
+    older = messages.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("_older"))
+    rows = messages.join(before, ["conv_id", "turn"], "left").join(older, ["conv_id", "turn"], "left")
+    marked = lambda c, mark: F.regexp_replace(c, "(?m)^", mark)
+    quote = F.concat(F.coalesce(F.concat(marked(F.col("_older"), ">> "), F.lit("\n>\n")), F.lit("")), marked(F.col("_before"), "> "), F.lit("\n\n"))
+    return rows.withColumn("text", F.concat(F.coalesce(quote, F.lit("")), "text")).drop("_before", "_older")
+
+
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(with_quotes(read(spark, sf_dir, "conversations"))).drop("text")
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(read(spark, sf_dir, "conversations")).drop("text")

@@ -41,13 +41,21 @@ def line(text: str) -> str:
     return text.replace("\r", "%0D").replace("\n", "%0A")
 
 
+def urn(*parts: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
+
+
 def record(kind: str, page: str | None, url: str | None, payload: bytes, digest: str, refers: str | None, date: str) -> bytes:
-    """A WARC/1.1 record; a revisit has the payload's digest and length, but no block."""
-    block, head = b"", ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}|{url}|{digest}')}>", f"WARC-Date: {date}"]
+    """A WARC/1.1 record; a revisit has the payload's digest and length and its response's record ID, but no block.
+
+    IDs are those of page and payload (and URL, for revisits), so rows that repeat are the same record again.
+    """
+    own = urn(kind, page, digest) if kind == "response" else urn(kind, page, url, digest)
+    block, head = b"", ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     head += [f"{name}: {line(value)}" for name, value in (("WARC-Target-URI", url), ("X-Page-Id", page)) if value is not None]
     if kind == "revisit":
-        head += [f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page: {line(refers or '')}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {urn('response', refers, digest)}", f"X-Refers-To-Page: {line(refers or '')}"]
     else:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
         head += ["Content-Type: application/http;msgtype=response"]

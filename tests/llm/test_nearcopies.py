@@ -73,3 +73,12 @@ def test_large_buckets(spark):
 def test_no_rows_and_equal_rows(spark):
     assert kept(spark, []) == []
     assert kept(spark, [(1, "same row"), (1, "same row")]) == [1]
+
+
+def test_keys_with_nulls_and_separators(spark):
+    """(null, '5|x') and ('5', 'x') are two rows, whatever stands between their values."""
+    from passerelle.llm import simhash
+
+    rows = spark.createDataFrame([(None, "5|x y z"), ("5", "x y z"), ("5|x y z", None)], "doc_id string, text string")
+    for module in (nearcopies, simhash):
+        assert sorted(r["doc_id"] or "" for r in module.representatives(rows).collect()) == ["", "5", "5|x y z"]
