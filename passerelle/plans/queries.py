@@ -309,8 +309,8 @@ UNCLOSED = "replace(html, '<article>', '<article><ul><li hidden>gone<li>kept one
 
 
 @query(
-    r"""SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(
-    replace(html, '<article>', '<article>kept onekept twokept threekept four'), '<head>.*?</head>', '', 'gs'), '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)"""
+    r"""SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(
+    replace(html, '<article>', '<article>kept onekept twokept threekept four'), '<head>.*?</head>', '', 'gs'), '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)"""
 )
 def visible_text(spark: SparkSession, sf: str) -> DataFrame:
     pages = pages_of(spark, sf).withColumn("html", F.expr(UNCLOSED))
