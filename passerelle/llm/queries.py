@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passerelle.llm import decontaminate, langid, packing, quotes, secrets, simhash, substrings, syncmers, toxicity, warc
+from passerelle.llm import decontaminate, langid, packing, quotes, secrets, simhash, substrings, syncmers, toxicity, trie, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quoted_conversations": quotes.quoted_conversations,
         "op9_packing": packing.op9,
         "op10_simhash": simhash.op10,
+        "op11_trie": trie.op11,
     }
 
 
@@ -47,7 +48,29 @@ ids AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FRO
 SELECT d.doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.doc_id"""
 
+def crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of a text's UTF-8: eight shifts for each byte."""
+    shift = "list_reduce(range(8), lambda a, i: xor(a >> 1, (a & 1) * 3988292384), {})"
+    byte = "CAST(concat('0x', substr(hex(encode({})), 2 * {} - 1, 2)) AS BIGINT)"
+    return f"xor(4294967295, list_reduce(range(1, octet_length(encode({text})) + 1), lambda c, j: {shift.format(f'xor(c, {byte.format(text, "j")})')}, 4294967295))"
+
+
+OP11 = f"""WITH raw AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM raw)),
+turns AS (SELECT c.conv_id, pos, role, text FROM c JOIN raw ON raw.conv_id = base AND pos <= h UNION ALL SELECT c.conv_id, pos + 1000000000, role, text FROM c JOIN raw ON raw.conv_id = c.conv_id AND pos > h),
+deep AS (SELECT *, row_number() OVER w AS depth, md5(string_agg(concat(length(role), ':', length(text), ':', role, text), '|') OVER w) AS node, length(text) AS size FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+path AS (SELECT conv_id, depth, node, size FROM deep UNION ALL SELECT conv_id, 0, 'root', 0 FROM c),
+n AS (SELECT conv_id, max(depth) AS last FROM path GROUP BY conv_id),
+node AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size FROM path GROUP BY node, depth),
+parent AS (SELECT DISTINCT a.node, b.node AS parent FROM path a JOIN path b ON a.conv_id = b.conv_id AND a.depth = b.depth + 1),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM parent GROUP BY parent),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM path a JOIN path b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+total AS (SELECT top AS node, count(*) FILTER (kids.node IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens FROM below JOIN node ON node.node = below.node LEFT JOIN kids ON kids.node = below.node GROUP BY top),
+ends AS (SELECT node, string_agg(CAST(path.conv_id AS VARCHAR), ',' ORDER BY path.conv_id) AS ids FROM path JOIN n ON n.conv_id = path.conv_id AND depth = last GROUP BY node)
+SELECT node.conv_id, node.depth, p.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node LEFT JOIN parent ON parent.node = node.node LEFT JOIN node p ON p.node = parent.parent LEFT JOIN kids ON kids.node = node.node JOIN total ON total.node = node.node LEFT JOIN ends ON ends.node = node.node"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Only what DuckDB has functions for; tests/llm holds the rest against brute force."""
-    return {"op2_warc": OP2, "op4_substrings": OP4, "op7_decontaminate": OP7}
+    return {"op2_warc": OP2, "op4_substrings": OP4, "op7_decontaminate": OP7, "op11_trie": OP11}
