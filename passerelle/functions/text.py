@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passerelle.functions.tree import Node, Tree
+
 Str = Column | str
 #: fixed values
 PHRASES_404 = ("404 error", "not found", "page not found", "page you are looking for")
@@ -17,21 +18,6 @@ WARNING, ERROR = "rgb(250, 204, 21)", "rgb(217, 83, 79)"
 RANKS = {"critical-diff": 7, "major-diff": 6, "medium-diff": 5, "minor-diff": 4, "extra-in-migrated": 3, "ignored-diff": 2, "not compared": 1}
 UNSEEN = ("script", "style", "noscript", "template", "iframe", "svg", "canvas")
 HIDING = ("display:none", "display: none", "visibility:hidden", "visibility: hidden")
-#: fixed values: start tags that end open elements whose end tag may be left out, up to the elements that bound them
-BLOCKS = "address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split()
-ENDS = {
-    "li": (("li",), ("ul", "ol", "menu")),
-    "dt": (("dt", "dd"), ("dl",)),
-    "dd": (("dt", "dd"), ("dl",)),
-    "option": (("option",), ("select", "datalist")),
-    "optgroup": (("option", "optgroup"), ("select",)),
-    "td": (("td", "th"), ("tr", "table")),
-    "th": (("td", "th"), ("tr", "table")),
-    "tr": (("tr", "td", "th"), ("table",)),
-    **{t: (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)) for t in ("thead", "tbody", "tfoot")},
-}
-BOUNDS = frozenset(("html", "body", "table", "td", "th", "caption", "button", "object", "template"))
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
 def col(c: Str) -> Column:
@@ -138,54 +124,26 @@ def detail_line(component: Str, mismatch: Str, tag: Str) -> Column:
     return F.concat(F.lit("• "), col(component), F.lit(": "), m, F.lit(" "), t)
 
 
-class Page(HTMLParser):
-    """The visible text and the links of a page, in one pass."""
+class Page(Tree):
+    """The visible text and the links of a page, in one pass. Elements are marked as hidden if they or one above them are."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
-        self.hidden = self.head = 0
-        self.text: list[str] = []
+        super().__init__()
         self.links: list[str] = []
 
-    def leave(self, count: int) -> None:
-        """Leaves the innermost `count` open elements."""
-        for _ in range(count):
-            self.hidden -= self.open.pop()[1]
-
-    def imply(self, ended: tuple[str, ...], bounds: tuple[str, ...] | frozenset[str]) -> None:
-        """Ends the outermost open element of `ended` within the bounds, and all inside it."""
-        deepest = 0
-        for n, (tag, _) in enumerate(reversed(self.open), 1):
-            if tag in ended:
-                deepest = n
-            elif tag in bounds:
-                break
-        self.leave(deepest)
+    def mark(self, parent: Node | None, tag: str, attrs: dict[str, str | None]) -> bool:
+        style = attrs.get("style") or ""
+        off = tag in UNSEEN or tag == "head" or attrs.get("aria-hidden") == "true" or "hidden" in attrs or attrs.get("type") == "hidden" or any(h in style for h in HIDING)
+        return off or parent is not None and bool(parent.mark)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = dict(attrs)
+        a = dict(reversed(attrs))
         if tag == "a" and "href" in a:
             self.links.append(a["href"] or "")
-        if tag in ENDS:
-            self.imply(*ENDS[tag])
-        if tag in BLOCKS:
-            self.imply(("p",), BOUNDS)
-        style = a.get("style") or ""
-        off = tag in UNSEEN or tag in ("head", "title") or a.get("aria-hidden") == "true" or "hidden" in a or a.get("type") == "hidden" or any(h in style for h in HIDING)
-        if tag not in VOID:
-            self.open.append((tag, off))
-            self.hidden += off
-
-    def handle_endtag(self, tag: str) -> None:
-        for n, (t, _) in enumerate(reversed(self.open), 1):
-            if t == tag:
-                self.leave(n)
-                break
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.text.append(data)
+        super().handle_starttag(tag, attrs)
+
+    def visible_text(self) -> str:
+        return "".join(text for node, text in self.pieces if not node.mark)
 
 
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -199,7 +157,7 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
                 page = Page()
                 page.feed(html or "")
                 page.close()
-                rows.append((" ".join("".join(page.text).replace("﻿", " ").split()), page.links))
+                rows.append((" ".join(page.visible_text().replace("﻿", " ").split()), page.links))
             yield pd.DataFrame(rows, columns=["visible_text", "links"])
 
     keep = [c for c in pages.columns if c not in ("visible_text", "links")]
