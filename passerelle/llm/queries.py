@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passerelle.llm import decontaminate, langid, packing, quotes, secrets, simhash, substrings, syncmers, toxicity, trie, warc
+from passerelle.llm import decontaminate, extraction, langid, packing, quotes, secrets, simhash, substrings, syncmers, toxicity, trie, variants, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9,
         "op10_simhash": simhash.op10,
         "op11_trie": trie.op11,
+        "op12_variants": variants.op12,
+        "op13_extraction": extraction.op13,
     }
 
 
