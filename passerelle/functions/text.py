@@ -98,9 +98,10 @@ def to_fixed2(c: Str) -> Column:
     return F.when(value.isNull() | F.isnan(value), F.lit("NaN")).when(x >= float(1 << 45), F.format_string("%.2f", value)).otherwise(digits)
 
 
-def rounded2(c: Str) -> Column:
-    """Two decimals without leaving the JVM: as to_fixed2 but for values whose binary form lies just below a tie."""
-    return F.round(col(c), 2)
+def reported(c: Str) -> Column:
+    """A number as reports give it: the value of its two decimals; null stays null, and NaN."""
+    value = col(c).cast("double")
+    return F.when(F.isnan(value), value).otherwise(F.when(value.isNotNull(), to_fixed2(value).cast("double")))
 
 
 def component_role(c: Str) -> Column:

@@ -77,6 +77,15 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber
     "fx_ignore": """
 SELECT concat('/o/',CAST(l_orderkey AS STRING)) AS url, concat('component-0',CAST(l_linenumber AS STRING)) AS component,
   CAST(0 AS DOUBLE) AS percents FROM lineitem WHERE l_orderkey % 17 = 0 GROUP BY l_orderkey, l_linenumber
+""",
+    "fx_images": """
+SELECT vec_id AS pair, side, concat('/v/',CAST(CAST(floor(vec_id / 3) AS BIGINT) AS STRING)) AS url, concat('component-0',CAST(vec_id % 3 AS STRING)) AS component,
+  NOT (vec_id % 10 = 6 AND side = 'stage') AS readable, CASE WHEN vec_id % 10 = 7 THEN 0 ELSE 64 * h END AS pixels, h AS height
+FROM (SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN 400 ELSE 8 END AS h FROM embeddings) AS e CROSS JOIN (VALUES ('prod'), ('stage')) AS s(side)
+""",
+    "fx_shot_rules": """
+SELECT concat('/v/',CAST(CAST(floor(vec_id / 3) AS BIGINT) AS STRING)) AS url, concat('component-0',CAST(vec_id % 3 AS STRING)) AS component,
+  CASE WHEN vec_id % 3 = 0 THEN 34.38 ELSE 34.375 END AS percents FROM embeddings WHERE vec_id % 20 = 3
 """,
     "fx_finals": """
 SELECT concat('/o/',CAST(o_orderkey AS STRING)) AS url, CASE WHEN o_orderstatus = 'P' THEN concat('https://p.example.com/r/',CAST(o_orderkey AS STRING)) END AS prod_final,
@@ -102,7 +111,23 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """,
 }
 
-#: the one table that the engines spell apart
+#: tables that the engines spell apart
+#: Screens of both sides: x to 63, y to 7, or to 399 on every fiftieth pair. By pair % 10: one pixel differs, none, all, every third column, a row is on stage only,
+#: a third of the rows differ, stage is unreadable, both are empty, else none.
+_SHOT_SIDES = """SELECT pair, side, x, y, CASE WHEN side = 'prod' THEN v WHEN pair % 10 = 0 AND x = 0 AND y = 0 THEN v + 1 WHEN pair % 10 = 2 THEN v + 1 WHEN pair % 10 = 3 AND x % 3 = 0 THEN v + 1
+  WHEN pair % 10 = 5 AND y % 3 = 0 THEN v - 1 ELSE v END AS v
+FROM (SELECT b.pair, b.x, b.v, s.side, y.y, b.h FROM base b CROSS JOIN (VALUES ('prod'), ('stage')) AS s(side) JOIN ys y ON y.y < b.h + CASE WHEN b.pair % 10 = 4 AND s.side = 'stage' THEN 1 ELSE 0 END) AS t
+WHERE pair % 10 <> 7 AND NOT (pair % 10 = 6 AND side = 'stage')"""
+SHOTS = {
+    "spark": f"""
+WITH base AS (SELECT vec_id AS pair, CAST(pos AS BIGINT) AS x, CAST(floor(v * 4) AS INT) AS v, h FROM (SELECT vec_id, embedding, CASE WHEN vec_id % 50 = 0 THEN 400 ELSE 8 END AS h FROM embeddings) LATERAL VIEW posexplode(embedding) AS pos, v),
+ys AS (SELECT id AS y FROM range(0, 401)) {_SHOT_SIDES}
+""",
+    "duckdb": f"""
+WITH base AS (SELECT vec_id AS pair, i - 1 AS x, CAST(floor(embedding[i] * 4) AS INT) AS v, CASE WHEN vec_id % 50 = 0 THEN 400 ELSE 8 END AS h FROM embeddings, range(1, 65) AS r(i) WHERE i <= len(embedding)),
+ys AS (SELECT y FROM range(0, 401) AS r(y)) {_SHOT_SIDES}
+""",
+}
 PIXELS = {
     "spark": """
 SELECT CAST(floor(vec_id / 2) AS BIGINT) AS pair, CASE WHEN vec_id % 2 = 0 THEN 'prod' ELSE 'stage' END AS side, pos AS x, 0 AS y, CAST(floor(v * 4) AS INT) AS v FROM embeddings LATERAL VIEW posexplode(embedding) AS pos, v
@@ -111,11 +136,12 @@ SELECT CAST(floor(vec_id / 2) AS BIGINT) AS pair, CASE WHEN vec_id % 2 = 0 THEN
 SELECT CAST(floor(vec_id / 2) AS BIGINT) AS pair, CASE WHEN vec_id % 2 = 0 THEN 'prod' ELSE 'stage' END AS side, CAST(i - 1 AS INT) AS x, 0 AS y, CAST(floor(embedding[i] * 4) AS INT) AS v FROM embeddings, range(1, 4097) AS r(i) WHERE i <= len(embedding)
 """,
 }
+APART = {"fx_pixels": PIXELS, "fx_shots": SHOTS}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived table, over views of the tables that its SQL names."""
-    sql = PIXELS["spark"] if name == "fx_pixels" else FIXTURES[name]
+    sql = APART[name]["spark"] if name in APART else FIXTURES[name]
     for t in TABLES:
         if t in sql:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
@@ -124,7 +150,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_fixtures(query: str, *names: str, recursive: bool = False) -> str:
     """DuckDB SQL with the derived tables in front."""
-    parts = [f"{n} AS ({(PIXELS['duckdb'] if n == 'fx_pixels' else FIXTURES[n]).strip()})" for n in names]
+    parts = [f"{n} AS ({(APART[n]['duckdb'] if n in APART else FIXTURES[n]).strip()})" for n in names]
     body = query.strip()
     more = ", " + body[5:] if body[:5].upper() == "WITH " else " " + body
     return f"WITH {'RECURSIVE ' * recursive}" + ", ".join(parts) + more

@@ -492,10 +492,12 @@ def ignored_components(spark: SparkSession, sf: str) -> DataFrame:
     return compare.apply_ignore(compared(spark, sf), fixture(spark, sf, "fx_ignore")).select("url", "component", "ignored")
 
 
+#: two decimals of the exact binary value, ties up: halves of a hundredth that a double holds are eighths
+FIXED = "CAST(printf('%.2f', CASE WHEN {0} * 8 = floor({0} * 8) THEN {0} + 0.0001 ELSE {0} END) AS DOUBLE)"
 SCORE = "SELECT url, sum(mismatch * height) FILTER (mismatch IS NOT NULL AND height > 0) / sum(height) FILTER (mismatch IS NOT NULL AND height > 0) AS score FROM m GROUP BY 1"
 
 
-@query(f"WITH {COMPARED}, s AS ({SCORE}) SELECT url, score, {TAG.format('score')} AS tag FROM s", "fx_components")
+@query(f"WITH {COMPARED}, s AS ({SCORE}) SELECT url, {FIXED.format('score')} AS score, {TAG.format('score')} AS tag FROM s", "fx_components")
 def page_scores(spark: SparkSession, sf: str) -> DataFrame:
     return compare.page_score(compared(spark, sf))
 
@@ -510,7 +512,7 @@ def redirect_mismatches(spark: SparkSession, sf: str) -> DataFrame:
 
 PAGES = f"""{PARTED}, hit AS (SELECT DISTINCT m.url FROM m JOIN fx_ignore i ON i.url = m.url AND i.component = m.component AND i.percents = m.mismatch WHERE presence = 'both' AND m.url NOT IN (SELECT url FROM parted)),
 s AS ({SCORE}), n AS (SELECT url, count(*) AS n FROM m GROUP BY 1),
-pages_ AS (SELECT CASE WHEN f.url IN (SELECT url FROM hit) THEN NULL ELSE f.url END AS url, CASE WHEN f.url IN (SELECT url FROM parted) THEN 100 WHEN f.url IN (SELECT url FROM hit) THEN NULL ELSE score END AS mismatch,
+pages_ AS (SELECT CASE WHEN f.url IN (SELECT url FROM hit) THEN NULL ELSE f.url END AS url, CASE WHEN f.url IN (SELECT url FROM parted) THEN 100 WHEN f.url IN (SELECT url FROM hit) THEN NULL ELSE {FIXED.format("score")} END AS mismatch,
   CASE WHEN f.url IN (SELECT url FROM parted) THEN 'redirect-url-mismatch' WHEN f.url IN (SELECT url FROM hit) THEN 'ignored-diff' ELSE {TAG.format("score")} END AS tag,
   CASE WHEN f.url IN (SELECT url FROM parted) OR f.url IN (SELECT url FROM hit) THEN 0 ELSE coalesce(n, 0) END AS n_components FROM fx_finals f LEFT JOIN s ON s.url = f.url LEFT JOIN n ON n.url = f.url)"""
 
@@ -550,6 +552,56 @@ def diff_pixels(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("pair").agg(F.count("*").alias("positions"), F.count_if(F.expr("r = 255 and g = 0 and a = 255")).alias("painted"))
 
 
+SHARES = """o AS (SELECT pair, any_value(url) AS url, any_value(component) AS component, any_value(height) AS height, CASE WHEN NOT bool_and(readable) THEN 'unreadable' WHEN min(pixels) = 0 THEN 'empty' END AS error FROM fx_images GROUP BY pair),
+share AS (SELECT pair, 100.0 * count(*) FILTER (a.v IS DISTINCT FROM b.v) / count(*) AS share FROM (SELECT * FROM fx_shots WHERE side = 'prod') a FULL JOIN (SELECT * FROM fx_shots WHERE side = 'stage') b USING (pair, x, y) GROUP BY pair)"""
+SHOT_PAGES = f"""{SHARES}, k AS (SELECT o.*, {FIXED.format("share")} AS own, row_number() OVER (PARTITION BY url ORDER BY component) AS ord FROM o LEFT JOIN share ON share.pair = o.pair),
+m AS (SELECT url, component, ord, height, CASE WHEN error IS NULL THEN own ELSE 100 END AS mismatch, coalesce(CASE WHEN error IS NULL THEN own ELSE 100 END = 0, false) AS ok, {TAG.format("CASE WHEN error IS NULL THEN own ELSE 100 END")} AS tag FROM k),
+hit AS (SELECT DISTINCT m.url FROM m JOIN fx_shot_rules i ON i.url = m.url AND i.component = m.component AND i.percents = m.mismatch), s AS ({SCORE})"""
+SHOTS = ("fx_images", "fx_shots", "fx_shot_rules")
+
+
+def screens(spark: SparkSession, sf: str) -> DataFrame:
+    shots, channels = fixture(spark, sf, "fx_shots"), ("v",)
+    outcomes = compare.image_outcomes(fixture(spark, sf, "fx_images"))
+    return compare.compare_images(outcomes, shots.where("side = 'prod'"), shots.where("side = 'stage'"), channels)
+
+
+def screen_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Pages and components, from pixels on: shares, presence, ignore rules, scores."""
+    images = fixture(spark, sf, "fx_images")
+    own = lambda side: images.where(F.col("side") == side).select("url", "component", "height")
+    scores = screens(spark, sf).join(images.where("side = 'prod'").select("pair", "url", "component"), "pair").select("url", "component", "mismatch")
+    components = compare.presence_class(compare.pair_components(own("prod"), own("stage")).join(scores, ["url", "component"], "left"))
+    pages = images.select("url").distinct()
+    finals = pages.select("url", F.lit(None).cast("string").alias("prod_final"), F.lit(None).cast("string").alias("stage_final"))
+    return compare.compare_pages(pages, components, finals, fixture(spark, sf, "fx_shot_rules"))
+
+
+@query(f"WITH {SHARES} SELECT o.pair, CASE WHEN error IS NULL THEN {FIXED.format('share')} ELSE 100 END AS mismatch, coalesce(error IS NULL AND {FIXED.format('share')} = 0, false) AS match, error FROM o LEFT JOIN share ON share.pair = o.pair", "fx_images", "fx_shots")
+def compared_images(spark: SparkSession, sf: str) -> DataFrame:
+    """A share of 0.004 % matches; unreadable and empty images are 100."""
+    return screens(spark, sf)
+
+
+@query(
+    f"""WITH {SHOT_PAGES} SELECT CASE WHEN s.url NOT IN (SELECT url FROM hit) THEN s.url END AS url, CASE WHEN s.url NOT IN (SELECT url FROM hit) THEN {FIXED.format("score")} END AS mismatch,
+    CASE WHEN s.url IN (SELECT url FROM hit) THEN 'ignored-diff' ELSE {TAG.format("score")} END AS tag, CASE WHEN s.url IN (SELECT url FROM hit) THEN 0 ELSE n END AS n_components FROM s JOIN (SELECT url, count(*) AS n FROM m GROUP BY url) USING (url)""",
+    *SHOTS,
+)
+def image_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return screen_pages(spark, sf)[0]
+
+
+@query(
+    f"""WITH {SHOT_PAGES} SELECT url AS name, arg_max(tag, ({RANK.format("tag")}, -ord)) AS classname, string_agg('• ' || component || ': ' || printf('%.2f', mismatch) || '% [' || tag || ']', chr(10) ORDER BY ord) || chr(10) || chr(10) AS system_out
+    FROM m WHERE url NOT IN (SELECT url FROM hit) GROUP BY url HAVING bool_or(NOT ok)""",
+    *SHOTS,
+)
+def image_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """From pixels to the cases of a report."""
+    return reports.body_cases(screen_pages(spark, sf)[1]).select("name", "classname", "system_out")
+
+
 NAMES = "names AS (SELECT side, url, list_sort(list_distinct(list(lower(regexp_replace(media_url, '^.*/[^/-]*-', ''))))) AS names FROM fx_blocked GROUP BY 1, 2)"
 
 

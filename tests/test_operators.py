@@ -1,4 +1,7 @@
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passerelle.functions import text as T
@@ -249,3 +252,51 @@ def test_suites_without_cases(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "i")).count() == 3
     sinks.write_diff(comps.select("url").where("false"), str(tmp_path / "d"))
     assert sinks.quality_gate(comps.where("false")).head()["passed"]
+
+
+def images(spark):
+    """Pairs: 1 alike, 2 one of 25,600 pixels, 3 a third, 4 unreadable, 5 empty, 6 stage only has a row more, 7 without a side's pixels."""
+    px = spark.range(25_600).select((F.col("id") % 160).alias("x"), F.floor(F.col("id") / 160).alias("y"), (F.col("id") % 7).alias("v"))
+    of = lambda pair, df: df.withColumn("pair", F.lit(pair).cast("long"))
+    small = px.where("x < 3 and y < 4")
+    prod = [of(1, px), of(2, px), of(3, small), of(6, small), of(7, small)]
+    stage = [of(1, px), of(2, px.withColumn("v", F.when(F.expr("x = 100 and y = 100"), 9).otherwise(F.col("v")))), of(3, small.withColumn("v", F.when(F.expr("x = 0"), 9).otherwise(F.col("v")))), of(6, small.unionByName(px.where("x < 3 and y = 4")))]
+    rows = [(p, s, not (p == 4 and s == "stage"), 0 if p == 5 else 12) for p in range(1, 8) for s in ("prod", "stage")]
+    outcomes = compare.image_outcomes(spark.createDataFrame(rows, "pair long, side string, readable boolean, pixels long"))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return outcomes, union(prod), union(stage)
+
+
+@pytest.mark.parametrize("tile", [1, 2, 64, 100_000])
+def test_images_are_compared_by_tiles(spark, tile):
+    got = {r.pair: (r.mismatch, r.match, r.error) for r in compare.compare_images(*images(spark), ("v",), tile=tile).collect()}
+    assert got == {
+        1: (0.0, True, None), 2: (0.0, True, None), 3: (33.33, False, None), 4: (100.0, False, "unreadable"), 5: (100.0, False, "empty"), 6: (20.0, False, None), 7: (100.0, False, None)
+    }
+
+
+def test_equal_tiles_are_not_joined(spark):
+    outcomes, prod, stage = images(spark)
+    digests = compare.tile_digests(prod, stage, ("v",))
+    assert digests.where("not equal and pair in (1, 2)").count() == 1
+    assert digests.where("pair = 2").count() == 9
+
+
+def test_failed_comparisons_are_100(spark):
+    rows = [("/a", c, m, 10) for c, m in (("component-00", float("nan")), ("component-01", None), ("component-02", 0.004), ("component-03", 33.333))]
+    df = spark.createDataFrame(rows, "url string, component string, mismatch double, height int")
+    pairs = compare.pair_components(df, df).join(df.select("url", "component", "mismatch"), ["url", "component"])
+    classed = compare.presence_class(pairs)
+    got = {r.component[-1]: (r.mismatch, r.match, r.tag) for r in classed.collect()}
+    assert got == {"0": (100.0, False, "critical-diff"), "1": (100.0, False, "critical-diff"), "2": (0.0, True, "perfect-match"), "3": (33.33, False, "critical-diff")}
+    rules = spark.createDataFrame([("/a", "component-03", "33.33")], "url string, component string, percents string")
+    assert compare.apply_ignore(classed, rules).where("ignored").count() == 4
+    assert compare.page_score(classed).collect()[0].score == 58.33
+
+
+def test_pages_round_behind_their_tag(spark):
+    df = spark.createDataFrame([("/a", "c", 1.0, 1), ("/a", "d", 0.0, 299), ("/b", "c", 1.0, 200), ("/b", "d", 1.01, 1)], "url string, component string, mismatch double, height int")
+    got = {r.url: (r.score, r.tag) for r in compare.page_score(df).collect()}
+    assert got == {"/a": (0.0, "minor-diff"), "/b": (1.0, "medium-diff")}
+    flags = compare.run_flags(compare.page_score(df).select("url", F.col("score").alias("mismatch"))).collect()[0]
+    assert (flags.same, flags.different) == (1, 1)
