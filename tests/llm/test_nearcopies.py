@@ -67,7 +67,54 @@ def test_large_buckets(spark):
         rows.append((i, " ".join(copy)))
     rows += [(1000 + i, t) for i, t in enumerate(planted(rng, 5))]
     at = brute_groups(rows)
-    assert kept(spark, rows, large=4) == sorted({rows[i][0] for i in at})
+    assert kept(spark, rows) == sorted({rows[i][0] for i in at})
+
+
+def edited(base, edits, rng, mark):
+    copy = list(base)
+    for at in rng.sample(range(len(base)), edits):
+        copy[at] = f"x{mark}_{at}"
+    return " ".join(copy)
+
+
+def test_copies_of_one_template_that_are_mostly_too_far_apart(spark):
+    """500 texts with 2 to 4 of 120 words changed: only exact comparison across groups tells which are linked."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, edited(base, rng.choice((2, 3, 4)), rng, i)) for i in range(500)]
+    want = sorted(set(brute_groups(rows)))
+    assert 300 < len(want) < 400
+    assert kept(spark, rows) == want
+
+
+def test_families(spark):
+    """Twelve families of 40 with up to 4 of 200 words changed."""
+    rng = random.Random(6)
+    rows = []
+    for f in range(12):
+        base = [f"f{f}w{i}" for i in range(200)]
+        rows += [(f * 40 + i, edited(base, rng.choice((1, 2, 3, 4)), rng, f"{f}_{i}")) for i in range(40)]
+    assert kept(spark, rows) == sorted(set(brute_groups(rows)))
+
+
+def test_frequent_passages_join_nothing(spark):
+    """A passage of 40 words in every text, with words of their own around it."""
+    rng = random.Random(7)
+    shared = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join(shared + [f"o{i}_{k}" for k in range(rng.choice((5, 8, 12)))])) for i in range(60)]
+    assert kept(spark, rows) == sorted(set(brute_groups(rows)))
+
+
+def test_blocks_hold_every_pair(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [edited(base, 1, rng, i) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").select("node", nearcopies.shingled("text").alias("set"))
+    named = df.select("node", "node").toDF("node", "root")
+    for block in (3, 1024):
+        got = {(r.a, r.b) for r in nearcopies.alike(nearcopies.crossing(named, df, 0.8, block), df, 0.8).collect()}
+        sets = [brute_set(t) for t in texts]
+        assert got == {(i, j) for j in range(40) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
 
 
 def test_no_rows_and_equal_rows(spark):
