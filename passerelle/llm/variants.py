@@ -16,27 +16,30 @@ from os.path import commonprefix
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from passerelle.llm.common import read, written
 
 SHORTEST, LEAST, EVERY, TIMES = 5, 3, 97, 2
 #: Letters of the nodes where walks begin: all words share more with what they find.
 START = (SHORTEST - 1) // 2
+#: A node tells up to so many pairs of letters that its edges go on with, else their first letters.
+MANY = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST, least: int = LEAST, every: int = EVERY) -> DataFrame:
     """word, n of the words with `shortest` letters and `least` occurrences, after one letter of some occurrences is dropped."""
     low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    runs = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.explode_outer(F.regexp_extract_all(low, F.lit("[a-zÀ-ÿ]+"), F.lit(0))).alias("run"))
+    runs = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.explode_outer(F.regexp_extract_all(low, F.lit(f"[a-zÀ-ÿ]{{{shortest},}}"), F.lit(0))).alias("run"))
     h, at = F.crc32(F.concat("id", F.lit(":"), "run")), F.col("h") % F.col("size")
-    runs = runs.where(F.char_length("run") >= shortest).select("run", h.alias("h"), F.char_length("run").alias("size"))
+    runs = runs.where(F.col("run").isNotNull()).select("run", h.alias("h"), F.char_length("run").alias("size"))
     short = F.concat(F.substring("run", F.lit(1), at.cast("int")), F.substring(F.col("run"), at.cast("int") + 2, F.col("size")))
     words = runs.select(F.when(F.col("h") % every == 0, short).otherwise(F.col("run")).alias("word"))
     return words.where(F.char_length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def shared(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Letters that two texts have in common at the front; a null has none."""
     for a, b in parts:
@@ -59,7 +62,7 @@ def with_previous(rows: DataFrame) -> DataFrame:
 
 
 def trie_edges(words: DataFrame, start: int = START) -> DataFrame:
-    """rev, node, first, label, child, ends (child is a word), more (the first letters of child's edges); nodes are named by their letters.
+    """rev, node, first, label, child, ends (child is a word), more (how child's edges go on); nodes are named by their letters.
 
     words: rev, key. Nodes have `start` letters or more, and a node has an edge for each letter of the alphabet at most.
     """
@@ -71,22 +74,36 @@ def trie_edges(words: DataFrame, start: int = START) -> DataFrame:
     found = with_previous(named).withColumn("common", shared("before", "key")).where(F.char_length("key") > start)
     found = found.select("rev", F.substring(F.col("key"), F.lit(1), size).alias("node"), F.substring(F.col("key"), size + 1, F.char_length("key")).alias("label"), F.col("key").alias("child"), "ends")
     edges = written(found.withColumn("first", F.substring("label", 1, 1)), "edges")
-    more = edges.groupBy("rev", F.col("node").alias("child")).agg(F.array_join(F.collect_set("first"), "").alias("more"))
-    return written(edges.join(more, ["rev", "child"], "left").na.fill("", ["more"]), "edges")
+    behind = edges.groupBy("rev", F.col("node").alias("child")).agg(F.collect_set("first").alias("firsts"))
+    own = edges.join(behind, ["rev", "child"], "left").withColumn("firsts", F.coalesce("firsts", F.array().cast("array<string>")))
+    # what may follow: two letters, or the last one with $, or one and any other with *
+    two = F.transform("firsts", lambda c: F.concat("first", c))
+    two = F.when(F.char_length("label") > 1, F.array(F.substring("label", 1, 2))).otherwise(F.concat(two, F.when(F.col("ends"), F.array(F.concat("first", F.lit("$")))).otherwise(F.array().cast("array<string>"))))
+    ways = own.groupBy("rev", F.col("node").alias("child")).agg(F.flatten(F.collect_list(two)).alias("two"), F.collect_list(F.concat("first", F.lit("*"))).alias("one"))
+    ahead = F.concat(F.lit(" "), F.array_join(F.when(F.size("two") > MANY, F.col("one")).otherwise(F.col("two")), " "))
+    return written(edges.join(ways.select("rev", "child", ahead.alias("more")), ["rev", "child"], "left").na.fill("", ["more"]), "edges")
 
 
 def taken(found: DataFrame) -> DataFrame:
-    """The states behind an edge: its label matches the word from `pos` on without an edit, or with the one that is left."""
-    size, left = F.char_length("label"), F.char_length("word") - F.col("pos")
+    """The states behind an edge: its label matches the word from `pos` on without an edit, or with the one that is left.
+
+    Only states that are done, or whose next letters an edge behind goes on with.
+    """
+    size, length = F.char_length("label"), F.char_length("word")
     rest = lambda n: F.substring(F.col("word"), F.col("pos") + 1, n)
-    plain = F.when(rest(size) == F.col("label"), F.struct((F.col("pos") + size).alias("pos"), F.col("edits").alias("edits")))
+
+    def behind(when: Column, by: Column, edits: Column) -> Column:
+        pos = F.col("pos") + by
+        next_ = F.substring(F.col("word"), pos + 1, F.lit(2))
+        follows = (F.instr("more", F.concat(F.lit(" "), next_, F.when(pos + 1 == length, F.lit("$")).otherwise(F.lit("")))) > 0) | (F.instr("more", F.concat(F.lit(" "), F.substring(next_, 1, 1), F.lit("*"))) > 0)
+        alive = F.when(edits == 0, F.col("more") != "").when(pos == length, F.col("ends")).otherwise(follows)
+        return F.when(when & alive, F.struct(pos.alias("pos"), edits.alias("edits")))
+
+    plain = behind(rest(size) == F.col("label"), size, F.col("edits"))
     free = (F.col("edits") == 0) & (F.col("pos") + size > F.col("front"))
-    edited = [F.when(free & (size + d <= left) & (F.levenshtein(rest(size + d), F.col("label"), 1) == 1), F.struct((F.col("pos") + size + d).alias("pos"), F.lit(1).alias("edits"))) for d in (-1, 0, 1)]
-    out = found.select("rev", "word", "front", F.col("child").alias("node"), "ends", "more", F.explode(F.array_compact(F.array(plain, *edited))).alias("s"))
-    out = out.select("rev", "word", "front", "node", "ends", "more", "s.pos", "s.edits")
-    whole = F.col("pos") == F.char_length("word")
-    ahead = F.when(F.col("edits") == 0, F.col("more") != "").otherwise(~whole & (F.instr("more", F.substring(F.col("word"), F.col("pos") + 1, F.lit(1))) > 0))
-    return out.withColumns({"done": whole & F.col("ends") & (F.col("edits") == 1), "ahead": ahead}).where("done or ahead").drop("ends", "more", "ahead")
+    edited = [behind(free & (F.col("pos") + size + d <= length) & (F.levenshtein(rest(size + d), F.col("label"), 1) == 1), size + d, F.lit(1)) for d in (-1, 0, 1)]
+    out = found.select("rev", "word", "front", F.col("child").alias("node"), F.explode(F.array_compact(F.array(plain, *edited))).alias("s")).select("rev", "word", "front", "node", "s.pos", "s.edits")
+    return out.withColumn("done", (F.col("pos") == length) & (F.col("edits") == 1))
 
 
 def near_words(words: DataFrame, start: int = START, most_rounds: int = 100_000) -> DataFrame:
@@ -99,8 +116,8 @@ def near_words(words: DataFrame, start: int = START, most_rounds: int = 100_000)
     found = []
     for _ in range(most_rounds):
         all_ = (F.col("edits") == 0) & (F.col("pos") >= F.col("front"))
-        by_letter = states.where(~all_).withColumn("first", F.substring(F.col("word"), F.col("pos") + 1, F.lit(1))).join(edges, ["rev", "node", "first"])
-        by_node = states.where(all_).join(edges, ["rev", "node"])
+        by_letter = states.where(~all_).withColumn("first", F.substring(F.col("word"), F.col("pos") + 1, F.lit(1))).join(edges.hint("shuffle_hash"), ["rev", "node", "first"])
+        by_node = states.where(all_).join(edges.hint("shuffle_hash"), ["rev", "node"])
         step = written(taken(by_letter.select(by_node.columns).unionByName(by_node)), "frontier")
         found.append(step.where("done").select("rev", "word", F.col("node").alias("near")))
         states = step.where("not done").drop("done")
