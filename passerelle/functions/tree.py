@@ -27,6 +27,7 @@ MARKERS = frozenset("applet caption marquee object td template th".split())
 SCOPE = frozenset("applet caption html marquee object table td template th foreignobject desc".split())
 SCOPES = {"li": SCOPE | {"ol", "ul"}, "p": SCOPE | {"button"}, "table": frozenset(("html", "table", "template"))}
 SPECIAL = CLOSE_P | VOID | MARKERS | IN_TABLE | frozenset("body button colgroup frame frameset head html iframe noembed noframes noscript script select style textarea title".split()) - {"dialog"}
+BOUNDING = TABLE_PARTS | {"select", "table", "template"}
 FOREIGN = frozenset(("math", "svg"))
 INTEGRATION = frozenset("desc foreignobject title annotation-xml mi mn mo ms mtext".split())
 BREAKOUT = FORMATTING - {"a", "font"} | HEADINGS | frozenset("blockquote body br center dd div dl dt embed head hr img li listing menu meta ol p pre ruby span sub sup table ul var".split())
@@ -52,6 +53,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.count = 0
         self.in_body = False
+        self.met: set[str] = set()  # tags of all elements so far
         self.form: Node | None = None
         self.pieces: list[list] = []
         self.active: list[Node | None] = []
@@ -65,6 +67,8 @@ class Tree(HTMLParser):
     @property
     def foreign(self) -> bool:
         """Whether content goes into SVG or MathML."""
+        if self.met.isdisjoint(FOREIGN):
+            return False
         for node in reversed(self.open):
             if node.tag in FOREIGN:
                 return True
@@ -74,8 +78,10 @@ class Tree(HTMLParser):
 
     def mode(self) -> str:
         """What bounds the insertion: td, th, caption, a part of a table, select, or body."""
+        if self.met.isdisjoint(BOUNDING):
+            return "body"
         for node in reversed(self.open):
-            if node.tag in TABLE_PARTS or node.tag in ("table", "select", "template"):
+            if node.tag in BOUNDING:
                 return node.tag
         return "body"
 
@@ -125,6 +131,7 @@ class Tree(HTMLParser):
             self.pop()
         parent = self.open[-1] if inside else self.place()
         self.count += 1
+        self.met.add(tag)
         at = len(self.pieces) if tag == "table" else None
         node = Node(tag, attrs, parent, self.mark(parent, tag, attrs), self.count, at)
         if tag not in VOID:
@@ -437,7 +444,7 @@ class Tree(HTMLParser):
     def put(self, data: str) -> None:
         """Adds text where it belongs: before the table if it, or the element that it is in, can't stand there."""
         parent = self.place()
-        tables = [n for n in self.open if n.tag == "table"]
+        tables = [n for n in self.open if n.tag == "table"] if "table" in self.met else []
         at = None
         if tables and self.open[-1].tag in IN_TABLE:
             at = tables[-1]
