@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from passerelle.functions.tree import CLOSE_P, HEADINGS, TABLE_PARTS, Node, Tree
-from passerelle.llm.common import read, row_key, written
+from passerelle.llm.common import read, row_key, shared_dir, written
 
 #: A branch goes if no node in it reaches LOW; nodes that stand on fewer than PAGES different pages of a host tell nothing.
 LOW, PAGES = 0.25, 5
@@ -33,13 +35,26 @@ MAIN = frozenset(("article", "main"))
 WORD = r"[A-Z]?[a-z]+|[A-Z]+"
 
 
-def words_of(attrs: dict[str, str | None]) -> set[str]:
-    """The words of class, id and role, parted at digits, signs and capitals."""
-    return {w.lower() for name in ("class", "id", "role") for w in re.findall(WORD, attrs.get(name) or "")}
+@lru_cache(10_000)
+def named(tag: str, classes: str, own_id: str, role: str) -> tuple[str, bool]:
+    """(the name of an element in its path, whether it is named as no part of the article).
+
+    The name has the tag, classes and id, without an id's digits and numbers of three digits and more, which tell pages apart and not their parts.
+    """
+    style = " ".join(sorted(re.sub(r"\d{3,}", "", classes).split())) + re.sub(r"\d+", "", own_id)
+    words = {w.lower() for w in re.findall(WORD, f"{classes} {own_id} {role}")}
+    return f"{tag}.{style}", tag not in ("html", "body") and not words.isdisjoint(CHROME)
+
+
+@lru_cache(100_000)
+def key_of(above: int, name: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{above}/{name}") - (1 << 63)
 
 
 class Article(Tree):
-    """The blocks of a page with the paths that they stand on."""
+    """The blocks of a page with the paths that they stand on. An element's mark: (key of its path, whether it is plain mark-up, whether it is no part of the article)."""
 
     def insert(self, tag: str, attrs: dict[str, str | None], inside: bool = False) -> Node:
         node = super().insert(tag, attrs, inside)
@@ -50,86 +65,96 @@ class Article(Tree):
         return node
 
     def mark(self, parent: Node | None, tag: str, attrs: dict[str, str | None]) -> tuple[int, bool, bool]:
-        """(key of the path, whether it is plain mark-up, whether it is named as no part of the article)."""
-        import xxhash
-
-        named = " ".join(sorted(re.findall(r"[^\s\d]+", f"{attrs.get('class') or ''} #{attrs.get('id') or ''}")))
         above, plain, _ = parent.mark if parent is not None else (0, True, False)
-        key = xxhash.xxh64_intdigest(f"{above}/{tag}.{named}") - (1 << 63)
+        if not attrs:
+            return key_of(above, tag), plain, tag in UNSEEN
+        name, chrome = named(tag, attrs.get("class") or "", attrs.get("id") or "", attrs.get("role") or "")
         style = (attrs.get("style") or "").replace(" ", "").lower()
         off = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-        own = words_of(attrs)
-        chrome = tag in UNSEEN or off or tag not in ("html", "body") and not own.isdisjoint(CHROME)
-        return key, plain and (tag in MAIN or named in ("", "#")), chrome
+        return key_of(above, name), plain and (tag in MAIN or name == f"{tag}."), chrome or off or tag in UNSEEN
 
     def is_main(self, node: Node) -> bool:
         return (node.tag in MAIN or node.attrs.get("role") == "main" or node.attrs.get("itemprop") == "articleBody") and not node.mark[2]
 
+    def chains(self) -> dict[Node, list[Node]]:
+        """Each element that holds text, and each above it, with the elements from the root down to it."""
+        found: dict[Node, list[Node]] = {}
+        for node, _ in self.pieces:
+            todo = []
+            while node is not None and node not in found:
+                todo.append(node)
+                node = node.parent
+            for x in reversed(todo):
+                found[x] = (found[x.parent] if x.parent is not None else []) + [x]
+        return found
+
+    def around_main(self, chains: dict[Node, list[Node]]) -> tuple[bool, set[int]]:
+        """(Whether there are main elements with text, the numbers of the longest one and what it is in). Else of the title that the fewest names surround."""
+        mains = {node: [x for x in chain if self.is_main(x)] for node, chain in chains.items()}
+        sizes: dict[Node, int] = {}
+        for node, text in self.pieces:
+            for x in mains[node] if text else ():
+                sizes[x] = sizes.get(x, 0) + len(text)
+        if sizes:
+            return True, {x.number for x in chains[max(sizes, key=lambda n: (sizes[n], -n.number))]}
+        titles = [c for n, c in chains.items() if n.tag in HEADINGS and not any(x.tag in UNSEEN or x.tag == "header" for x in c)]
+        return False, {x.number for x in min(titles, key=lambda c: sum(x.mark[2] for x in c), default=[])}
+
+    def staying(self, chains: dict[Node, list[Node]]) -> set[Node]:
+        """The elements that are in nothing that is no part of the article; a header is part of one if it has its title."""
+        has_main, around = self.around_main(chains)
+        titled = {x for node, chain in chains.items() if node.tag in ("h1", "h2") for x in chain}
+        state: dict[Node, tuple[bool, bool]] = {}  # in a main element, gone
+        for node in chains:
+            main, gone = state[node.parent] if node.parent is not None else (False, False)
+            main = main or self.is_main(node)
+            if not gone and node.mark[2]:
+                gone = node.number not in around or node.tag in UNSEEN
+            if not gone and node.tag == "header":
+                gone = node.number not in around and not (main and node in titled)
+            state[node] = main, gone
+        return {node for node, (main, gone) in state.items() if not gone and (main or not has_main)}
+
     def blocks(self) -> tuple[list[tuple[list[int], str]], list[tuple[list[int], int, bool]]]:
         """([(path, text)], [(path, digest of the child elements, plain)]) of what the mark-up leaves."""
         import xxhash
 
-        chains: dict[Node, list[Node]] = {}
-        for node, _ in self.pieces:
-            if node not in chains:
-                chain = chains[node] = [node]
-                while chain[-1].parent is not None:
-                    chain.append(chain[-1].parent)
-        sizes: dict[int, int] = {}
+        chains = self.chains()
+        stay = self.staying(chains)
+        found: list[tuple[Node, list[str]]] = []
+        kids: dict[Node, list[int]] = {}
+        last = None  # the element that the block at hand is in
         for node, text in self.pieces:
-            for x in chains[node]:
-                if text and self.is_main(x):
-                    sizes[x.number] = sizes.get(x.number, 0) + len(text)
-        best = max(sizes, key=lambda n: (sizes[n], -n), default=None)
-        around, titled = set(), set()  # the largest main element and what it is in; what holds a title
-        if best is None:  # the title that the fewest such names surround
-            titles = [c for c in chains.values() if c[0].tag in HEADINGS and not any(x.tag in UNSEEN or x.tag == "header" for x in c)]
-            around.update(x.number for x in min(titles, key=lambda c: sum(x.mark[2] for x in c), default=[]))
-        for chain in chains.values():
-            numbers = [x.number for x in chain]
-            if best in numbers:
-                around.update(numbers[numbers.index(best) :])
-            if any(x.tag in ("h1", "h2") for x in chain):
-                titled.update(numbers)
-
-        def stays(chain: list[Node]) -> bool:
-            """Whether nothing that an element is in is named as no part of the article. A header stays inside an article if it has its title."""
-            if best is not None and not any(self.is_main(x) for x in chain):
-                return False
-            for i, x in enumerate(chain):
-                if x.mark[2] and (x.number not in around or x.tag in UNSEEN):
-                    return False
-                if x.tag == "header" and x.number not in around and not (x.number in titled and any(self.is_main(y) for y in chain[i:])):
-                    return False
-            return True
-
-        found: list[tuple[list[int], list[str]]] = []
-        kids: dict[int, tuple[list[Node], list[int]]] = {}
-        last, seen = None, set()
-        for node, text in self.pieces:
-            chain = chains[node]
-            block = next(i for i, x in enumerate(chain) if x.tag in BLOCK)
-            at = chain[block].number if text is not None else None
-            if not stays(chain):
-                last = last if block and text is not None else None
+            block = node
+            while block.tag not in BLOCK:
+                block = block.parent
+            if node not in stay:
+                if text is None or block is node:
+                    last = None
                 continue
-            for i, x in enumerate(chain):
-                own = kids.setdefault(x.number, (chain[i:], []))[1]
-                if i and chain[i - 1].number not in seen:
-                    seen.add(chain[i - 1].number)
-                    if own[-1:] != [chain[i - 1].mark[0]]:
-                        own.append(chain[i - 1].mark[0])
+            new = []
+            x = node
+            while x is not None and x not in kids:
+                new.append(x)
+                x = x.parent
+            for x in reversed(new):
+                kids[x] = []
+                if x.parent is not None:
+                    kids[x.parent].append(x.mark[0])
             if text is None:
                 last = None
-            elif at == last:
+            elif last == block.number:
                 found[-1][1].append(text)
             else:
-                found.append(([x.mark[0] for x in reversed(chain[block:])], [text]))
-                last = at
-        texts = [(path, t) for path, parts in found if (t := " ".join("".join(parts).split()))]
-        styles = {}
-        for chain, own in kids.values():
-            styles.setdefault(chain[0].mark[0], ([x.mark[0] for x in reversed(chain)], xxhash.xxh64_intdigest(repr(own)) - (1 << 63), chain[0].mark[1]))
+                found.append((block, [text]))
+                last = block.number
+        path = lambda node: [x.mark[0] for x in chains[node]]
+        texts = [(path(block), t) for block, parts in found if (t := " ".join("".join(parts).split()))]
+        styles: dict[int, tuple[list[int], int, bool]] = {}
+        for node, own in kids.items():
+            if node.mark[0] not in styles:
+                shape = [k for k, _ in groupby(own)]
+                styles[node.mark[0]] = (path(node), xxhash.xxh64_intdigest(repr(shape)) - (1 << 63), node.mark[1])
         return texts, list(styles.values())
 
 
@@ -174,6 +199,13 @@ def unimportant(pages: DataFrame, low: float = LOW, least: int = PAGES) -> DataF
     return branches.where(F.col("most") < low).join(rated.where(F.col("m") >= least).select("host", "node"), ["host", "node"], "left_semi").select("host", "node")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """df as Parquet with Zstandard in the shared folder: texts, so that size matters."""
+    path = shared_dir(df.sparkSession, "blocks")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", low: float = LOW, least: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars of each row: its blocks in page order, joined by two line ends.
 
@@ -183,10 +215,10 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """
     host = F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.when(host != "", host).alias("host"), row_key(page_id, url, html).alias("key"), parsed(F.col(html)).alias("p"))
-    own = written(own.select("page_id", "url", "host", "key", "p.blocks", "p.nodes"), "blocks")
+    own = packed(own.select("page_id", "url", "host", "key", "p.blocks", "p.nodes"))
     low_ = unimportant(own, low, least)
     gone = own.where("host is not null").select("host", "key", F.explode("nodes").alias("n")).select("host", "key", F.element_at("n.path", -1).alias("node"))
-    gone = gone.join(low_, ["host", "node"]).groupBy("key").agg(F.collect_set("node").alias("gone"))
+    gone = written(gone.join(low_, ["host", "node"]).groupBy("key").agg(F.collect_set("node").alias("gone")), "gone")  # so that its size decides how it is joined
     left = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], F.col("gone"))))
     out = own.drop("nodes").join(gone, "key", "left").withColumn("left", left)
     kept = F.when(F.size("left") > 0, F.col("left")).otherwise(F.col("blocks"))
