@@ -41,48 +41,89 @@ def edges(links: DataFrame, origin: str, strict: bool = False) -> DataFrame:
     return kept.where(same_site(F.col("target"), origin, strict)).select("page_url", "target").distinct()
 
 
+ROUND = "url string, linked boolean, new boolean, todo boolean"
+
+
 def _rounds(spark: SparkSession, state: str) -> list[int]:
-    """The rounds that were finished: a round's marker is written after all else of it."""
+    """The rounds that were finished: a round's marker is written after its rows."""
     try:
         return sorted(r[0] for r in spark.read.schema("number int").option("recursiveFileLookup", True).parquet(f"{state}/done").select("number").distinct().collect())
     except AnalysisException:
         return []
 
 
-def _kept(spark: SparkSession, state: str, name: str, rounds: list[int]) -> DataFrame:
-    """What the rounds added to a table of the crawl."""
-    schema = spark.read.schema("url string")
-    return schema.parquet(*[f"{state}/{name}/{n}" for n in rounds]) if rounds else spark.createDataFrame([], "url string")
+def _kept(spark: SparkSession, state: str, rounds: list[int]) -> DataFrame:
+    return spark.read.schema(ROUND).parquet(*[f"{state}/rounds/{n}" for n in rounds])
+
+
+def chains(reach: DataFrame, starts: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """head, url: pages that only one page leads to, which leads nowhere else, and the page at the front of such a chain.
+
+    Who visits the head visits all of them. starts (url) are never inside a chain, as crawls begin there. What a page is behind doubles each round,
+    so a chain of length n takes log n joins; rings that nothing leads into have no head and are left out.
+    """
+    leads = reach.groupBy("page_url").agg(F.max("target").alias("url"), F.count("*").alias("n")).where("n = 1").select(F.col("page_url").alias("head"), "url")
+    led = reach.groupBy("target").agg(F.count("*").alias("n")).where("n = 1").select(F.col("target").alias("url"))
+    links = written(leads.where("head <> url").join(led, "url").join(starts, "url", "left_anti").select("head", "url"), "chains")
+    if not links.head(1):
+        return links
+    for _ in range(most_rounds):
+        ahead = links.select(F.col("head").alias("_head"), F.col("url").alias("head"))
+        step = links.join(ahead, "head", "left")
+        links = written(step.select(F.coalesce("_head", "head").alias("head"), "url", F.col("_head").isNotNull().alias("moved")), "chains")
+        if not links.where("moved").head(1):
+            break
+        links = links.drop("moved")
+    return links.join(links.select(F.col("url").alias("head")), "head", "left_anti").select("head", "url")
 
 
 def crawl_closure(links: DataFrame, seed: str, origin: str | None = None, state: str | None = None, strict: bool = False, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(urls, visited): what is reachable from the seed within `origin`, which is the seed itself if not given.
 
-    Each round visits a whole frontier; order doesn't change the closure. Pages that weren't captured are visited and
-    have no links. urls holds link targets, so the seed only if something links to it. A round writes what it adds below `state`,
-    a shared folder (a new one if not given), and last its marker; a later call with the same `state` goes on after the last finished
-    round, wherever the crawl was stopped. Its frontier is the seed and all urls that weren't visited.
+    Each round visits a whole frontier, and the chains behind it; order doesn't change the closure. Pages that weren't captured are visited and have no
+    links. urls holds link targets, so the seed only if something links to it. A round is one table below `state`, a shared folder (a new one if
+    not given), and then its marker; a later call with the same `state` goes on after the last finished round, wherever the crawl was stopped.
+    After 2, 8, 32 and more rounds, links to and from what is done are dropped and the chains of the rest found anew: so links are read less and
+    less, and pages that lead on and to a menu only are a chain once the menu is visited.
     """
     spark = links.sparkSession
     state = (state or shared_dir(spark, "crawl")).rstrip("/")
     reach = written(edges(links, (origin or seed).rstrip("/"), strict), "edges")
     rounds = _rounds(spark, state)
-    known = _kept(spark, state, "urls", rounds).unionByName(spark.createDataFrame([(seed,)], "url string")).distinct()
-    frontier = written(known.join(_kept(spark, state, "visited", rounds), "url", "left_anti"), "frontier")
-    for _ in range(most_rounds):
-        if not frontier.head(1):
-            break
+
+    def put(df: DataFrame) -> None:
         number = rounds[-1] + 1 if rounds else 0
-        put = lambda df, name: df.write.mode("overwrite").parquet(f"{state}/{name}/{number}")  # noqa: B023, E731
-        put(frontier, "visited")
-        found = reach.join(frontier, reach["page_url"] == frontier["url"], "left_semi").select(F.col("target").alias("url")).distinct()
-        put(found.join(_kept(spark, state, "urls", rounds), "url", "left_anti"), "urls")
-        put(spark.range(1, numPartitions=1).select(F.lit(number).alias("number")), "done")
+        df.write.mode("overwrite").parquet(f"{state}/rounds/{number}")
+        spark.range(1, numPartitions=1).select(F.lit(number).alias("number")).write.mode("overwrite").parquet(f"{state}/done/{number}")
         rounds.append(number)
-        frontier = written(_kept(spark, state, "urls", [number]).join(_kept(spark, state, "visited", rounds), "url", "left_anti"), "frontier")
+
+    if not rounds:
+        put(spark.createDataFrame([(seed, False, True, True)], ROUND).coalesce(1))
+    behind, compact = None, 2
+    for number in range(most_rounds):
+        frontier = _kept(spark, state, rounds[-1:]).where("todo").select("url")
+        if not frontier.head(1):
+            break
+        visited = _kept(spark, state, rounds).where("new").select("url")
+        if number == compact:
+            compact *= 4
+            done = visited.join(frontier, "url", "left_anti").select(F.col("url").alias("page_url"))
+            known = _kept(spark, state, rounds).where("linked").select(F.col("url").alias("target"))
+            reach = written(reach.join(done, "page_url", "left_anti").join(known, "target", "left_anti").select("page_url", "target"), "edges")
+            behind = written(chains(reach, visited.distinct()), "behind")
+            behind = behind if behind.head(1) else None
+        pages, inner = frontier, None
+        if behind is not None:
+            inner = behind.join(frontier.select(F.col("url").alias("head")), "head", "left_semi").select("url", F.lit(True).alias("_inner"))
+            pages = frontier.unionByName(inner.select("url"))
+        found = reach.join(pages, reach["page_url"] == pages["url"], "left_semi").select(F.col("target").alias("url")).distinct()
+        found = found.join(visited.select("url", F.lit(True).alias("_old")), "url", "left")
+        found = found.join(inner, "url", "left") if inner is not None else found.withColumn("_inner", F.lit(None).cast("boolean"))
+        put(found.select("url", F.lit(True).alias("linked"), F.col("_old").isNull().alias("new"), (F.col("_old").isNull() & F.col("_inner").isNull()).alias("todo")))
     else:
         raise RuntimeError(f"the crawl didn't end in {most_rounds} rounds")
-    return _kept(spark, state, "urls", rounds), _kept(spark, state, "visited", rounds)
+    seen = _kept(spark, state, rounds)
+    return seen.where("linked").select("url").distinct(), seen.where("new").select("url")
 
 
 def crawl_errors(visited: DataFrame, pages: DataFrame) -> DataFrame:
