@@ -1,11 +1,16 @@
 """Choosing comparable components from a table of DOM nodes.
 
-Nodes: page, side, node_id, parent_id, ord, tag, dom_id, classes (array), text, display, visibility, opacity,
-position, width, height, ancestors (array of node_ids). Relations of ancestors are equi-joins on exploded arrays.
+Nodes: page, side, node_id, parent_id, ord (document order), tag, dom_id, classes (array), text, display, visibility, opacity,
+position, width, height, and what with_intervals() adds: pre, the node's place in its page, and last, that of the last node below it.
+So what is below a node has its places between these two, and whether something above a node has a property is a running maximum of
+`last` in order of places: no pairs of nodes and ancestors are made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,22 +23,49 @@ MEDIA = ("img", "video", "iframe", "canvas", "picture", "object", "embed", "inpu
 SHOEHORN = "full-width-shoehorn"
 
 
-def with_ancestors(nodes: DataFrame, root: int = 0, most_rounds: int = 40) -> DataFrame:
-    """nodes with `ancestors` from parent_id, which is `root` or null at the top. Written once: every later step reads them.
+def with_intervals(nodes: DataFrame, root: int = 0) -> DataFrame:
+    """nodes with pre and last, from parent_id, which is `root` or null at the top. Written once: every later step reads them.
 
-    Paths double each round: a node's known path is continued by that of its end, so a depth of n takes log n joins.
+    One pass over the nodes sorted by page, side and ord keeps the open elements only, so memory is bounded by a tree's depth. A node whose
+    parent isn't open then is an error: ord isn't document order, or the parent is missing.
     """
-    none = F.array().cast("array<bigint>")
-    parent = F.col("parent_id")
-    paths = written(nodes.select(*PAGE, "node_id", F.when(parent.isNotNull() & (parent != root), F.array(parent.cast("bigint"))).otherwise(none).alias("path")), "paths")
-    for _ in range(most_rounds):
-        on = paths.where(F.size("path") > 0).select(*PAGE, F.col("node_id").alias("_end"), F.col("path").alias("_more"))
-        step = paths.withColumn("_end", F.try_element_at("path", F.lit(-1))).join(on, [*PAGE, "_end"], "left")
-        paths = written(step.select(*PAGE, "node_id", F.concat("path", F.coalesce("_more", none)).alias("path"), (F.col("_more").isNotNull()).alias("grew")), "paths")
-        if not paths.where("grew").head(1):
-            break
-        paths = paths.drop("grew")
-    return written(nodes.join(paths.select(*PAGE, "node_id", F.sort_array("path").alias("ancestors")), [*PAGE, "node_id"]), "nodes")
+    types = dict(nodes.dtypes)
+    keys = nodes.select(*PAGE, "node_id", F.coalesce("parent_id", F.lit(root)).alias("parent_id"), "ord")
+
+    def places(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, open_, count = None, [], 0
+        for part in parts:
+            done = []
+            for p, s, node, parent in part[[*PAGE, "node_id", "parent_id"]].itertuples(index=False, name=None):
+                if (p, s) != page:
+                    done += [(*page, n, at, count - 1) for n, at in open_] if page else []
+                    page, open_, count = (p, s), [], 0
+                while open_ and open_[-1][0] != parent:
+                    n, at = open_.pop()
+                    done.append((*page, n, at, count - 1))
+                if not open_ and parent != root:
+                    raise ValueError(f"node {node} of {page} stands before or without its parent {parent}")
+                open_.append((node, count))
+                count += 1
+            yield pd.DataFrame(done, columns=[*PAGE, "node_id", "pre", "last"])
+        if page:
+            yield pd.DataFrame([(*page, n, at, count - 1) for n, at in open_], columns=[*PAGE, "node_id", "pre", "last"])
+
+    schema = f"page {types['page']}, side {types['side']}, node_id {types['node_id']}, pre long, last long"
+    placed = keys.repartition(*PAGE).sortWithinPartitions(*PAGE, "ord", "node_id").mapInPandas(places, schema)
+    return written(nodes.join(placed, [*PAGE, "node_id"]), "nodes")
+
+
+def inside(what: Column) -> Column:
+    """Whether the node is below one that `what` holds for."""
+    before = Window.partitionBy(*PAGE).orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.max(F.when(what, F.col("last"))).over(before) >= F.col("pre"), F.lit(False))
+
+
+def around(what: Column) -> Column:
+    """Whether a node below this one is such that `what` holds for it."""
+    behind = Window.partitionBy(*PAGE).orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
+    return F.coalesce(F.min(F.when(what, F.col("pre"))).over(behind) <= F.col("last"), F.lit(False))
 
 
 def has_class(name: str) -> Column:
@@ -44,43 +76,37 @@ def is_component() -> Column:
     return (F.col("tag") == "div") & has_class("component")
 
 
-def under(nodes: DataFrame) -> DataFrame:
-    """page, side, node_id, ancestor."""
-    return nodes.select(*PAGE, "node_id", F.explode("ancestors").alias("ancestor"))
-
-
 def drop_subtree(nodes: DataFrame, dom_id: str = SHOEHORN) -> DataFrame:
     """Without the nodes of that id and everything below them."""
-    gone = nodes.where(F.col("dom_id") == dom_id).select(*PAGE, F.col("node_id").alias("ancestor"))
-    below = under(nodes).join(gone, [*PAGE, "ancestor"], "left_semi").select(*PAGE, "node_id")
-    return nodes.join(below.unionByName(gone.withColumnRenamed("ancestor", "node_id")), [*PAGE, "node_id"], "left_anti")
+    gone = F.coalesce(F.col("dom_id") == dom_id, F.lit(False))
+    return nodes.withColumn("_gone", gone | inside(gone)).where("not _gone").drop("_gone")
 
 
 def pick_scope(nodes: DataFrame) -> DataFrame:
-    """page, side, scope: the node in main (else body) where components are looked for; the sides prefer different ones."""
-    main = nodes.where(F.col("tag").isin("main", "body")).groupBy(*PAGE).agg(F.min_by("node_id", F.struct((F.col("tag") != "main"), "ord")).alias("main"))
-    pairs = under(nodes).withColumnRenamed("ancestor", "main").join(main, [*PAGE, "main"], "left_semi").select(*PAGE, "node_id")
-    content = nodes.where(F.col("dom_id") == "content").select(*PAGE, F.col("node_id").alias("ancestor"))
-    rows = under(nodes.where(has_class("row"))).join(content, [*PAGE, "ancestor"], "left_semi").select(*PAGE, "node_id").distinct().withColumn("_row", F.lit(True))
-    own = nodes.join(pairs, [*PAGE, "node_id"], "left_semi").join(rows, [*PAGE, "node_id"], "left")
+    """page, side, scope, pre, last: the node in main (else body) where components are looked for; the sides prefer different ones."""
+    own = F.struct("node_id", "pre", "last")
+    main = nodes.where(F.col("tag").isin("main", "body")).groupBy(*PAGE).agg(F.min_by(own, F.struct((F.col("tag") != "main"), "ord")).alias("main"))
+    row = has_class("row") & inside(F.coalesce(F.col("dom_id") == "content", F.lit(False)))
     kind = F.when(F.col("_row"), "row").when(F.col("dom_id") == "content", "content").when(F.col("dom_id") == "content-shoehorned", "shoehorned")
     rank = F.when(F.col("side") == "stage", F.when(kind == "row", 0).when(kind == "content", 1).when(kind == "shoehorned", 2)).otherwise(F.when(kind == "shoehorned", 0).when(kind == "row", 1).when(kind == "content", 2))
-    best = own.where(rank.isNotNull()).groupBy(*PAGE).agg(F.min_by("node_id", F.struct(rank, "ord")).alias("_best"))
-    return main.join(best, PAGE, "left").select(*PAGE, F.coalesce("_best", "main").alias("scope"))
+    ranked = nodes.withColumn("_row", row).withColumn("_rank", rank).where("_rank is not null").join(main, PAGE).where("pre > main.pre and pre <= main.last")
+    best = ranked.groupBy(*PAGE).agg(F.min_by(own, F.struct("_rank", "ord")).alias("best"))
+    chosen = F.coalesce("best", "main")
+    return main.join(best, PAGE, "left").select(*PAGE, chosen["node_id"].alias("scope"), chosen["pre"].alias("pre"), chosen["last"].alias("last"))
 
 
 def candidates(nodes: DataFrame, scope: DataFrame) -> DataFrame:
     """Components in scope: direct children on stage, all descendants on prod."""
-    comps = nodes.where(is_component())
-    pairs = comps.where("side = 'stage'").select(*PAGE, "node_id", F.col("parent_id").alias("scope")).unionByName(under(comps.where("side <> 'stage'")).withColumnRenamed("ancestor", "scope"))
-    return comps.join(pairs.join(scope, [*PAGE, "scope"], "left_semi").select(*PAGE, "node_id").distinct(), [*PAGE, "node_id"], "left_semi")
+    of = scope.select(*PAGE, "scope", F.col("pre").alias("_from"), F.col("last").alias("_to"))
+    comps = nodes.where(is_component()).join(of, PAGE)
+    here = F.when(F.col("side") == "stage", F.col("parent_id") == F.col("scope")).otherwise((F.col("pre") > F.col("_from")) & (F.col("pre") <= F.col("_to")))
+    return comps.where(here).drop("scope", "_from", "_to")
 
 
 def top_level(cands: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates without a component among their ancestors, in scope or not."""
-    comps = nodes.where(is_component()).select(*PAGE, F.col("node_id").alias("ancestor"))
-    nested = under(cands).join(comps, [*PAGE, "ancestor"], "left_semi").select(*PAGE, "node_id").distinct()
-    return cands.join(nested, [*PAGE, "node_id"], "left_anti")
+    """Candidates without a component above them, in scope or not."""
+    comps = nodes.where(is_component()).select(*PAGE, "node_id", "pre", "last").withColumn("_nested", inside(F.lit(True)))
+    return cands.join(comps.where("_nested").select(*PAGE, "node_id"), [*PAGE, "node_id"], "left_anti")
 
 
 def hidden() -> Column:
@@ -93,11 +119,10 @@ def meaningful(nodes: DataFrame, cands: DataFrame) -> DataFrame:
     inner = nodes.where(has_class("component-content")).select(*PAGE, F.col("parent_id").alias("node_id"), F.struct("ord", F.col("node_id").alias("id")).alias("c"))
     first = cands.select(*PAGE, "node_id").join(inner, [*PAGE, "node_id"], "left").groupBy(*PAGE, "node_id").agg(F.min("c")["id"].alias("content"))
     root = first.select(*PAGE, "node_id", F.coalesce("content", "node_id").alias("root"))
-    media = F.col("tag").isin(*MEDIA) & ~hidden()
-    parents = nodes.select(*PAGE, F.col("node_id").alias("parent_id"), hidden().alias("_off"))
-    texts = nodes.where((F.col("tag") == "#text") & (clean_text("text") != "")).join(parents, [*PAGE, "parent_id"], "left").where(~F.coalesce("_off", F.lit(False)))
-    shown = under(nodes.where(media)).unionByName(under(texts)).select(*PAGE, F.col("ancestor").alias("root")).distinct()
-    return root.join(shown, [*PAGE, "root"], "left_semi").select(*PAGE, "node_id")
+    parents = nodes.where(hidden()).select(*PAGE, F.col("node_id").alias("parent_id"), F.lit(True).alias("_off"))
+    seen = F.when(F.col("tag") == "#text", (clean_text("text") != "") & F.col("_off").isNull()).otherwise(F.col("tag").isin(*MEDIA) & ~hidden())
+    shows = nodes.join(parents, [*PAGE, "parent_id"], "left").select(*PAGE, F.col("node_id").alias("root"), "pre", "last", F.coalesce(seen, F.lit(False)).alias("_seen")).withColumn("_shows", around(F.col("_seen")))
+    return root.join(shows.where("_shows").select(*PAGE, "root"), [*PAGE, "root"], "left_semi").select(*PAGE, "node_id")
 
 
 def classify_components(cands: DataFrame, full: DataFrame) -> DataFrame:

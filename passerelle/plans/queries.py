@@ -386,11 +386,11 @@ c AS (SELECT n.*, CASE WHEN display = 'none' THEN 'hidden' WHEN position = 'fixe
 def classified_components(spark: SparkSession, sf: str) -> DataFrame:
     base = fixture(spark, sf, "fx_nodes_dom")
     nodes = base.select(
-        "page", "side", F.col("node_id").cast("long").alias("node_id"), F.col("parent_id").cast("long").alias("parent_id"), "ord", "tag", F.lit(None).cast("string").alias("dom_id"), F.when(F.col("is_component"), F.array(F.lit("component"))).otherwise(F.array().cast("array<string>")).alias("classes"),
+        "page", "side", F.col("node_id").cast("long").alias("node_id"), F.col("parent_id").cast("long").alias("parent_id"), (F.col("ord") * 2).alias("ord"), "tag", F.lit(None).cast("string").alias("dom_id"), F.when(F.col("is_component"), F.array(F.lit("component"))).otherwise(F.array().cast("array<string>")).alias("classes"),
         F.lit(None).cast("string").alias("text"), "display", F.lit("visible").alias("visibility"), F.lit(1.0).alias("opacity"), "position", F.lit(1.0).alias("width"), F.col("height").cast("double").alias("height"),
     )
-    texts = base.select("page", "side", (F.col("node_id") + 1000).cast("long").alias("node_id"), F.col("node_id").cast("long").alias("parent_id"), (F.col("ord") + 1000).alias("ord"), F.lit("#text").alias("tag"), "text")
-    nodes = dom.with_ancestors(nodes.unionByName(texts, allowMissingColumns=True))
+    texts = base.select("page", "side", (F.col("node_id") + 1000).cast("long").alias("node_id"), F.col("node_id").cast("long").alias("parent_id"), (F.col("ord") * 2 + 1).alias("ord"), F.lit("#text").alias("tag"), "text")
+    nodes = dom.with_intervals(nodes.unionByName(texts, allowMissingColumns=True))
     cands = dom.top_level(nodes.where(dom.is_component()), nodes)
     return dom.classify_components(cands, dom.meaningful(nodes, cands))
 
@@ -405,7 +405,7 @@ def scoped_nodes(spark: SparkSession, sf: str) -> DataFrame:
     classes = F.array_compact(F.array(F.when(F.col("is_component"), "component"), F.when(F.col("text") == "x", "row")))
     dom_id = F.when(i % 4 == 2, "content").when(i % 4 == 3, "content-shoehorned").when(F.col("display") == "none", "full-width-shoehorn")
     nodes = base.select("page", "side", i.cast("long").alias("node_id"), F.col("parent_id").cast("long").alias("parent_id"), "ord", F.when(i == 1, "main").otherwise("div").alias("tag"), dom_id.alias("dom_id"), classes.alias("classes"))
-    return dom.with_ancestors(nodes)
+    return dom.with_intervals(nodes)
 
 
 @query(
@@ -428,7 +428,7 @@ cands AS (SELECT n.page, n.side, n.node_id FROM n JOIN scopes s ON s.page = n.pa
 
 @query(f"WITH {SCOPE} SELECT * FROM scopes", "fx_nodes_dom", recursive=True)
 def component_scopes(spark: SparkSession, sf: str) -> DataFrame:
-    return dom.pick_scope(scoped_nodes(spark, sf))
+    return dom.pick_scope(scoped_nodes(spark, sf)).select("page", "side", "scope")
 
 
 @query(f"WITH {SCOPE} SELECT * FROM cands", "fx_nodes_dom", recursive=True)
