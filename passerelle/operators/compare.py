@@ -201,28 +201,33 @@ def worst_tag(tag: str = "tag", ord_: str = "ord") -> Column:
 
 
 def media_set_diff(names: DataFrame, pages: DataFrame) -> DataFrame:
-    """url, missing, extra, mismatch, match, tag, log of every page; names: side, url, names."""
-    side = lambda s, c: names.where(F.col("side") == s).select("url", F.col("names").alias(c))
-    df = pages.select("url").distinct().join(side("prod", "p"), "url", "left").join(side("migrated", "m"), "url", "left")
+    """url, missing, extra, mismatch, match, tag, log of every page; names: url, name, sides, as of blocked_sides().
+
+    Names are counted by the sides that have them. Only those that one side lacks are listed.
+    """
+    has = lambda sides: F.col("name").isNotNull() & (F.col("sides") == sides)
+    listed = lambda sides: F.sort_array(F.collect_list(F.when(has(sides), F.col("name"))))
+    per = names.groupBy("url").agg(F.bit_or("sides").alias("files"), F.count_if(has(3)).alias("both"), listed(1).alias("missing"), listed(2).alias("extra"))
     none = F.array().cast("array<string>")
-    p, m = F.coalesce("p", none), F.coalesce("m", none)
-    missing, extra, union = F.array_except(p, m), F.array_except(m, p), F.array_union(p, m)
+    df = pages.select("url").distinct().join(per, "url", "left").withColumns({"files": F.coalesce("files", F.lit(0)), "both": F.coalesce("both", F.lit(0)), "missing": F.coalesce("missing", none), "extra": F.coalesce("extra", none)})
+    missing, extra = F.col("missing"), F.col("extra")
     count = F.size(missing) + F.size(extra)
     shown = lambda label, a: F.concat(F.lit(f"  {label} in migrated ("), F.size(a).cast("string"), F.lit("): "), F.when(F.size(a) > 0, F.array_join(a, ", ")).otherwise(F.lit("-")))
     lines = F.array(
         F.concat(F.lit("URL: "), F.col("url")),
-        F.when(F.col("p").isNull(), F.lit("prod/blocked-urls.txt: not found")),
-        F.when(F.col("m").isNull(), F.lit("migrated/blocked-urls.txt: not found")),
-        F.when(count == 0, F.concat(F.lit("Media filenames match ("), F.size(p).cast("string"), F.lit(")"))),
+        F.when(F.col("files").bitwiseAND(1) == 0, F.lit("prod/blocked-urls.txt: not found")),
+        F.when(F.col("files").bitwiseAND(2) == 0, F.lit("migrated/blocked-urls.txt: not found")),
+        F.when(count == 0, F.concat(F.lit("Media filenames match ("), F.col("both").cast("string"), F.lit(")"))),
         F.when(count > 0, F.lit("Media filenames differ")),
         F.when(count > 0, shown("Missing", missing)),
         F.when(count > 0, shown("Extra", extra)),
     )
+    total = count + F.col("both")
     return df.select(
         "url",
-        missing.alias("missing"),
-        extra.alias("extra"),
-        F.when(F.size(union) > 0, 100.0 * count / F.size(union)).otherwise(F.lit(0.0)).alias("mismatch"),
+        "missing",
+        "extra",
+        F.when(total > 0, 100.0 * count / total).otherwise(F.lit(0.0)).alias("mismatch"),
         (count == 0).alias("match"),
         F.when(count == 0, "perfect-match").otherwise("minor-diff").alias("tag"),
         F.array_join(F.array_compact(lines), "\n").alias("log"),

@@ -41,6 +41,10 @@ def edges(links: DataFrame, origin: str, strict: bool = False) -> DataFrame:
     return kept.where(same_site(F.col("target"), origin, strict)).select("page_url", "target").distinct()
 
 
+class UnfinishedCrawl(RuntimeError):
+    """The rounds that were allowed are over; the state goes on from there."""
+
+
 ROUND = "url string, linked boolean, new boolean, todo boolean"
 
 
@@ -121,7 +125,7 @@ def crawl_closure(links: DataFrame, seed: str, origin: str | None = None, state:
         found = found.join(inner, "url", "left") if inner is not None else found.withColumn("_inner", F.lit(None).cast("boolean"))
         put(found.select("url", F.lit(True).alias("linked"), F.col("_old").isNull().alias("new"), (F.col("_old").isNull() & F.col("_inner").isNull()).alias("todo")))
     else:
-        raise RuntimeError(f"the crawl didn't end in {most_rounds} rounds")
+        raise UnfinishedCrawl(f"the crawl didn't end in {most_rounds} rounds")
     seen = _kept(spark, state, rounds)
     return seen.where("linked").select("url").distinct(), seen.where("new").select("url")
 

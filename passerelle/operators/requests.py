@@ -19,3 +19,19 @@ def blocked_names(blocked: DataFrame, asset_host: str) -> DataFrame:
     """side, url, names: the sorted distinct media names that were blocked."""
     name = media_filename("media_url", asset_host)
     return blocked.groupBy("side", "url").agg(F.sort_array(F.collect_set(F.when(name != "", name))).alias("names"))
+
+
+#: The bit of each side in `sides`.
+SIDES = {"prod": 1, "migrated": 2}
+
+
+def blocked_sides(blocked: DataFrame, asset_host: str) -> DataFrame:
+    """url, name, sides: each media name of a page with the bits of the sides that blocked it.
+
+    A row with a null name has the bits of sides that blocked only what has no name, or whose list was empty (a null media_url).
+    """
+    name = media_filename("media_url", asset_host)
+    bit = F.lit(0)
+    for side, value in SIDES.items():
+        bit = F.when(F.col("side") == side, value).otherwise(bit)
+    return blocked.groupBy("url", F.when(name != "", name).alias("name")).agg(F.bit_or(bit).alias("sides"))

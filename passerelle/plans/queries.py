@@ -277,6 +277,17 @@ def crawl_visited(spark: SparkSession, sf: str) -> DataFrame:
     return closure(spark, sf)[1]
 
 
+@query(f"WITH {EDGES} SELECT url FROM visited", "fx_links", recursive=True)
+def crawl_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A crawl that stops after three rounds, and one that goes on from its state."""
+    links, state = fixture(spark, sf, "fx_links"), shared_dir(spark, "stopped")
+    try:
+        crawl.crawl_closure(links, SEED, SITE, state=state, most_rounds=3)
+    except crawl.UnfinishedCrawl:
+        pass
+    return crawl.crawl_closure(links, SEED, SITE, state=state)[1]
+
+
 @query(f"WITH {EDGES} SELECT DISTINCT regexp_extract(target, '^https://[^/]*(.*)$', 1) AS url FROM edges JOIN visited ON page_url = visited.url", "fx_links", recursive=True)
 def crawl_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.crawl_inventory(closure(spark, sf)[0], relativize=True)
@@ -610,18 +621,21 @@ def blocked_names(spark: SparkSession, sf: str) -> DataFrame:
     return requests.blocked_names(fixture(spark, sf, "fx_blocked"), ASSETS).withColumn("names", F.array_join("names", ","))
 
 
-MEDIA = f"""{NAMES}, j AS (SELECT u.url, coalesce(p.names, []) AS p, coalesce(m.names, []) AS m FROM (SELECT DISTINCT url FROM fx_blocked) u LEFT JOIN (SELECT * FROM names WHERE side = 'prod') p ON p.url = u.url LEFT JOIN (SELECT * FROM names WHERE side = 'migrated') m ON m.url = u.url),
-d AS (SELECT url, list_filter(p, lambda x: NOT list_contains(m, x)) AS missing, list_filter(m, lambda x: NOT list_contains(p, x)) AS extra, len(list_distinct(list_concat(p, m))) AS n FROM j)"""
+MEDIA = f"""{NAMES}, j AS (SELECT u.url, coalesce(p.names, []) AS p, coalesce(m.names, []) AS m, p.url IS NULL AS no_p, m.url IS NULL AS no_m FROM (SELECT DISTINCT url FROM fx_blocked) u LEFT JOIN (SELECT * FROM names WHERE side = 'prod') p ON p.url = u.url LEFT JOIN (SELECT * FROM names WHERE side = 'migrated') m ON m.url = u.url),
+d AS (SELECT url, list_filter(p, lambda x: NOT list_contains(m, x)) AS missing, list_filter(m, lambda x: NOT list_contains(p, x)) AS extra, len(list_distinct(list_concat(p, m))) AS n, len(p) AS n_prod, no_p, no_m FROM j)"""
+MEDIA_LOG = """'URL: ' || url || CASE WHEN no_p THEN chr(10) || 'prod/blocked-urls.txt: not found' ELSE '' END || CASE WHEN no_m THEN chr(10) || 'migrated/blocked-urls.txt: not found' ELSE '' END || chr(10) ||
+    CASE WHEN len(missing) + len(extra) = 0 THEN 'Media filenames match (' || n_prod || ')' ELSE 'Media filenames differ' || chr(10) || '  Missing in migrated (' || len(missing) || '): ' || CASE WHEN len(missing) > 0 THEN array_to_string(missing, ', ') ELSE '-' END
+    || chr(10) || '  Extra in migrated (' || len(extra) || '): ' || CASE WHEN len(extra) > 0 THEN array_to_string(extra, ', ') ELSE '-' END END"""
 
 
 def media_sets(spark: SparkSession, sf: str) -> DataFrame:
     blocked = fixture(spark, sf, "fx_blocked")
-    return compare.media_set_diff(requests.blocked_names(blocked, ASSETS), blocked.select("url").distinct())
+    return compare.media_set_diff(requests.blocked_sides(blocked, ASSETS), blocked.select("url").distinct())
 
 
-@query(f"WITH {MEDIA} SELECT url, array_to_string(missing, ',') AS missing, array_to_string(extra, ',') AS extra, CASE WHEN n = 0 THEN 0 ELSE 100.0 * (len(missing) + len(extra)) / n END AS mismatch, CASE WHEN len(missing) + len(extra) = 0 THEN 'perfect-match' ELSE 'minor-diff' END AS tag FROM d", "fx_blocked")
+@query(f"WITH {MEDIA} SELECT url, array_to_string(missing, ',') AS missing, array_to_string(extra, ',') AS extra, CASE WHEN n = 0 THEN 0 ELSE 100.0 * (len(missing) + len(extra)) / n END AS mismatch, CASE WHEN len(missing) + len(extra) = 0 THEN 'perfect-match' ELSE 'minor-diff' END AS tag, {MEDIA_LOG} AS log FROM d", "fx_blocked")
 def media_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return media_sets(spark, sf).select("url", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"), "mismatch", "tag")
+    return media_sets(spark, sf).select("url", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"), "mismatch", "tag", "log")
 
 
 # --- reports
