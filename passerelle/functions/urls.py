@@ -20,6 +20,11 @@ URL_PARAMETERS = ("url", "u", "src", "image", "img", "filename", "file")
 #: fixed values: video suffixes
 VIDEO = ("mp4", "webm", "m4v", "mov", "ogv", "m3u8", "mpd", "ts")
 
+#: What the URL standard leaves as it is: a lower-case host without port or user, and no character that it would encode.
+PLAIN_TAIL = r"/[\x21\x24-\x3B\x3D\x40-\x5B\x5D-\x5F\x61-\x7A\x7C\x7E]*(?:\?[\x21\x24-\x26\x28-\x3B\x3D\x3F-\x7E]+)?(?:#[\x21\x23-\x3B\x3D\x3F-\x5F\x61-\x7E]+)?\z"
+PLAIN_HOST = r"^https?://[a-z0-9.-]+"
+DOTS = r"^[^?#]*/(?:\.|%2[eE]){1,2}(?:[/?#]|\z)"
+
 
 def col(c: Str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -71,8 +76,13 @@ def _built(scheme: Column, authority: Column, tail: Column) -> Column:
     return let(tail, use)
 
 
+def is_plain(c: Column) -> Column:
+    """Whether a URL is absolute and already as a browser writes it, by two patterns; few URLs that are read aren't."""
+    return c.rlike(PLAIN_HOST + PLAIN_TAIL) & ~c.rlike(DOTS)
+
+
 def absolute_url(c: Str) -> Column:
-    """The URL as a browser writes it; null if it isn't absolute and valid. Only http and https are taken apart."""
+    """The URL as a browser writes it; null if it isn't absolute and valid. Only http and https are taken apart, and only what isn't plain."""
 
     def use(c: Column) -> Column:
         rest = F.regexp_replace(F.regexp_replace(c, SCHEME, ""), r"^[/\\]*", "")
@@ -80,7 +90,8 @@ def absolute_url(c: Str) -> Column:
         web = lambda p: _built(p["scheme"], _authority(p["scheme"], p["at"]), p["tail"])
         return let(parts, lambda p: F.when(p["scheme"].isin("http", "https"), web(p)).when(p["scheme"] != "", c))
 
-    return let(_trimmed(col(c)), use)
+    c = col(c)
+    return F.when(is_plain(c), c).otherwise(let(_trimmed(c), use))
 
 
 def _trimmed(c: Column) -> Column:
@@ -122,7 +133,11 @@ def resolve_url(ref: Str, base: Str) -> Column:
         relative = F.when(base["scheme"] != "", _built(base["scheme"], base["at"], tail))
         return let(whole, lambda w: F.when(w.isNotNull(), absolute_url(w)).otherwise(relative))
 
-    return let(F.struct(_trimmed(col(ref)).alias("ref"), let(absolute_url(base), of).alias("base")), use)
+    ref, base = col(ref), col(base)
+    path = ref.rlike("^(?!//)" + PLAIN_TAIL) & ~ref.rlike(DOTS)
+    plain = F.when(is_plain(ref), ref).when(path, F.concat(F.regexp_extract(base, f"({PLAIN_HOST})", 1), ref))
+    full = let(F.struct(_trimmed(ref).alias("ref"), let(absolute_url(base), of).alias("base")), use)
+    return F.when(is_plain(base), F.coalesce(plain, full)).otherwise(full)
 
 
 def url_pathname(c: Str) -> Column:

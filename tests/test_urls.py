@@ -1,11 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from passerelle.functions import urls as U
 
 
 def one(spark, column, **values):
-    from pyspark.sql import functions as F
-
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(column.alias("x")).head()[0]
 
 
@@ -84,8 +83,6 @@ def test_capture_key_style():
     ],
 )
 def test_candidate(spark, url, want):
-    from pyspark.sql import functions as F
-
     assert spark.range(1).select(U.extract_candidate_url(F.lit(url).cast("string")).alias("x")).head()[0] == want
 
 
@@ -104,3 +101,18 @@ def test_pathname_keeps_what_is_malformed(spark):
     assert one(spark, U.url_pathname("c"), c="/just/a/path?x") == "/just/a/path?x"
     assert one(spark, U.url_pathname("c"), c="https://h.example?x=1") == "/"
     assert one(spark, U.strip_domain("c"), c="https://h.example/a?x=1#y") == "/a?x=1#y"
+
+
+def test_plain_urls_are_what_the_long_way_gives(spark):
+    """What the two patterns let pass is what taking apart and putting together gives, and they let plain URLs pass."""
+    parts = ["a", "A", ".", "..", "%2e", "%2E.", "b.c", "é", " ", "{x}", "x'y", '"', "|", "%41", "~!$&()*+,;=:@-_", "", "^", "`", "\\", "[1]"]
+    tails = [f"/{x}/{y}" for x in parts for y in parts] + [f"/p{s}{x}" for s in "?#" for x in parts] + ["", "/", "?", "/#", "/a?", "/a?b#", "/.?a", "/..#b", "/a/./?x=/../y"]
+    hosts = ["https://a.example.com", "http://a.example:80", "https://A.example", "https://u@a.example", "ftp://a.example", "https://a_b.example", "//a.example", ""]
+    rows = [(h + t,) for h in hosts for t in tails]
+    df = spark.createDataFrame(rows, "u string")
+    long = U.let(U.col("u"), lambda u: F.concat(F.lit(" "), u))  # a space in front isn't plain, and trimmed
+    base = F.lit("https://s.example.com/x/y?z")
+    far = F.concat(F.lit(" "), base)
+    got = df.select("u", U.is_plain(F.col("u")).alias("plain"), U.absolute_url("u").alias("a"), U.absolute_url(long).alias("b"), U.resolve_url("u", base).alias("c"), U.resolve_url(long, far).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got)
+    assert sum(r.plain for r in got) > 100 and all(r.a == r.u for r in got if r.plain)
