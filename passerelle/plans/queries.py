@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from passerelle.plans import reports
 from passerelle.plans.fixtures import FIXTURES, fixture, with_fixtures
 from passerelle.sources import readers, sinks
 from passerelle.sources.shared import shared_dir, written
-from passerelle.streaming import runs
+from passerelle.streaming import runs, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -836,16 +837,27 @@ def warnings_only(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams
 
 
+def pages_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """pages as a stream: of its own file beside other tables, or of its folder."""
+    return spark.readStream.schema(pages_of(spark, sf).schema).parquet(f"{sf}/pages.parquet*")
+
+
+def captures_stream(spark: SparkSession, sf: str) -> DataFrame:
+    name = f"pages_{uuid.uuid4().hex}"
+    pages_stream(spark, sf).createOrReplaceTempView(name)
+    return spark.sql(FIXTURES["fx_captures"].replace("FROM pages", f"FROM {name}"))
+
+
 @query("SELECT DISTINCT url FROM pages")
 def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.first_seen(spark, sf)
+    return runs.drained(streams.stream_first_seen(pages_stream(spark, sf).select("url")))
 
 
 @query(f"WITH {CHECKS} SELECT * FROM checks", "fx_captures")
 def stream_link_health(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.link_health(spark, sf)
+    return runs.drained(streams.stream_link_health(captures_stream(spark, sf)))
 
 
 @query(f"WITH {CHECKS} SELECT count(*) AS done, count(*) FILTER (NOT ok) AS failed, round(100.0 * count(*) / 1000, 1) AS percent FROM checks", "fx_captures")
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.progress(spark, sf, 1000)
+    return runs.drained(streams.stream_progress(streams.stream_link_health(captures_stream(spark, sf)), 1000), "complete")
