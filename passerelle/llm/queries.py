@@ -72,7 +72,24 @@ ends AS (SELECT node, string_agg(CAST(path.conv_id AS VARCHAR), ',' ORDER BY pat
 SELECT node.conv_id, node.depth, p.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM node LEFT JOIN parent ON parent.node = node.node LEFT JOIN node p ON p.node = parent.parent LEFT JOIN kids ON kids.node = node.node JOIN total ON total.node = node.node LEFT JOIN ends ON ends.node = node.node"""
 
+OP12 = f"""WITH RECURSIVE runs AS (SELECT key, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS key, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, n, {crc32("concat(key, ':', run)")} AS h FROM runs),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+short AS (SELECT word, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT DISTINCT a.word, b.word AS other FROM short a JOIN short b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT short.word, words.word FROM short JOIN words ON words.word = short.rest UNION SELECT words.word, short.word FROM short JOIN words ON words.word = short.rest),
+best AS (SELECT near.word, count(*) AS n_near, min((-words.n, near.other)) AS b FROM near JOIN words ON words.word = near.other GROUP BY near.word),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * words.n THEN b[2] END AS form, CASE WHEN -b[1] >= 2 * words.n THEN -b[1] END AS form_n FROM words LEFT JOIN best ON best.word = words.word),
+steps AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT steps.word, forms.word, forms.form FROM steps JOIN forms ON forms.word = steps.next)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN steps ON steps.word = forms.word AND next IS NULL"""
+
+#: The driver's pages have one article each, in which only headings and paragraphs are blocks.
+OP13 = r"""WITH b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(p|h1)>'), lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS parts FROM pages),
+t AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '&#x27;', chr(39)), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM t)"""
+
+
 
 def oracle_sql() -> dict[str, str]:
     """Only what DuckDB has functions for; tests/llm holds the rest against brute force."""
-    return {"op2_warc": OP2, "op4_substrings": OP4, "op7_decontaminate": OP7, "op11_trie": OP11}
+    return {"op2_warc": OP2, "op4_substrings": OP4, "op7_decontaminate": OP7, "op11_trie": OP11, "op12_variants": OP12, "op13_extraction": OP13}

@@ -5,9 +5,11 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from passerelle.llm import variants
+from passerelle.llm.queries import OP12
 
 SCHEMA = "doc_id long, text string"
 
@@ -72,6 +74,15 @@ def test_variants_are_those_of_brute_force(spark):
     assert got(variants.spelling_variants(df)) == want
 
 
+def test_sql():
+    """The SQL that the driver compares with, on the same rows."""
+    rows = corpus(random.Random(1))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: tuple(r[1:]) for r in con.execute(OP12).fetchall()} == brute(rows)
+
+
 def test_edges_of_a_trie(spark):
     words = spark.createDataFrame([(0, w) for w in ("abcde", "abcdf", "abxyz", "abcdef", "qrstu")], "rev int, key string")
     edges = {(r.node, r.label, r.child, r.ends, " ".join(sorted(r.more.split()))) for r in variants.trie_edges(words).collect()}
