@@ -13,6 +13,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,11 @@ def line(text: str) -> str:
     return text.replace("\r", "%0D").replace("\n", "%0A")
 
 
+def coded(key: str) -> str:
+    """A key as a header's value: percent-encoded but for letters, digits and -._~, so that unquote() gives exactly the key, spaces and line ends too."""
+    return quote(key, safe="")
+
+
 def urn(*parts: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
 
@@ -53,9 +59,9 @@ def record(kind: str, page: str | None, url: str | None, payload: bytes, digest:
     own = urn(kind, page, digest) if kind == "response" else urn(kind, page, url, digest)
     block, head = b"", ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
-    head += [f"{name}: {line(value)}" for name, value in (("WARC-Target-URI", url), ("X-Page-Id", page)) if value is not None]
+    head += [f"{name}: {value}" for name, value in (("WARC-Target-URI", url and line(url)), ("X-Page-Id", page and coded(page))) if value is not None]
     if kind == "revisit":
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {urn('response', refers, digest)}", f"X-Refers-To-Page: {line(refers or '')}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {urn('response', refers, digest)}", f"X-Refers-To-Page: {coded(refers or '')}"]
     else:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
         head += ["Content-Type: application/http;msgtype=response"]
@@ -182,9 +188,10 @@ def read_records(archives: DataFrame, most_tasks: int = 20_000) -> DataFrame:
                         file.seek(offset)
                         head, _, block = zlib.decompress(file.read(length), GZIP).partition(b"\r\n\r\n")
                         fields = parsed(head)
-                        page, kind = fields.get("x-page-id"), fields["warc-type"]
+                        page, refers = (unquote(fields[k]) if k in fields else None for k in ("x-page-id", "x-refers-to-page"))
+                        kind = fields["warc-type"]
                         if kind == "revisit":
-                            rows.append((page, kind, fields.get("x-refers-to-page") or None, int(fields["x-payload-length"]), fields["warc-payload-digest"].rpartition(":")[2], None))
+                            rows.append((page, kind, refers, int(fields["x-payload-length"]), fields["warc-payload-digest"].rpartition(":")[2], None))
                         else:
                             payload = block[: int(fields["content-length"])].partition(b"\r\n\r\n")[2]
                             rows.append((page, kind, None, len(payload), hashlib.sha256(payload).hexdigest(), payload))

@@ -35,6 +35,18 @@ def test_round_trip(spark):
     assert round_trip(spark, spark.createDataFrame([], PAGES)) == []
 
 
+def test_text_ids_come_back_as_they_are(spark):
+    """Spaces, line ends, percent signs, the empty id and none; what revisits the empty id says so."""
+    ids = ["", " a", "b\n", "b%0A", "%", "%25", "é ü ", "d\r\ne: f", "x-page-id: y", None]
+    rows = [(i, "https://a.example/", "p" * 200) for i in ids] + [(f" {i} ", None, f"short {i}") for i in ids[:3]]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").withColumn("kind", F.lit("clash"))
+    archives = warc.write_archives(warc.archive_records(pages), warc.shared_dir(spark, "warc"))
+    got = warc.read_records(warc.normalise(archives, warc.shared_dir(spark, "members"))).collect()
+    assert sorted((r["page"] is not None, r["page"] or "", r["kind"], r["refers"]) for r in got) == sorted(
+        [(i is not None, i or "", "response" if i == "" else "revisit", None if i == "" else "") for i in ids] + [(True, f" {i} ", "response", None) for i in ids[:3]], key=lambda x: x[:3]
+    )
+
+
 def test_normaliser_writes_members(spark, tmp_path):
     records = b"".join(warc.record("response", str(i), "u", b"p" * i * 1000, "d", None, "t") for i in range(5))
     (tmp_path / "m.warc.gz").write_bytes(gzip.compress(records[:3000]) + gzip.compress(records[3000:]))
