@@ -23,18 +23,19 @@ from passerelle.llm.common import read, written
 SHORTEST, LEAST, EVERY, TIMES = 5, 3, 97, 2
 #: Letters of the nodes where walks begin: all words share more with what they find.
 START = (SHORTEST - 1) // 2
-#: A node tells up to so many pairs of letters that its edges go on with, else their first letters.
-MANY = 200
+#: In place of a letter where a word ends.
+END = "$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST, least: int = LEAST, every: int = EVERY) -> DataFrame:
     """word, n of the words with `shortest` letters and `least` occurrences, after one letter of some occurrences is dropped."""
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    runs = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.explode_outer(F.regexp_extract_all(low, F.lit(f"[a-zÀ-ÿ]{{{shortest},}}"), F.lit(0))).alias("run"))
-    h, at = F.crc32(F.concat("id", F.lit(":"), "run")), F.col("h") % F.col("size")
-    runs = runs.where(F.col("run").isNotNull()).select("run", h.alias("h"), F.char_length("run").alias("size"))
-    short = F.concat(F.substring("run", F.lit(1), at.cast("int")), F.substring(F.col("run"), at.cast("int") + 2, F.col("size")))
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"[A-Za-zÀ-ÿ]{{{shortest},}}"), F.lit(0))
+    runs = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.explode_outer(found).alias("raw")).where(F.col("raw").isNotNull())
+    low = F.when(F.col("raw").rlike("[À-Þ]"), F.translate("raw", UPPER, LOWER)).otherwise(F.lower("raw"))  # A-Z only, the fast way where it is the same
+    runs = runs.select("id", low.alias("run")).select("run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h"), F.char_length("run").alias("size"))
+    at = (F.col("h") % F.col("size")).cast("int")
+    short = F.concat(F.substring("run", F.lit(1), at), F.substring(F.col("run"), at + 2, F.col("size")))
     words = runs.select(F.when(F.col("h") % every == 0, short).otherwise(F.col("run")).alias("word"))
     return words.where(F.char_length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
@@ -62,7 +63,7 @@ def with_previous(rows: DataFrame) -> DataFrame:
 
 
 def trie_edges(words: DataFrame, start: int = START) -> DataFrame:
-    """rev, node, first, label, child, ends (child is a word), more (how child's edges go on); nodes are named by their letters.
+    """rev, node, first, label, child, ends (child is a word); nodes are named by their letters.
 
     words: rev, key. Nodes have `start` letters or more, and a node has an edge for each letter of the alphabet at most.
     """
@@ -73,37 +74,57 @@ def trie_edges(words: DataFrame, start: int = START) -> DataFrame:
     size = F.col("common")
     found = with_previous(named).withColumn("common", shared("before", "key")).where(F.char_length("key") > start)
     found = found.select("rev", F.substring(F.col("key"), F.lit(1), size).alias("node"), F.substring(F.col("key"), size + 1, F.char_length("key")).alias("label"), F.col("key").alias("child"), "ends")
-    edges = written(found.withColumn("first", F.substring("label", 1, 1)), "edges")
-    behind = edges.groupBy("rev", F.col("node").alias("child")).agg(F.collect_set("first").alias("firsts"))
-    own = edges.join(behind, ["rev", "child"], "left").withColumn("firsts", F.coalesce("firsts", F.array().cast("array<string>")))
-    # what may follow: two letters, or the last one with $, or one and any other with *
-    two = F.transform("firsts", lambda c: F.concat("first", c))
-    two = F.when(F.char_length("label") > 1, F.array(F.substring("label", 1, 2))).otherwise(F.concat(two, F.when(F.col("ends"), F.array(F.concat("first", F.lit("$")))).otherwise(F.array().cast("array<string>"))))
-    ways = own.groupBy("rev", F.col("node").alias("child")).agg(F.flatten(F.collect_list(two)).alias("two"), F.collect_list(F.concat("first", F.lit("*"))).alias("one"))
-    ahead = F.concat(F.lit(" "), F.array_join(F.when(F.size("two") > MANY, F.col("one")).otherwise(F.col("two")), " "))
-    return written(edges.join(ways.select("rev", "child", ahead.alias("more")), ["rev", "child"], "left").na.fill("", ["more"]), "edges")
+    return written(found.withColumn("first", F.substring("label", 1, 1)), "edges")
 
 
-def taken(found: DataFrame) -> DataFrame:
-    """The states behind an edge: its label matches the word from `pos` on without an edit, or with the one that is left.
+def seconds(edges: DataFrame) -> DataFrame:
+    """The edges by their second letter: a row for each letter that may follow the first, in the label or behind the child, END where a word ends there."""
+    firsts = edges.select("rev", F.col("node").alias("child"), F.col("first").alias("second")).distinct()
+    one = edges.where(F.char_length("label") == 1)
+    behind = one.join(firsts.hint("shuffle_hash"), ["rev", "child"]).unionByName(one.where("ends").withColumn("second", F.lit(END)))
+    long = edges.where(F.char_length("label") > 1).withColumn("second", F.substring("label", 2, 1))
+    return written(long.unionByName(behind), "seconds")
 
-    Only states that are done, or whose next letters an edge behind goes on with.
-    """
-    size, length = F.char_length("label"), F.char_length("word")
-    rest = lambda n: F.substring(F.col("word"), F.col("pos") + 1, n)
 
-    def behind(when: Column, by: Column, edits: Column) -> Column:
-        pos = F.col("pos") + by
-        next_ = F.substring(F.col("word"), pos + 1, F.lit(2))
-        follows = (F.instr("more", F.concat(F.lit(" "), next_, F.when(pos + 1 == length, F.lit("$")).otherwise(F.lit("")))) > 0) | (F.instr("more", F.concat(F.lit(" "), F.substring(next_, 1, 1), F.lit("*"))) > 0)
-        alive = F.when(edits == 0, F.col("more") != "").when(pos == length, F.col("ends")).otherwise(follows)
-        return F.when(when & alive, F.struct(pos.alias("pos"), edits.alias("edits")))
+def rest(by: Column | int, n: Column | int) -> Column:
+    """n letters of the word, `by` letters behind the state's position."""
+    return F.substring(F.col("word"), F.col("pos") + by + 1, n if isinstance(n, Column) else F.lit(n))
+
+
+def letter(by: int) -> Column:
+    """The letter `by` letters behind the position; END at the word's end, null behind it."""
+    left = F.char_length("word") - F.col("pos") - by
+    return F.when(left > 0, rest(by, 1)).when(left == 0, F.lit(END))
+
 
-    plain = behind(rest(size) == F.col("label"), size, F.col("edits"))
+def taken(states: DataFrame, edges: DataFrame, behind: DataFrame) -> DataFrame:
+    """The states behind all edges that the states (rev, word, front, node, pos, edits) can take, and `done` for those that end at a word with one edit.
+
+    A state takes the edge of its next letter: with the whole label, or with one edit inside it. Behind the front it can also drop that letter and
+    take the edge of the next one, or take any first letter, inserted or in place of its own, on edges whose second letter it has next.
+    """
+    size = F.char_length("label")
+    here = ["rev", "word", "front", "node", "pos", "edits"]
+    may = (F.col("edits") == 0) & (F.col("pos") >= F.col("front"))
+    join = lambda df, other, on: df.join(other.hint("shuffle_hash"), ["rev", "node", on])
+    to = lambda df, by, edits: df.select("rev", "word", "front", F.col("child").alias("node"), (F.col("pos") + by).alias("pos"), edits.alias("edits"), "ends")
+
+    dropped = states.where(may).select("rev", "word", "front", "node", (F.col("pos") + 1).alias("pos"), F.lit(1).alias("edits"))
+    own = join(states.select(*here).unionByName(dropped).withColumn("first", letter(0)), edges, "first")
+    exact = F.when(rest(0, size) == F.col("label"), F.struct(size.alias("by"), F.col("edits").alias("edits")))
     free = (F.col("edits") == 0) & (F.col("pos") + size > F.col("front"))
-    edited = [behind(free & (F.col("pos") + size + d <= length) & (F.levenshtein(rest(size + d), F.col("label"), 1) == 1), size + d, F.lit(1)) for d in (-1, 0, 1)]
-    out = found.select("rev", "word", "front", F.col("child").alias("node"), F.explode(F.array_compact(F.array(plain, *edited))).alias("s")).select("rev", "word", "front", "node", "s.pos", "s.edits")
-    return out.withColumn("done", (F.col("pos") == length) & (F.col("edits") == 1))
+    inner = [F.when(free & (F.col("pos") + size + d <= F.char_length("word")) & (F.levenshtein(rest(0, size + d), F.col("label"), 1) == 1), F.struct((size + d).alias("by"), F.lit(1).alias("edits"))) for d in (-1, 0, 1)]
+    own = own.withColumn("s", F.explode(F.array_compact(F.array(exact, *inner))))
+    own = to(own, F.col("s.by"), F.col("s.edits"))
+
+    asked = states.where(may).withColumn("way", F.explode(F.array(F.struct(F.lit(0).alias("by"), letter(0).alias("second")), F.struct(F.lit(1).alias("by"), letter(1).alias("second")))))
+    other = join(asked.select(*here, F.col("way.by").alias("by"), F.col("way.second").alias("second")).where("second is not null"), behind, "second")
+    fits = (F.col("first") != rest(0, 1)) & (rest(F.col("by"), size - 1) == F.substring(F.col("label"), F.lit(2), size))
+    other = to(other.where(fits), F.col("by") + size - 1, F.lit(1))
+
+    whole = F.col("pos") == F.char_length("word")
+    out = own.unionByName(other).withColumn("done", whole & F.col("ends") & (F.col("edits") == 1))
+    return out.where(F.col("done") | (F.col("edits") == 0) | ~whole).drop("ends")
 
 
 def near_words(words: DataFrame, start: int = START, most_rounds: int = 100_000) -> DataFrame:
@@ -111,14 +132,12 @@ def near_words(words: DataFrame, start: int = START, most_rounds: int = 100_000)
     both = words.select(F.lit(0).alias("rev"), F.col("word").alias("key")).unionByName(words.select(F.lit(1).alias("rev"), F.reverse("word").alias("key")))
     both = written(both, "words")
     edges = trie_edges(both, start)
+    behind = seconds(edges)
     front = F.floor((F.char_length("key") - 1) / 2).cast("int")
     states = both.select("rev", F.col("key").alias("word"), front.alias("front"), F.substring("key", 1, start).alias("node"), F.lit(start).alias("pos"), F.lit(0).alias("edits"))
     found = []
     for _ in range(most_rounds):
-        all_ = (F.col("edits") == 0) & (F.col("pos") >= F.col("front"))
-        by_letter = states.where(~all_).withColumn("first", F.substring(F.col("word"), F.col("pos") + 1, F.lit(1))).join(edges.hint("shuffle_hash"), ["rev", "node", "first"])
-        by_node = states.where(all_).join(edges.hint("shuffle_hash"), ["rev", "node"])
-        step = written(taken(by_letter.select(by_node.columns).unionByName(by_node)), "frontier")
+        step = written(taken(states, edges, behind), "frontier")
         found.append(step.where("done").select("rev", "word", F.col("node").alias("near")))
         states = step.where("not done").drop("done")
         if not states.head(1):

@@ -85,8 +85,11 @@ def test_sql():
 
 def test_edges_of_a_trie(spark):
     words = spark.createDataFrame([(0, w) for w in ("abcde", "abcdf", "abxyz", "abcdef", "qrstu")], "rev int, key string")
-    edges = {(r.node, r.label, r.child, r.ends, " ".join(sorted(r.more.split()))) for r in variants.trie_edges(words).collect()}
-    assert edges == {("ab", "cd", "abcd", False, "e$ ef f$"), ("ab", "xyz", "abxyz", True, ""), ("abcd", "e", "abcde", True, "f$"), ("abcd", "f", "abcdf", True, ""), ("abcde", "f", "abcdef", True, ""), ("qr", "stu", "qrstu", True, "")}
+    edges = variants.trie_edges(words)
+    assert {(r.node, r.first, r.label, r.child, r.ends) for r in edges.collect()} == {
+        ("ab", "c", "cd", "abcd", False), ("ab", "x", "xyz", "abxyz", True), ("abcd", "e", "e", "abcde", True), ("abcd", "f", "f", "abcdf", True), ("abcde", "f", "f", "abcdef", True), ("qr", "s", "stu", "qrstu", True)
+    }
+    assert {(r.node, r.label, r.second) for r in variants.seconds(edges).collect()} == {("ab", "cd", "d"), ("ab", "xyz", "y"), ("abcd", "e", "f"), ("abcd", "e", "$"), ("abcd", "f", "$"), ("abcde", "f", "$"), ("qr", "stu", "t")}
 
 
 def test_nothing(spark):
