@@ -116,3 +116,8 @@ def test_plain_urls_are_what_the_long_way_gives(spark):
     got = df.select("u", U.is_plain(F.col("u")).alias("plain"), U.absolute_url("u").alias("a"), U.absolute_url(long).alias("b"), U.resolve_url("u", base).alias("c"), U.resolve_url(long, far).alias("d")).collect()
     assert all(r.a == r.b and r.c == r.d for r in got)
     assert sum(r.plain for r in got) > 100 and all(r.a == r.u for r in got if r.plain)
+
+
+def test_media_filename_does_not_repeat_its_url(spark):
+    plan = spark.range(1).select(U.media_filename(F.concat(F.lit("https://h/"), F.col("id").cast("string")), "assets.example.com"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(U.PLAIN_TAIL) <= 2
