@@ -41,6 +41,11 @@ def edges(links: DataFrame, origin: str, strict: bool = False) -> DataFrame:
     return kept.where(same_site(F.col("target"), origin, strict)).select("page_url", "target").distinct()
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join that sorts and merges at any size: broadcasts of each round would add up in the driver."""
+    return df.hint("merge")
+
+
 class UnfinishedCrawl(RuntimeError):
     """The rounds that were allowed are over; the state goes on from there."""
 
@@ -68,17 +73,17 @@ def chains(reach: DataFrame, starts: DataFrame, most_rounds: int = 40) -> DataFr
     """
     leads = reach.groupBy("page_url").agg(F.max("target").alias("url"), F.count("*").alias("n")).where("n = 1").select(F.col("page_url").alias("head"), "url")
     led = reach.groupBy("target").agg(F.count("*").alias("n")).where("n = 1").select(F.col("target").alias("url"))
-    links = written(leads.where("head <> url").join(led, "url").join(starts, "url", "left_anti").select("head", "url"), "chains")
+    links = written(leads.where("head <> url").join(merged(led), "url").join(merged(starts), "url", "left_anti").select("head", "url"), "chains")
     if not links.head(1):
         return links
     for _ in range(most_rounds):
         ahead = links.select(F.col("head").alias("_head"), F.col("url").alias("head"))
-        step = links.join(ahead, "head", "left")
+        step = links.join(merged(ahead), "head", "left")
         links = written(step.select(F.coalesce("_head", "head").alias("head"), "url", F.col("_head").isNotNull().alias("moved")), "chains")
         if not links.where("moved").head(1):
             break
         links = links.drop("moved")
-    return links.join(links.select(F.col("url").alias("head")), "head", "left_anti").select("head", "url")
+    return links.join(merged(links.select(F.col("url").alias("head"))), "head", "left_anti").select("head", "url")
 
 
 def crawl_closure(links: DataFrame, seed: str, origin: str | None = None, state: str | None = None, strict: bool = False, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
@@ -111,18 +116,18 @@ def crawl_closure(links: DataFrame, seed: str, origin: str | None = None, state:
         visited = _kept(spark, state, rounds).where("new").select("url")
         if number == compact:
             compact *= 4
-            done = visited.join(frontier, "url", "left_anti").select(F.col("url").alias("page_url"))
+            done = visited.join(merged(frontier), "url", "left_anti").select(F.col("url").alias("page_url"))
             known = _kept(spark, state, rounds).where("linked").select(F.col("url").alias("target"))
-            reach = written(reach.join(done, "page_url", "left_anti").join(known, "target", "left_anti").select("page_url", "target"), "edges")
+            reach = written(reach.join(merged(done), "page_url", "left_anti").join(merged(known), "target", "left_anti").select("page_url", "target"), "edges")
             behind = written(chains(reach, visited.distinct()), "behind")
             behind = behind if behind.head(1) else None
         pages, inner = frontier, None
         if behind is not None:
-            inner = behind.join(frontier.select(F.col("url").alias("head")), "head", "left_semi").select("url", F.lit(True).alias("_inner"))
+            inner = behind.join(merged(frontier.select(F.col("url").alias("head"))), "head", "left_semi").select("url", F.lit(True).alias("_inner"))
             pages = frontier.unionByName(inner.select("url"))
-        found = reach.join(pages, reach["page_url"] == pages["url"], "left_semi").select(F.col("target").alias("url")).distinct()
-        found = found.join(visited.select("url", F.lit(True).alias("_old")), "url", "left")
-        found = found.join(inner, "url", "left") if inner is not None else found.withColumn("_inner", F.lit(None).cast("boolean"))
+        found = reach.join(merged(pages), reach["page_url"] == pages["url"], "left_semi").select(F.col("target").alias("url")).distinct()
+        found = found.join(merged(visited.select("url", F.lit(True).alias("_old"))), "url", "left")
+        found = found.join(merged(inner), "url", "left") if inner is not None else found.withColumn("_inner", F.lit(None).cast("boolean"))
         put(found.select("url", F.lit(True).alias("linked"), F.col("_old").isNull().alias("new"), (F.col("_old").isNull() & F.col("_inner").isNull()).alias("todo")))
     else:
         raise UnfinishedCrawl(f"the crawl didn't end in {most_rounds} rounds")
@@ -133,8 +138,8 @@ def crawl_closure(links: DataFrame, seed: str, origin: str | None = None, state:
 def crawl_errors(visited: DataFrame, pages: DataFrame) -> DataFrame:
     """url, error of visited pages that weren't captured or failed."""
     failed = pages.where("error is not null").select("url", "error")
-    absent = visited.join(pages.select("url"), "url", "left_anti").withColumn("error", F.lit("not captured"))
-    return absent.unionByName(visited.join(failed, "url").select("url", "error")).distinct()
+    absent = visited.join(merged(pages.select("url")), "url", "left_anti").withColumn("error", F.lit("not captured"))
+    return absent.unionByName(visited.join(merged(failed), "url").select("url", "error")).distinct()
 
 
 def crawl_inventory(urls: DataFrame, relativize: bool = False) -> DataFrame:

@@ -369,3 +369,15 @@ def test_pages_round_behind_their_tag(spark):
     assert got == {"/a": (0.0, "minor-diff"), "/b": (1.0, "medium-diff")}
     flags = compare.run_flags(compare.page_score(df).select("url", F.col("score").alias("mismatch"))).collect()[0]
     assert (flags.same, flags.different) == (1, 1)
+
+
+def test_crawl_broadcasts_nothing(spark):
+    """Rounds of small tables too: what each of them broadcasts would add up in the driver."""
+    before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    links = spark.createDataFrame([(f"https://s.example.com/p/{i}", k, f"/p/{3 * i + k}") for i in range(1, 200) for k in range(3)], "page_url string, pos int, href string")
+    _, visited = crawl.crawl_closure(links, "https://s.example.com/p/1", "https://s.example.com")
+    assert visited.count() > 100
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(before, runs.size())]
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
