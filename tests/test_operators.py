@@ -381,3 +381,11 @@ def test_crawl_broadcasts_nothing(spark):
     runs = store.executionsList()
     plans = [runs.apply(i).physicalPlanDescription() for i in range(before, runs.size())]
     assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_pages_are_read_in_small_lots():
+    html = ["<a href='/x'>one</a>", None] * 75
+    lots = list(T.read_pages(iter([T.pa.array(html, T.pa.string()), T.pa.array([], T.pa.string())])))
+    assert [len(x) for x in lots] == [64, 64, 22]
+    rows = [r for x in lots for r in x.to_pylist()]
+    assert rows == [{"visible_text": "one", "links": ["/x"]}, {"visible_text": "", "links": []}] * 75
