@@ -129,3 +129,12 @@ def test_keys_with_nulls_and_separators(spark):
     rows = spark.createDataFrame([(None, "5|x y z"), ("5", "x y z"), ("5|x y z", None)], "doc_id string, text string")
     for module in (nearcopies, simhash):
         assert sorted(r["doc_id"] or "" for r in module.representatives(rows).collect()) == ["", "5", "5|x y z"]
+
+
+def test_a_group_is_one_row_of_a_bucket(spark):
+    """Of 300 nodes in one group and a lone one that share all keys, only the lone one makes a pair."""
+    keys = list(range(24))
+    nodes = spark.createDataFrame([(i, 10, keys) for i in range(301)], "node long, size int, keys array<long>")
+    roots = spark.createDataFrame([(i, 0) for i in range(300)], "node long, root long")
+    pairs = nearcopies.across(nodes, roots, 0.8)
+    assert pairs.count() == 22 and [tuple(r) for r in pairs.distinct().collect()] == [(300, 0)]
