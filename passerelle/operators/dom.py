@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from passerelle.functions.text import clean_text, component_name
 from passerelle.sources.shared import written
@@ -23,37 +24,59 @@ MEDIA = ("img", "video", "iframe", "canvas", "picture", "object", "embed", "inpu
 SHOEHORN = "full-width-shoehorn"
 
 
-def with_intervals(nodes: DataFrame, root: int = 0) -> DataFrame:
-    """nodes with pre and last, from parent_id, which is `root` or null at the top. Written once: every later step reads them.
+def intervals(nodes: DataFrame, root: int = 0, shown: bool = False) -> DataFrame:
+    """nodes with pre and last, from parent_id, which is `root` or null at the top; with `shown` also `full`: whether a component of that node shows anything.
 
-    One pass over the nodes sorted by page, side and ord keeps the open elements only, so memory is bounded by a tree's depth. A node whose
-    parent isn't open then is an error: ord isn't document order, or the parent is missing.
+    One pass over the nodes of a page from its last to its first, so that whatever is below a node has come before it: of that only what its open parents need
+    is kept, so memory is bounded by a tree's depth. Python gets numbers alone, and its rows stay in place: nothing is joined. A page whose nodes don't
+    all meet their parent is an error: ord isn't document order, or a parent is missing.
+    full: there is media that isn't hidden or text whose parent isn't below the node's first component-content child, or below the node if it has none.
     """
-    types = dict(nodes.dtypes)
-    keys = nodes.select(*PAGE, "node_id", F.coalesce("parent_id", F.lit(root)).alias("parent_id"), "ord")
-
-    def places(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, open_, count = None, [], 0
+    flag = lambda c, bit: F.when(c, F.lit(bit)).otherwise(F.lit(0))
+    marks = F.lit(0)
+    if shown:
+        text, media = F.when(F.col("tag") == "#text", clean_text("text") != ""), (F.col("tag") != "#text") & F.col("tag").isin(*MEDIA) & ~hidden()
+        marks = flag(text, 1) + flag(media, 2) + flag(hidden(), 4) + flag(has_class("component-content"), 8)
+
+    @F.pandas_udf(LongType())
+    def ends(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        # of each parent that is still to come: its id, last, whether something shows below its children, whether one is text, whether the first content child shows, a child
+        open_: list[list] = []
         for part in parts:
             done = []
-            for p, s, node, parent in part[[*PAGE, "node_id", "parent_id"]].itertuples(index=False, name=None):
-                if (p, s) != page:
-                    done += [(*page, n, at, count - 1) for n, at in open_] if page else []
-                    page, open_, count = (p, s), [], 0
-                while open_ and open_[-1][0] != parent:
-                    n, at = open_.pop()
-                    done.append((*page, n, at, count - 1))
-                if not open_ and parent != root:
-                    raise ValueError(f"node {node} of {page} stands before or without its parent {parent}")
-                open_.append((node, count))
-                count += 1
-            yield pd.DataFrame(done, columns=[*PAGE, "node_id", "pre", "last"])
-        if page:
-            yield pd.DataFrame([(*page, n, at, count - 1) for n, at in open_], columns=[*PAGE, "node_id", "pre", "last"])
-
-    schema = f"page {types['page']}, side {types['side']}, node_id {types['node_id']}, pre long, last long"
-    placed = keys.repartition(*PAGE).sortWithinPartitions(*PAGE, "ord", "node_id").mapInPandas(places, schema)
-    return written(nodes.join(placed, [*PAGE, "node_id"]), "nodes")
+            for at, node, parent, mark in zip(*[c.tolist() for c in part], strict=True):
+                last, below, content = at, False, None
+                if open_ and open_[-1][0] == node:
+                    _, last, below, text, content, _ = open_.pop()
+                    below = below or text and not mark & 4
+                done.append(2 * last + (below if content is None else content))
+                if not open_ or open_[-1][0] != parent:
+                    open_.append([parent, last, False, False, None, node])
+                if mark or below:
+                    own = open_[-1]
+                    own[2] = own[2] or below or bool(mark & 2)
+                    own[3] = own[3] or bool(mark & 1)
+                    if mark & 8:
+                        own[4] = below
+                if at == 0:
+                    for p, *_, child in open_:
+                        if p != root:
+                            raise ValueError(f"node {child} stands before or without its parent {p}")
+                    open_ = []
+            yield pd.Series(done, dtype="int64")
+
+    pre = F.row_number().over(Window.partitionBy(*PAGE).orderBy("ord", "node_id")) - 1
+    placed = nodes.repartition(*PAGE).withColumns({"pre": pre.cast("long"), "_marks": marks}).sortWithinPartitions(*PAGE, F.desc("pre"))
+    end = ends.asNondeterministic()("pre", "node_id", F.coalesce("parent_id", F.lit(root)), "_marks")
+    out = placed.withColumn("_end", end).withColumn("last", F.shiftright("_end", 1))
+    if shown:
+        out = out.withColumn("full", F.col("_end") % 2 == 1)
+    return out.drop("_end", "_marks")
+
+
+def with_intervals(nodes: DataFrame, root: int = 0) -> DataFrame:
+    """nodes with pre and last. Written once: every later step reads them."""
+    return written(intervals(nodes, root), "nodes")
 
 
 def inside(what: Column) -> Column:
@@ -125,9 +148,12 @@ def meaningful(nodes: DataFrame, cands: DataFrame) -> DataFrame:
     return root.join(shows.where("_shows").select(*PAGE, "root"), [*PAGE, "root"], "left_semi").select(*PAGE, "node_id")
 
 
-def classify_components(cands: DataFrame, full: DataFrame) -> DataFrame:
-    """cands with `state`: hidden, fixed, invisible, empty or kept, the first that holds. full: what meaningful() gives."""
-    df = cands.join(full.withColumn("_full", F.lit(True)), [*PAGE, "node_id"], "left")
+def classify_components(cands: DataFrame, full: DataFrame | None = None) -> DataFrame:
+    """cands with `state`: hidden, fixed, invisible, empty or kept, the first that holds. full: what meaningful() gives; without it cands have it as a column."""
+    if full is None:
+        df = cands.withColumn("_full", F.when(F.col("full"), F.lit(True)))
+    else:
+        df = cands.join(full.withColumn("_full", F.lit(True)), [*PAGE, "node_id"], "left")
     state = (
         F.when((F.col("display") == "none") | (F.col("visibility") == "hidden"), "hidden")
         .when(F.col("position") == "fixed", "fixed")
@@ -138,6 +164,12 @@ def classify_components(cands: DataFrame, full: DataFrame) -> DataFrame:
     return df.withColumn("state", state).drop("_full")
 
 
+def classified(nodes: DataFrame) -> DataFrame:
+    """All components of a page that have none above them, classified. nodes: of intervals() with `shown`. Components alone are shuffled, nothing is joined."""
+    comps = nodes.where(is_component()).withColumn("_nested", inside(F.lit(True)))
+    return classify_components(comps.where("not _nested").drop("_nested"))
+
+
 def name_components(classified: DataFrame) -> DataFrame:
     """The kept ones with `component`, numbered from 0 in document order."""
     w = Window.partitionBy(*PAGE).orderBy("ord", "node_id")

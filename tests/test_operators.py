@@ -389,3 +389,27 @@ def test_pages_are_read_in_small_lots():
     assert [len(x) for x in lots] == [64, 64, 22]
     rows = [r for x in lots for r in x.to_pylist()]
     assert rows == [{"visible_text": "one", "links": ["/x"]}, {"visible_text": "", "links": []}] * 75
+
+
+def test_classified_in_one_pass(spark):
+    """On random trees with content children, hidden parents, media and texts: what the single steps give together."""
+    rng, rows = random.Random(3), []
+    for page in range(30):
+        open_ = [0]
+        for i in range(1, 80):
+            del open_[max(1, len(open_) - rng.randrange(4)) :]
+            tag = rng.choice(["div", "div", "div", "#text", "img"])
+            classes = rng.choice([["component"], ["component-content"], []]) if tag == "div" else []
+            more = {"display": rng.choice(["none", "block", "block", None]), "position": rng.choice(["fixed", "static"]), "height": float(rng.randrange(3)), "text": rng.choice(["", "​ ", "x", None])}
+            rows.append({"page": f"/{page}", "side": "prod", "node_id": i, "parent_id": open_[-1], "ord": i, "tag": tag, "dom_id": None, "classes": classes, "visibility": "visible", "opacity": 1.0, "width": 1.0} | more)
+            open_.append(i)
+    types = "page string, side string, node_id long, parent_id long, ord int, tag string, dom_id string, classes array<string>, text string, display string, visibility string, opacity double, position string, width double, height double"
+    df = spark.createDataFrame(rows, types)
+    nodes = dom.with_intervals(df)
+    top = dom.top_level(nodes.where(dom.is_component()), nodes)
+    states = lambda d: {(r.page, r.node_id): r.state for r in d.collect()}
+    want = states(dom.classify_components(top, dom.meaningful(nodes, top)))
+    assert set(want.values()) == {"hidden", "fixed", "invisible", "empty", "kept"}
+    assert states(dom.classified(dom.intervals(df, shown=True))) == want
+    plan = dom.classified(dom.intervals(df, shown=True))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan  # all nodes, then components alone
