@@ -413,3 +413,19 @@ def test_classified_in_one_pass(spark):
     assert states(dom.classified(dom.intervals(df, shown=True))) == want
     plan = dom.classified(dom.intervals(df, shown=True))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan  # all nodes, then components alone
+
+
+def test_pages_read_their_components_once(spark):
+    """Parted, ignored, scored and uncaptured pages; a parted page with a hit is parted. A page's aggregates are one, and a score comes with the pair."""
+    comps = [("/a", "c0", 2.0, 10), ("/a", "c1", 4.0, 30), ("/b", "c0", 0.0, 10), ("/b", "c1", 9.0, 10), ("/c", "c0", 0.0, 10), ("/null", "c0", None, 10)]
+    df = spark.createDataFrame(comps, "url string, component string, mismatch double, height int")
+    pairs = compare.presence_class(compare.pair_components(df, df, "mismatch"))
+    finals = spark.createDataFrame([("/a", None, None), ("/a", None, None), ("/b", None, None), ("/c", "https://p.x/1", None), ("/d", None, None)], "url string, prod_final string, stage_final string")
+    rules = spark.createDataFrame([("/b", "c0", 0.0), ("/c", "c0", 0.0)], "url string, component string, percents double")
+    pages, shown = compare.compare_pages(finals.select("url"), pairs, finals, rules)
+    key = lambda r: str(r)
+    want = [("/a", 3.5, "medium-diff", 2), (None, None, "ignored-diff", 0), ("/c", 100.0, "redirect-url-mismatch", 0), ("/d", None, "not compared", 0)]
+    assert sorted(map(tuple, pages.collect()), key=key) == sorted(want, key=key)
+    assert {(r.url, r.component) for r in shown.collect()} == {("/a", "c0"), ("/a", "c1")}
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("/components-") <= 2 and "Window" not in plan  # pairs are made before
