@@ -117,6 +117,35 @@ def test_blocks_hold_every_pair(spark):
         assert got == {(i, j) for j in range(40) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
 
 
+def linked(pairs, n):
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return [top(i) for i in range(n)]
+
+
+def test_copies_of_one_text_are_not_paired_with_each_other(spark):
+    """Lists of many sets go by differences from a centre: few pairs, and the groups of brute force, with the text itself and without, with two texts in one list."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(140)]
+    other = base[:100] + [f"v{i}" for i in range(40)]
+    copies = [edited(base, rng.choice((1, 2, 2, 3, 3, 4)), rng, i) for i in range(300)]
+    twins = [edited(base, 3, rng, i % 40) for i in range(40)] + [edited(other, rng.choice((1, 2, 3)), rng, f"o{i}") for i in range(60)]
+    for texts, large, most in (([" ".join(base), *copies], 64, 3000), (copies, 64, 3000), (copies[:100] + twins, 4, 10**9)):
+        df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").select("node", nearcopies.shingled("text").alias("set"))
+        named = df.select("node", "node").toDF("node", "root")
+        pairs = nearcopies.crossing(named, df, 0.8, large=large)
+        assert pairs.count() < most
+        assert linked([tuple(r) for r in nearcopies.alike(pairs, df, 0.8).collect()], len(texts)) == brute_groups(list(enumerate(texts)))
+
+
 def test_no_rows_and_equal_rows(spark):
     assert kept(spark, []) == []
     assert kept(spark, [(1, "same row"), (1, "same row")]) == [1]
