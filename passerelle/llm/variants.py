@@ -2,8 +2,8 @@
 
 The trie is a table of edges whose labels are strings: (node, first letter, label, child). It is read off the sorted words: what two neighbours have
 in common is a node, and a node's or word's parent is what it has in common with the one before it. The frontier is a table of states (word, position,
-node, edits); each round joins it with the edges, an edge's label takes a state on with no edit or with one, and a state that ends at a
-word with one edit has found a near word. Near words share a half: either at least (length - 1) // 2 letters at the front or as many at the back. So
+node) without an edit; each round joins it with the edges, and an edge's label takes a state on with no edit or with one. Behind the edit a walk can only go
+one way, to the word that the node and the letters left spell, so that it isn't walked: one join with the words at the end tells which there are. Near words share a half: either at least (length - 1) // 2 letters at the front or as many at the back. So
 there are two tries, of words and of reversed words, and each allows edits behind such a front only, where nodes have few edges.
 """
 
@@ -98,33 +98,31 @@ def letter(by: int) -> Column:
 
 
 def taken(states: DataFrame, edges: DataFrame, behind: DataFrame) -> DataFrame:
-    """The states behind all edges that the states (rev, word, front, node, pos, edits) can take, and `done` for those that end at a word with one edit.
+    """The states (rev, word, front, node, pos) without an edit that these lead to, and where the one edit is spent instead `near`, what the word then reads.
 
-    A state takes the edge of its next letter: with the whole label, or with one edit inside it. Behind the front it can also drop that letter and
-    take the edge of the next one, or take any first letter, inserted or in place of its own, on edges whose second letter it has next.
+    A state takes the edge of its next letter: with the whole label, or with one edit inside it. Behind the front it can also drop that letter,
+    or take any first letter, inserted or in place of its own, on edges whose second letter it has next.
     """
     size = F.char_length("label")
-    here = ["rev", "word", "front", "node", "pos", "edits"]
-    may = (F.col("edits") == 0) & (F.col("pos") >= F.col("front"))
+    here = ["rev", "word", "front", "node", "pos"]
+    may = F.col("pos") >= F.col("front")
     join = lambda df, other, on: df.join(other.hint("shuffle_hash"), ["rev", "node", on])
-    to = lambda df, by, edits: df.select("rev", "word", "front", F.col("child").alias("node"), (F.col("pos") + by).alias("pos"), edits.alias("edits"), "ends")
+    ended = lambda node, by: F.concat(node, F.substring(F.col("word"), F.col("pos") + by + 1, F.char_length("word")))
+    spent = lambda df, near: df.select("rev", "word", *[F.lit(None).cast(kind).alias(c) for c, kind in (("front", "int"), ("node", "string"), ("pos", "int"))], near.alias("near"))
 
-    dropped = states.where(may).select("rev", "word", "front", "node", (F.col("pos") + 1).alias("pos"), F.lit(1).alias("edits"))
-    own = join(states.select(*here).unionByName(dropped).withColumn("first", letter(0)), edges, "first")
-    exact = F.when(rest(0, size) == F.col("label"), F.struct(size.alias("by"), F.col("edits").alias("edits")))
-    free = (F.col("edits") == 0) & (F.col("pos") + size > F.col("front"))
+    dropped = spent(states.where(may & (F.col("pos") < F.char_length("word"))), ended(F.col("node"), F.lit(1)))
+    own = join(states.select(*here).withColumn("first", letter(0)), edges, "first")
+    exact = F.when(rest(0, size) == F.col("label"), F.struct(size.alias("by"), F.lit(0).alias("edits")))
+    free = F.col("pos") + size > F.col("front")
     inner = [F.when(free & (F.col("pos") + size + d <= F.char_length("word")) & (F.levenshtein(rest(0, size + d), F.col("label"), 1) == 1), F.struct((size + d).alias("by"), F.lit(1).alias("edits"))) for d in (-1, 0, 1)]
     own = own.withColumn("s", F.explode(F.array_compact(F.array(exact, *inner))))
-    own = to(own, F.col("s.by"), F.col("s.edits"))
+    kept = lambda c: F.when(F.col("s.edits") == 0, c)
+    own = own.select("rev", "word", kept(F.col("front")).alias("front"), kept(F.col("child")).alias("node"), kept(F.col("pos") + F.col("s.by")).alias("pos"), F.when(F.col("s.edits") == 1, ended(F.col("child"), F.col("s.by"))).alias("near"))
 
     asked = states.where(may).withColumn("way", F.explode(F.array(F.struct(F.lit(0).alias("by"), letter(0).alias("second")), F.struct(F.lit(1).alias("by"), letter(1).alias("second")))))
     other = join(asked.select(*here, F.col("way.by").alias("by"), F.col("way.second").alias("second")).where("second is not null"), behind, "second")
     fits = (F.col("first") != rest(0, 1)) & (rest(F.col("by"), size - 1) == F.substring(F.col("label"), F.lit(2), size))
-    other = to(other.where(fits), F.col("by") + size - 1, F.lit(1))
-
-    whole = F.col("pos") == F.char_length("word")
-    out = own.unionByName(other).withColumn("done", whole & F.col("ends") & (F.col("edits") == 1))
-    return out.where(F.col("done") | (F.col("edits") == 0) | ~whole).drop("ends")
+    return own.unionByName(dropped).unionByName(spent(other.where(fits), ended(F.col("child"), F.col("by") + size - 1)))
 
 
 def near_words(words: DataFrame, start: int = START, most_rounds: int = 100_000) -> DataFrame:
@@ -134,19 +132,20 @@ def near_words(words: DataFrame, start: int = START, most_rounds: int = 100_000)
     edges = trie_edges(both, start)
     behind = seconds(edges)
     front = F.floor((F.char_length("key") - 1) / 2).cast("int")
-    states = both.select("rev", F.col("key").alias("word"), front.alias("front"), F.substring("key", 1, start).alias("node"), F.lit(start).alias("pos"), F.lit(0).alias("edits"))
+    states = both.select("rev", F.col("key").alias("word"), front.alias("front"), F.substring("key", 1, start).alias("node"), F.lit(start).alias("pos"))
     found = []
     for _ in range(most_rounds):
         step = written(taken(states, edges, behind), "frontier")
-        found.append(step.where("done").select("rev", "word", F.col("node").alias("near")))
-        states = step.where("not done").drop("done")
+        found.append(step.where("near is not null").select("rev", "word", "near"))
+        states = step.where("near is null").drop("near")
         if not states.head(1):
             break
     else:
         raise RuntimeError(f"walks didn't end in {most_rounds} rounds")
     pairs = reduce(DataFrame.unionByName, found)
     turned = lambda c: F.when(F.col("rev") == 1, F.reverse(c)).otherwise(F.col(c)).alias(c)
-    return pairs.select(turned("word"), turned("near")).distinct()
+    known = both.where("rev = 0").select(F.col("key").alias("near"))
+    return pairs.select(turned("word"), turned("near")).join(known, "near", "left_semi").select("word", "near").distinct()
 
 
 def followed(forms: DataFrame, most_rounds: int = 64) -> DataFrame:

@@ -92,6 +92,15 @@ def test_edges_of_a_trie(spark):
     assert {(r.node, r.label, r.second) for r in variants.seconds(edges).collect()} == {("ab", "cd", "d"), ("ab", "xyz", "y"), ("abcd", "e", "f"), ("abcd", "e", "$"), ("abcd", "f", "$"), ("abcde", "f", "$"), ("qr", "stu", "t")}
 
 
+def test_an_edit_ends_a_walk(spark):
+    """What goes on to the next round has no edit; a spent one gives the letters that the word then reads."""
+    edges = variants.trie_edges(spark.createDataFrame([(0, w) for w in ("abcde", "abcdf", "abxyz", "abcdef")], "rev int, key string"))
+    states = spark.createDataFrame([(0, "abcde", 2, "ab", 2)], "rev int, word string, front int, node string, pos int")
+    rows = variants.taken(states, edges, variants.seconds(edges)).collect()
+    assert {(r.node, r.pos) for r in rows if r.near is None} == {("abcd", 4)}
+    assert "abde" in {r.near for r in rows} and all(one_edit("abcde", r.near) for r in rows if r.near is not None)
+
+
 def test_nothing(spark):
     assert got(variants.spelling_variants(spark.createDataFrame([], SCHEMA))) == {}
     assert got(variants.spelling_variants(spark.createDataFrame([(1, "some words once")], SCHEMA))) == {}
