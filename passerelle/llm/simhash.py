@@ -88,8 +88,10 @@ def links_of_large(members: DataFrame, radius: int) -> DataFrame:
     no more members than there are flips, whatever the bucket's size.
     """
     far, close = radius - radius // 2, radius // 2
-    ways = F.array(*[F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(x.bit_count() <= close).alias("close")) for x in flips(m, far)]) for m in masks(radius)])
-    at = members.select("t", "fp", F.explode(F.element_at(ways, F.col("t") + 1)).alias("w")).select("t", F.col("fp").bitwiseXOR(F.col("w.x")).alias("at"), "fp", F.col("w.close").alias("close"))
+    # as a table of a row for each mask: thousands of literals in a plan would be copied over and over in the driver
+    ways = members.sparkSession.createDataFrame([(t, flips(m, far)) for t, m in enumerate(masks(radius))], "t int, ways array<long>")
+    at = members.join(F.broadcast(ways), "t").select("t", "fp", F.explode("ways").alias("way"))
+    at = at.select("t", F.col("fp").bitwiseXOR(F.col("way")).alias("at"), "fp", (F.bit_count("way") <= close).alias("close"))
     first = at.where("close").groupBy("t", "at").agg(F.min("fp").alias("a"))
     return at.join(first, ["t", "at"]).where("fp <> a").select("a", F.col("fp").alias("b"))
 

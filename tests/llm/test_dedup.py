@@ -137,3 +137,16 @@ def test_windows_in_very_long_texts(spark, monkeypatch):
 
 def test_no_documents(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_flipped_keys_of_large_buckets_are_no_part_of_the_plan(spark):
+    """The driver copies and keeps plans: some 8,000 patterns of bits as literals made 700 KB of text."""
+    rng = random.Random(12)
+    free = [b for b in range(64) if not simhash.masks(3)[0] >> b & 1]
+    fps = {sum(1 << b for b in rng.sample(free, rng.randrange(1, 6))) for _ in range(80)}
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 3, 16)
+    assert len(found._jdf.queryExecution().toString()) < 50_000
+    near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
+    joined = lambda pairs: {tuple(r) for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert near and joined([tuple(r) for r in found.collect()]) == joined(near)

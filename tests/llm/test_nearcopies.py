@@ -167,3 +167,16 @@ def test_a_group_is_one_row_of_a_bucket(spark):
     roots = spark.createDataFrame([(i, 0) for i in range(300)], "node long, root long")
     pairs = nearcopies.across(nodes, roots, 0.8)
     assert pairs.count() == 22 and [tuple(r) for r in pairs.distinct().collect()] == [(300, 0)]
+
+
+def test_copies_without_a_partner_leave_the_lists_of_their_shingles(spark, monkeypatch):
+    """Each has so much of its own that no other shares enough of the rest: nothing is recoded, where lists of over 4 were before."""
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(150)]
+    texts = [edited(base, 5, rng, i) for i in range(60)]
+    assert brute_groups(list(enumerate(texts))) == list(range(60))
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").select("node", nearcopies.shingled("text").alias("set"))
+    levels = []
+    monkeypatch.setattr(nearcopies, "recoded", lambda rows, *a, of=nearcopies.recoded: levels.append(rows) or of(rows, *a))
+    assert nearcopies.alike(nearcopies.crossing(df.select("node", "node").toDF("node", "root"), df, 0.8, large=4), df, 0.8).count() == 0
+    assert not levels
