@@ -37,7 +37,8 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
     at = (F.col("h") % F.col("size")).cast("int")
     short = F.concat(F.substring("run", F.lit(1), at), F.substring(F.col("run"), at + 2, F.col("size")))
     words = runs.select(F.when(F.col("h") % every == 0, short).otherwise(F.col("run")).alias("word"))
-    return words.where(F.char_length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # length and count in one term: a filter by the word alone is pushed below, where it works out every run's digest and letters a second time
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.least(F.char_length("word") - shortest, F.col("n") - least) >= 0)
 
 
 @F.pandas_udf(IntegerType())

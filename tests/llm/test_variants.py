@@ -104,3 +104,11 @@ def test_an_edit_ends_a_walk(spark):
 def test_nothing(spark):
     assert got(variants.spelling_variants(spark.createDataFrame([], SCHEMA))) == {}
     assert got(variants.spelling_variants(spark.createDataFrame([(1, "some words once")], SCHEMA))) == {}
+
+
+def test_runs_are_digested_once(spark):
+    """A filter by the word below the aggregation worked out each run's digest twice."""
+    docs = spark.createDataFrame([(i, "Words of five letters, again and again words") for i in range(5)], "doc_id long, text string")
+    found = variants.word_counts(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("crc32") == 1
+    assert {r.word for r in found.collect()} >= {"words", "again"}
